@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from tallyfield.operators.joins import natural_join
 def fitted_grid(df: DataFrame, x: str, y: str, size: float) -> Grid:
     """The grid that starts at the smallest coordinates and covers them all."""
     low_x, low_y, high_x, high_y = df.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first()
-    nx = int((high_x - low_x) // size) + 1
-    ny = int((high_y - low_y) // size) + 1
+    nx = math.floor((high_x - low_x) / size) + 1
+    ny = math.floor((high_y - low_y) / size) + 1
     return Grid(float(low_x), float(low_y), float(size), nx, ny)
 
 
@@ -123,16 +124,19 @@ def region_cells(cells: DataFrame, edges: DataFrame, ring: str, grid: Grid) -> D
 def lattice_pairs(cells: DataFrame, radius: int, cell: str = "cell_id", ix: str = "ix", iy: str = "iy") -> DataFrame:
     """Ordered pairs of occupied cells at most ``radius`` cell widths apart, itself included.
 
-    Each cell looks up a fixed list of offsets by an equi-join, so the work per
-    cell depends on the radius only.
+    Each cell looks up a disc of offsets by an equi-join on (column, row), so
+    the work per cell depends on the radius only, not on how many points it holds.
     """
-    span = range(-radius, radius + 1)
-    offsets = [(i, j) for i in span for j in span if i * i + j * j <= radius * radius]
-    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
+    reach = F.sequence(F.lit(-radius), F.lit(radius))
     there = cells.select(F.col(cell).alias("dst"), F.col(ix).alias("_x"), F.col(iy).alias("_y"))
-    asks = cells.select(F.col(cell).alias("src"), ix, iy, F.explode(listed).alias("_o")).select(
-        "src", (F.col(ix) + F.col("_o.i")).alias("_x"), (F.col(iy) + F.col("_o.j")).alias("_y"),
-        F.sqrt((F.col("_o.i") * F.col("_o.i") + F.col("_o.j") * F.col("_o.j")).cast("double")).alias("steps"),
+    i, j = F.col("_i"), F.col("_j")
+    asks = (
+        cells.select(F.col(cell).alias("src"), ix, iy)
+        .withColumn("_i", F.explode(reach))
+        .withColumn("_j", F.explode(reach))
+        .where(i * i + j * j <= radius * radius)
+        .select("src", (F.col(ix) + i).alias("_x"), (F.col(iy) + j).alias("_y"),
+                F.sqrt((i * i + j * j).cast("double")).alias("steps"))
     )
     return asks.join(there, ["_x", "_y"]).select("src", "dst", "steps")
 

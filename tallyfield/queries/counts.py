@@ -147,12 +147,12 @@ def richness_by_stratum(t: Tables) -> DataFrame:
 
 
 def _profile_sql(i: str, by: str = "", table: str = "f") -> str:
-    return f"""count(*) AS n_{i}, CAST(sum(n) - count(*) AS BIGINT) AS n_rep_{i}, round(avg(n), 6) + 0.0 AS mean_rep_{i},
-  median(n) + 0.0 AS med_rep_{i}, max(n) AS max_rep_{i}, round(CAST(sum(n) - count(*) AS DOUBLE) / count(*), 6) + 0.0 AS rep_share_{i}"""
+    return f"""count(*) AS n_{i}, CAST(sum(n) - count(*) AS BIGINT) AS n_rep_{i}, round(avg(n), 9) + 0.0 AS mean_rep_{i},
+  median(n) + 0.0 AS med_rep_{i}, max(n) AS max_rep_{i}, round(CAST(sum(n) - count(*) AS DOUBLE) / count(*), 9) + 0.0 AS rep_share_{i}"""
 
 
 def _rounded_profile(df: DataFrame, ids: list[str]) -> DataFrame:
-    return df.withColumns({f"{c}_{i}": rounded(F.col(f"{c}_{i}")) for i in ids for c in ("mean_rep", "rep_share")})
+    return df.withColumns({f"{c}_{i}": rounded(F.col(f"{c}_{i}"), 9) for i in ids for c in ("mean_rep", "rep_share")})
 
 
 @query("replicate_profile", f"""

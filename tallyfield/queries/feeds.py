@@ -117,7 +117,7 @@ _STATES_SQL = ", ".join(f"('{name}', {num}, {i})" for i, (name, num) in enumerat
 
 @query("lookup_broadcast", f"""
 WITH states(state, state_num, nationkey) AS (VALUES {_STATES_SQL})
-SELECT state, CAST(state_num AS BIGINT) AS state_num, count(*) AS n_sites, round(avg(c_acctbal), 4) + 0.0 AS mean_bal
+SELECT state, CAST(state_num AS BIGINT) AS state_num, count(*) AS n_sites, round(avg(c_acctbal), 8) + 0.0 AS mean_bal
 FROM customer LEFT JOIN states ON c_nationkey = nationkey GROUP BY 1, 2""")
 def lookup_broadcast(t: Tables) -> DataFrame:
     """Sites joined to an inline table of states; sites elsewhere get a missing state."""
@@ -125,7 +125,7 @@ def lookup_broadcast(t: Tables) -> DataFrame:
     states = lookup(t.spark, rows, "state string, state_num bigint, c_nationkey int")
     joined = t.customer.select("c_nationkey", "c_acctbal").join(states, "c_nationkey", "left")
     return joined.groupBy("state", "state_num").agg(
-        F.count("*").alias("n_sites"), rounded(F.avg("c_acctbal"), 4).alias("mean_bal")
+        F.count("*").alias("n_sites"), rounded(F.avg("c_acctbal"), 8).alias("mean_bal")
     )
 
 
@@ -322,7 +322,7 @@ def zero_site_thinning(t: Tables) -> DataFrame:
 
 _HALF_L = "SELECT p_partkey AS taxon, nullif(p_brand, 'Brand#5') AS family, nullif(p_type, 'PROMO') AS genus FROM part"
 _HALF_R = """SELECT nullif(p_brand, 'Brand#5') AS family, nullif(p_type, 'PROMO') AS genus, count(*) AS n,
-  round(avg(p_retailprice), 4) + 0.0 AS mean_price FROM part WHERE p_size > 40 GROUP BY 1, 2"""
+  round(avg(p_retailprice), 8) + 0.0 AS mean_price FROM part WHERE p_size > 40 GROUP BY 1, 2"""
 
 
 def _taxon_halves(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -330,7 +330,7 @@ def _taxon_halves(t: Tables) -> tuple[DataFrame, DataFrame]:
     genus = F.nullif(F.col("p_type"), F.lit("PROMO")).alias("genus")
     left = t.part.select(F.col("p_partkey").alias("taxon"), family, genus)
     right = t.part.where("p_size > 40").groupBy(family, genus).agg(
-        F.count("*").alias("n"), rounded(F.avg("p_retailprice"), 4).alias("mean_price")
+        F.count("*").alias("n"), rounded(F.avg("p_retailprice"), 8).alias("mean_price")
     )
     return left, right
 
