@@ -59,9 +59,11 @@ def distinct_with_null(col: str | Column) -> Column:
     return F.count_distinct(col) + F.coalesce(F.max(col.isNull().cast("int")), F.lit(0))
 
 
-def share_missing(col: str | Column) -> Column:
+def share_missing(col: str | Column, weight: str | None = None) -> Column:
+    """Share of rows without a value; ``weight`` says how many rows one stands for."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.avg(col.isNull().cast("double"))
+    missing = col.isNull().cast("double")
+    return F.avg(missing) if weight is None else F.sum(missing * F.col(weight)) / F.sum(weight)
 
 
 def count_true(cond: Column) -> Column:

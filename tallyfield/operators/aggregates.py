@@ -13,26 +13,13 @@ from tallyfield.functions.columns import strict_sum
 def frequency_profile(df: DataFrame, ids: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """How often each id repeats: distinct ids, repeats, mean / median / max rows per id.
 
-    Rows are counted per id first and the counts are counted next, so the
-    median works on distinct counts, of which n rows allow only about
-    ``sqrt(2 n)``. A missing id counts as a distinct value and as repeats, but
-    not in the mean, median and maximum.
+    A missing id counts as a distinct value and as repeats, but not in the
+    mean, median and maximum.
     """
     by = list(by)
     out = None
     for i in ids:
-        freq = df.groupBy(*by, i).agg(F.count("*").alias("_n"))
-        filled = F.when(F.col(i).isNotNull(), F.col("_n"))
-        hist = freq.groupBy(*by, filled.alias("_f")).agg(F.count("*").alias("_ids"), F.sum("_n").alias("_rows"))
-        f, n = F.col("_f"), F.col("_ids")
-        part = hist.groupBy(*by).agg(
-            F.sum(n).alias(f"n_{i}"),
-            (F.sum("_rows") - F.sum(n)).alias(f"n_rep_{i}"),
-            (F.sum(f * n) / F.sum(F.when(f.isNotNull(), n))).alias(f"mean_rep_{i}"),
-            F.percentile(f, 0.5, F.coalesce(n, F.lit(0))).alias(f"med_rep_{i}"),
-            F.max(f).alias(f"max_rep_{i}"),
-            ((F.sum("_rows") - F.sum(n)) / F.sum(n)).alias(f"rep_share_{i}"),
-        )
+        part = profile_of_counts(df.groupBy(*by, i).agg(F.count("*").alias("_n")), i, "_n", by)
         if out is None:
             out = part
         elif by:
@@ -43,6 +30,25 @@ def frequency_profile(df: DataFrame, ids: Sequence[str], by: Sequence[str] = ())
     return out
 
 
+def profile_of_counts(freq: DataFrame, i: str, n_rows: str, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`frequency_profile` from rows already counted per id.
+
+    The counts are counted in turn, so the median works on distinct counts, of
+    which n rows allow only about ``sqrt(2 n)``.
+    """
+    filled = F.when(F.col(i).isNotNull(), F.col(n_rows))
+    hist = freq.groupBy(*by, filled.alias("_f")).agg(F.count("*").alias("_ids"), F.sum(n_rows).alias("_rows"))
+    f, n, rows = F.col("_f"), F.col("_ids"), F.sum("_rows")
+    return hist.groupBy(*by).agg(
+        F.sum(n).alias(f"n_{i}"),
+        (rows - F.sum(n)).alias(f"n_rep_{i}"),
+        (F.sum(f * n) / F.sum(F.when(f.isNotNull(), n))).alias(f"mean_rep_{i}"),
+        F.percentile(f, 0.5, n).alias(f"med_rep_{i}"),
+        F.max(f).alias(f"max_rep_{i}"),
+        ((rows - F.sum(n)) / F.sum(n)).alias(f"rep_share_{i}"),
+    )
+
+
 def histogram(df: DataFrame, value: str, width: float, by: Sequence[str] = (), origin: float = 0.0) -> DataFrame:
     """Rows per equal-width bin (left-closed)."""
     k = F.floor((F.col(value) - origin) / width).cast("long")

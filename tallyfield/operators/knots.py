@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.geo import Grid, distance
 from tallyfield.operators.ranks import first_per_key
+from tallyfield.session import cut_lineage
 
 MAX_KNOTS = 1024
 
@@ -22,11 +23,14 @@ def grid_knots(points: DataFrame, point: str, grid: Grid, x: str = "x", y: str =
 
 
 def kmeans_knots(points: DataFrame, point: str, k: int, seed: int, x: str = "x", y: str = "y") -> DataFrame:
-    """The point with the smallest id of each k-means cluster of distinct coordinates."""
+    """The point with the smallest id of each k-means cluster of distinct coordinates.
+
+    The clustering passes over the places many times, so they are written once.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    places = points.groupBy(x, y).agg(F.min(point).alias(point))
+    places = cut_lineage(points.groupBy(x, y).agg(F.min(point).alias(point)))
     vectors = VectorAssembler(inputCols=[x, y], outputCol="_v").transform(places)
     model = KMeans(k=min(k, MAX_KNOTS, places.count()), seed=seed, featuresCol="_v", predictionCol="knot_cell").fit(vectors)
     return first_per_key(model.transform(vectors).drop("_v"), ["knot_cell"], [point])

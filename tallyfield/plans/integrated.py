@@ -8,21 +8,26 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.operators.joins import keep_known
 from tallyfield.operators.ranks import numbered
 
 
-def site_index(covariates: DataFrame, site: str, feeds: Mapping[str, DataFrame]) -> DataFrame:
-    """Sites of the covariate table seen in any feed, numbered in site order."""
-    seen = reduce(lambda a, b: a.union(b), [f.select(site).distinct() for f in feeds.values()]).distinct()
-    known = keep_known(covariates.select(site).distinct(), seen, [site], nulls_match=False)
+def site_index(covariates: DataFrame, site: str, feeds: Mapping[str, DataFrame], year: str) -> DataFrame:
+    """Sites of the covariate table seen in any feed, numbered in site order, with their first year.
+
+    Each feed is reduced to one row per site before anything is joined.
+    """
+    spans = [f.groupBy(site).agg(F.min(year).alias("_first")) for f in feeds.values()]
+    seen = reduce(lambda a, b: a.unionByName(b), spans).groupBy(site).agg(F.min("_first").alias("first_year"))
+    known = seen.join(covariates.select(site).distinct(), site, "left_semi")
     return numbered(known, [site], name="site_no")
 
 
 def harmonise(covariates: DataFrame, feeds: Mapping[str, DataFrame], site: str, year: str) -> dict[str, DataFrame]:
-    """Each feed with ``site_no`` and ``year_no`` (1 = first year of any feed)."""
-    info = site_index(covariates, site, feeds)
-    joined = {name: f.join(info, site) for name, f in feeds.items()}
-    years = [f.agg(F.min(year).alias("y")) for f in joined.values()]
-    first = reduce(lambda a, b: a.union(b), years).agg(F.min("y")).scalar()
-    return {name: f.withColumn("year_no", F.col(year) - first + 1) for name, f in joined.items()}
+    """Each feed with ``site_no`` and ``year_no`` (1 = first year of any feed).
+
+    A feed is read twice: once for the sites, once for the join.
+    """
+    info = site_index(covariates, site, feeds, year)
+    first = info.agg(F.min("first_year")).scalar()
+    sites = info.select(site, "site_no")
+    return {name: f.join(sites, site).withColumn("year_no", F.col(year) - first + 1) for name, f in feeds.items()}

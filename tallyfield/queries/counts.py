@@ -12,6 +12,7 @@ from tallyfield.operators.aggregates import (
     histogram,
     joint_start_abundance,
     largest_count,
+    profile_of_counts,
     richness,
     screen_groups,
     standardise,
@@ -121,17 +122,17 @@ def grid_year_totals(t: Tables) -> DataFrame:
 
 
 @query("grid_complete", f"""
-WITH cells AS (SELECT unnest(generate_series(0, 175)) AS cell_id),
+WITH cells AS (SELECT unnest(generate_series(0, {FINE.nx * FINE.ny - 1})) AS cell_id),
 j AS (SELECT cell_id, CAST(yr AS INTEGER) AS yr, sum(cnt) AS total FROM v_site_year v
-  JOIN (SELECT site, cell_id FROM {_SITE_CELLS} c WHERE stratum = 'BUILDING') s ON s.site = v.site GROUP BY 1, 2)
+  JOIN (SELECT site, {cell_sql(FINE)} AS cell_id FROM v_sites) s ON s.site = v.site GROUP BY 1, 2)
 SELECT cells.cell_id, yr, CAST(total AS BIGINT) AS total_count FROM cells LEFT JOIN j ON j.cell_id = cells.cell_id""")
 def grid_complete(t: Tables) -> DataFrame:
-    """Observations of one stratum on the whole grid; empty cells stay as rows."""
-    sites = to_cells(t.v_sites.where("stratum = 'BUILDING'"), COARSE).select("site", "cell_id")
+    """Yearly totals on the whole 20 km grid; empty cells stay as rows."""
+    sites = to_cells(t.v_sites, FINE).select("site", "cell_id")
     per_site = totals(t.v_site_year, ["site", "yr"], "cnt", "c")
     joined = natural_join(per_site, sites, "inner", ["site"], nulls_match=False)
     sums = totals(joined, ["cell_id", "yr"], "c", "total_count")
-    return complete_grid(sums, grid_cells(t.spark, COARSE).select("cell_id"))
+    return complete_grid(sums, grid_cells(t.spark, FINE).select("cell_id"))
 
 
 @query("richness_by_stratum", """
@@ -139,9 +140,14 @@ WITH m AS (SELECT s.stratum, v.species, v.yr, avg(cnt) AS mean FROM v_site_year
 g AS (SELECT stratum || '-' || yr AS stratum, species, mean FROM m)
 SELECT stratum, sum(CASE WHEN mean > 0 THEN 1 ELSE 0 END)::BIGINT AS richness FROM g GROUP BY 1""")
 def richness_by_stratum(t: Tables) -> DataFrame:
-    """Species with a positive mean count per stratum and year."""
+    """Species with a positive mean count per stratum and year.
+
+    Counts of a site, year and species are averaged before the join; a mean of
+    such means is positive exactly when the mean of the rows is.
+    """
     strata = t.v_sites.select("site", "stratum")
-    rows = natural_join(t.v_site_year.select("site", "yr", "species", "cnt"), strata, "inner", ["site"], nulls_match=False)
+    means = t.v_site_year.groupBy("site", "yr", "species").agg(F.avg("cnt").alias("cnt"))
+    rows = natural_join(means, strata, "inner", ["site"], nulls_match=False)
     named = rows.withColumn("stratum", F.concat_ws("-", "stratum", F.col("yr").cast("string")))
     return richness(named, "stratum", "species", "cnt")
 
@@ -159,9 +165,10 @@ def _rounded_profile(df: DataFrame, ids: list[str]) -> DataFrame:
 WITH f AS (SELECT s.state, v.site, count(*) AS n FROM v_site_year v JOIN v_sites s ON s.site = v.site GROUP BY 1, 2)
 SELECT state, {_profile_sql('site')} FROM f GROUP BY 1""")
 def replicate_profile(t: Tables) -> DataFrame:
-    """Repeat visits per site, by state."""
-    rows = natural_join(t.v_site_year.select("site"), t.v_sites.select("site", "state"), "inner", ["site"], nulls_match=False)
-    return _rounded_profile(frequency_profile(rows, ["site"], ["state"]), ["site"])
+    """Repeat visits per site, by state; visits are counted per site before the join."""
+    visits = t.v_site_year.groupBy("site").agg(F.count("*").alias("n"))
+    rows = natural_join(visits, t.v_sites.select("site", "state"), "inner", ["site"], nulls_match=False)
+    return _rounded_profile(profile_of_counts(rows, "site", "n", ["state"]), ["site"])
 
 
 @query("replicate_profile_global", f"""

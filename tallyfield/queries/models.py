@@ -32,6 +32,7 @@ from tallyfield.operators.ranks import flag_first
 from tallyfield.operators.spatial import to_cells
 from tallyfield.queries.counts import COARSE, cell_sql
 from tallyfield.queries.registry import Tables, query
+from tallyfield.session import cut_lineage
 from tallyfield.sources.readers import lookup
 
 SIGMA, THETA, CUTOFF, N_BINS, PERIODS = 60.0, 0.4, 250.0, 5, 6
@@ -107,17 +108,18 @@ def detection_logistic(t: Tables) -> DataFrame:
     d = t.v_distance
     survey = d.select(F.lit("survey").alias("feed"), F.col("yr").cast("string").alias("part"), logistic_detection(
         0.5, [(-0.01, F.col("distance")), (-0.2, F.col("time_period")), (0.1, F.col("transect") % 3)]).alias("p"))
-    lists = gather(t.v_checklists.select("observer", "protocol", "duration"), _effects(t, "observer"), "observer", "eff", "eff")
-    checklists = lists.select(F.lit("checklists").alias("feed"), F.col("protocol").alias("part"),
+    # rows with the same covariates and group share their detection, so they are counted before the joins
+    lists = t.v_checklists.groupBy("observer", "protocol", "duration").agg(F.count("*").alias("w"))
+    lists = gather(lists, _effects(t, "observer"), "observer", "eff", "eff")
+    checklists = lists.select(F.lit("checklists").alias("feed"), F.col("protocol").alias("part"), "w",
                               logistic_detection(-1.0, [(0.005, F.col("duration"))], F.col("eff")).alias("p"))
     regions = t.nation.select(F.col("n_nationkey").alias("state"), (F.col("n_regionkey") * 0.1).alias("eff"))
     sites = gather(t.v_sites.select("site", "state"), regions, "state", "eff", "eff")
-    # visits of one site and species share their detection, so they are counted before the join
     visits = t.v_site_year.groupBy("site", "species").agg(F.count("*").alias("w"))
     placed = natural_join(visits, sites, "inner", ["site"], nulls_match=False)
     visited = placed.select(F.lit("visits").alias("feed"), F.col("species").alias("part"), "w", logistic_detection(
         -0.5, [(0.3, F.substring("species", 1, 1).cast("int"))], F.col("eff")).alias("p"))
-    every = survey.withColumn("w", F.lit(1).cast("long")).unionByName(checklists.withColumn("w", F.lit(1).cast("long"))).unionByName(visited)
+    every = survey.withColumn("w", F.lit(1).cast("long")).unionByName(checklists).unionByName(visited)
     return every.groupBy("feed", "part").agg(
         F.sum("w").alias("n"), rounded(F.sum(F.col("p") * F.col("w")) / F.sum("w"), 9).alias("mean_p")
     )
@@ -222,7 +224,7 @@ def dispersal_step(t: Tables) -> DataFrame:
     x, y = F.col("x"), F.col("y")
     placed = t.v_points.select(_PATCHES.ix(x).alias("ix"), _PATCHES.iy(y).alias("iy"), "label")
     patches = placed.groupBy("ix", "iy").agg((F.sum("label").cast("double") * 1.1).alias("v"))
-    patches = patches.withColumn("cell_id", _PATCHES.cell_of(F.col("ix"), F.col("iy")))
+    patches = cut_lineage(patches.withColumn("cell_id", _PATCHES.cell_of(F.col("ix"), F.col("iy"))))
     out = disperse(patches, "v", _PATCHES.size, 2.0, 28)
     return out.withColumn("arrivals", rounded(F.col("arrivals"), 8))
 
@@ -248,9 +250,9 @@ SELECT site, yr, w.species, round(exp(sum(slope * x)), 8) + 0.0 AS growth FROM t
 def density_dependent_growth(t: Tables) -> DataFrame:
     """Growth of every species from the density of all of them and the years passed."""
     n = t.v_site_year.groupBy("site", "yr", "species").agg((F.coalesce(F.sum("cnt"), F.lit(0)) + 1).cast("double").alias("n"))
-    firsts = n.groupBy("site", "species").agg(F.min_by("n", "yr").alias("n0"))
-    begin = n.groupBy("site").agg(F.min("yr").alias("y0"))
-    rows = n.join(firsts, ["site", "species"]).join(begin, "site").withColumn("passed", F.col("yr") - F.col("y0"))
+    firsts = n.groupBy("site", "species").agg(F.min_by("n", "yr").alias("n0"), F.min("yr").alias("y0"))
+    begin = firsts.groupBy("site").agg(F.min("y0").alias("y0"))
+    rows = n.join(firsts.drop("y0"), ["site", "species"]).join(begin, "site").withColumn("passed", F.col("yr") - F.col("y0"))
     slopes = lookup(t.spark, _SLOPES, "species string, term string, slope double")
     out = density_growth(rows, "site", "yr", "species", "n", "n0", "passed", slopes)
     return out.withColumn("growth", rounded(F.col("growth"), 8))

@@ -35,6 +35,7 @@ from tallyfield.operators.spatial import (
 from tallyfield.queries.counts import COARSE, FINE, cell_sql
 from tallyfield.queries.feeds import albers_sql
 from tallyfield.queries.registry import Tables, query
+from tallyfield.session import cut_lineage
 
 # the unit square of the point table: a lattice for neighbours, coarse cells for knots
 LATTICE = Grid(-1.0, -1.0, 0.02, 100, 100)
@@ -152,8 +153,8 @@ def grid_region_cells(t: Tables) -> DataFrame:
     return region_cells(grid_cells(t.spark, COARSE), edges, "ring", COARSE)
 
 
-_RASTER_SQL = """r AS (SELECT l_partkey % 50 AS ix, l_suppkey % 50 AS iy, avg(l_extendedprice) / 100 AS elev
-  FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2)"""
+_RASTER_SQL = """r AS (SELECT l_partkey % 101 AS ix, l_orderkey % 103 AS iy, avg(l_extendedprice) / 100 AS elev
+  FROM lineitem GROUP BY 1, 2)"""
 
 
 @query("terrain_hillshade", f"""
@@ -169,19 +170,19 @@ SELECT ix, iy, round(elev, 8) + 0.0 AS elev, round(slope, 5) + 0.0 AS slope, rou
 FROM s""")
 def terrain_hillshade(t: Tables) -> DataFrame:
     """Slope, aspect and hillshade of a raster with holes, heights averaged from the line items."""
-    raster = t.lineitem.where("l_quantity > 45").groupBy(
-        (F.col("l_partkey") % 50).alias("ix"), (F.col("l_suppkey") % 50).alias("iy")
+    raster = t.lineitem.groupBy(
+        (F.col("l_partkey") % 101).alias("ix"), (F.col("l_orderkey") % 103).alias("iy")
     ).agg((F.avg("l_extendedprice") / 100).alias("elev"))
     digits = {"elev": 8, "slope": 5, "aspect": 5, "hillshade": 4}
     return terrain(raster, 100.0).withColumns({c: rounded(F.col(c), d) for c, d in digits.items()})
 
 
 def lattice_cells(t: Tables) -> DataFrame:
-    """Occupied lattice cells with their points and mean label."""
+    """Occupied lattice cells with their points and mean label, written once as they are read often."""
     x, y = F.col("x"), F.col("y")
     placed = t.v_points.select(LATTICE.ix(x).alias("ix"), LATTICE.iy(y).alias("iy"), "label")
     cells = placed.groupBy("ix", "iy").agg(F.count("*").alias("n"), (F.sum("label") / F.count("*")).alias("label"))
-    return cells.withColumn("cell_id", LATTICE.cell_of(F.col("ix"), F.col("iy")))
+    return cut_lineage(cells.withColumn("cell_id", LATTICE.cell_of(F.col("ix"), F.col("iy"))))
 
 
 _CELLS_SQL = f"""cells AS (SELECT CAST(floor((x - (-1.0)) / 0.02) AS BIGINT) AS ix, CAST(floor((y - (-1.0)) / 0.02) AS BIGINT) AS iy,

@@ -73,14 +73,17 @@ SELECT count(*) AS n_rows, round(avg(CASE WHEN extinct_year IS NULL THEN 1.0 ELS
   round(avg(CASE WHEN code IS NULL THEN 1.0 ELSE 0.0 END), 8) + 0.0 AS code_missing
 FROM lineitem JOIN v_taxa ON v_taxa.taxon = l_partkey LEFT JOIN living ON living.taxon = l_partkey""")
 def null_share(t: Tables) -> DataFrame:
-    """Share of records without an extinction year or a code after the key joins."""
+    """Share of records without an extinction year or a code after the key joins.
+
+    Records are counted per taxon first and weigh the shares.
+    """
     living = t.v_taxa.where(F.col("extinct_year").isNull()).select("taxon", F.col("alpha").alias("code"))
     keyed = natural_join(t.v_taxa.select("taxon", "extinct_year"), living, "left", ["taxon"], nulls_match=False)
-    records = t.lineitem.select(F.col("l_partkey").alias("taxon")).join(keyed, "taxon")
+    records = t.lineitem.groupBy(F.col("l_partkey").alias("taxon")).agg(F.count("*").alias("n")).join(keyed, "taxon")
     return records.agg(
-        F.count("*").alias("n_rows"),
-        rounded(share_missing("extinct_year"), 8).alias("extinct_missing"),
-        rounded(share_missing("code"), 8).alias("code_missing"),
+        F.sum("n").alias("n_rows"),
+        rounded(share_missing("extinct_year", "n"), 8).alias("extinct_missing"),
+        rounded(share_missing("code", "n"), 8).alias("code_missing"),
     )
 
 
