@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.geo import in_box
-from tallyfield.operators.joins import drop_known, keep_known, with_every
+from tallyfield.operators.joins import with_every
 from tallyfield.operators.ranks import first_per_key, one_at_random
 
 
@@ -65,16 +65,12 @@ def thin_zero_sites(
     """Positive rows, plus one random zero row per site and year.
 
     Sites that never had a positive count stay only when zeros were recorded in
-    at least ``min_years`` different years.
+    at least ``min_years`` different years. Rows are reduced to site years, then
+    to sites, to tell which sites stay; only zero rows are joined to that.
     """
-    positive = df.where(F.col(count) > 0)
-    zero = df.where(F.col(count) == 0)
-    years = (
-        drop_known(zero, positive, [site], nulls_match=False)
-        .select(site, year).distinct()
-        .groupBy(site).agg(F.count("*").alias("_years"))
-        .where(F.col("_years") >= min_years)
-    )
-    keep = positive.select(site).union(years.select(site)).distinct()
-    kept_zero = one_at_random(keep_known(zero, keep, [site], nulls_match=False), [site, year], row_id, seed)
-    return positive.unionByName(kept_zero)
+    seen, none = F.col(count) > 0, F.col(count) == 0
+    years = df.where(seen | none).groupBy(site, year).agg(F.max(seen).alias("_pos"), F.max(none).cast("int").alias("_zero"))
+    sites = years.groupBy(site).agg(F.max("_pos").alias("_pos"), F.sum("_zero").alias("_years"))
+    keep = sites.where(F.col("_pos") | (F.col("_years") >= min_years)).select(site)
+    kept_zero = df.where(none).join(keep, site, "left_semi")
+    return df.where(seen).unionByName(one_at_random(kept_zero, [site, year], row_id, seed))

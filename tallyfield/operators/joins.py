@@ -95,11 +95,11 @@ def with_every(df: DataFrame, other: DataFrame, spread_by: Sequence[str], parts:
 def rows_matching_one(items: DataFrame, item: str, codes: DataFrame, code: str) -> DataFrame:
     """Items that occur as a substring of exactly one distinct code.
 
-    Codes are cut into all their substrings of the lengths the items have, so
-    the containment test becomes an equi-join.
+    Codes are cut into all their substrings of the lengths the items have.
+    Substrings are counted over codes before they meet the items, so the test
+    is one grouped count and one equi-join, however common a substring is.
     """
-    wanted = items.select(F.col(item).alias("_part")).distinct()
-    lengths = wanted.select(F.char_length("_part").alias("_len")).distinct()
+    lengths = items.select(F.char_length(item).alias("_len")).where("_len > 0").distinct()
     code_list = codes.select(F.col(code).alias("_code")).where(F.col("_code").isNotNull()).distinct()
     sized = with_every(code_list, lengths, ["_code"]).where(F.char_length("_code") >= F.col("_len"))
     starts = F.explode(F.sequence(F.lit(1), F.char_length("_code") - F.col("_len") + 1))
@@ -108,5 +108,5 @@ def rows_matching_one(items: DataFrame, item: str, codes: DataFrame, code: str)
         .select("_code", F.col("_code").substr(F.col("_at"), F.col("_len")).alias("_part"))
         .distinct()
     )
-    hits = parts.join(wanted, "_part").groupBy("_part").count().where("count = 1")
+    hits = parts.groupBy("_part").agg(F.count("*").alias("_n")).where("_n = 1")
     return items.join(hits.select(F.col("_part").alias(item)), item, "left_semi")

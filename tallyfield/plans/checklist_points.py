@@ -11,6 +11,7 @@ from tallyfield.functions.geo import Albers
 from tallyfield.operators.aggregates import sufficient_keys
 from tallyfield.operators.checklists import comparable, counted
 from tallyfield.operators.joins import keep_known, natural_join
+from tallyfield.session import cut_lineage
 
 # fixed values: study box in degrees (west, south, east, north), minutes, protocols
 STUDY_BOX = (-128.41723, 24.75365, -98.37560, 54.61227)
@@ -29,11 +30,15 @@ def species_points(
     checklists: DataFrame, observations: DataFrame, species: Sequence[str] | None = None,
     at_least: int = 30, projection: Albers | None = None,
 ) -> DataFrame:
-    """All species in one plan; species with too few positive rows are left out."""
+    """All species in one plan; species with too few positive rows are left out.
+
+    The filtered rows are needed for the gate and for the result, so they are
+    written once; the filters leave a small part of the feed.
+    """
     wanted = observations if species is None else observations.where(F.col("species").isin(*species))
     usable = usable_checklists(checklists)
     rows = natural_join(wanted.select("event_id", "species", "count_text"), usable, "inner", ["event_id"], False)
-    positive = counted(rows, "count_text", "count")
+    positive = cut_lineage(counted(rows, "count_text", "count"))
     enough = sufficient_keys(positive, "species", "count", at_least)
     kept = keep_known(positive, enough, ["species"], nulls_match=False)
     x, y = (projection or Albers()).project(F.col("lon"), F.col("lat"))

@@ -205,18 +205,27 @@ SELECT (SELECT count(*) FROM v_site_year) AS n_obs, (SELECT count(*) FROM per_si
   (SELECT count(DISTINCT transect) FROM v_distance) AS n_transects,
   CAST(least((SELECT min(yr) FROM v_site_year), (SELECT min(yr) FROM v_stops), (SELECT min(yr) FROM v_distance)) AS INTEGER) AS first_year""")
 def model_constants(t: Tables) -> DataFrame:
-    """Sizes and the first year over all feeds, one row."""
-    per_site = t.v_site_year.groupBy("site").agg(F.count_distinct("yr").alias("n"))
-    routes = t.lineitem.select(F.col("l_suppkey").alias("route"), (F.col("l_partkey") % 20).alias("obs_n"), F.year("l_shipdate").alias("yr"))
-    years = F.least(t.v_site_year.agg(F.min("yr")).scalar(), routes.agg(F.min("yr")).scalar(), t.v_distance.agg(F.min("yr")).scalar())
-    return t.spark.range(1).select(
-        t.v_site_year.agg(F.count("*")).scalar().alias("n_obs"),
-        per_site.agg(F.count("*")).scalar().alias("n_sites"),
-        per_site.agg(F.max("n")).scalar().alias("max_years"),
-        routes.agg(F.count_distinct("route")).scalar().alias("n_routes"),
-        routes.agg(F.count_distinct("obs_n")).scalar().alias("n_observers"),
-        t.v_distance.agg(F.count_distinct("transect")).scalar().alias("n_transects"),
-        years.alias("first_year"),
+    """Sizes and the first year over all feeds, one row; each feed is read once.
+
+    A feed's keys are reduced to distinct combinations, which every distinct
+    count then starts from.
+    """
+    visits = t.v_site_year.groupBy("site", "yr").agg(F.count("*").alias("n")).groupBy("site").agg(
+        F.sum("n").alias("n"), F.count("*").alias("years"), F.min("yr").alias("y")
+    )
+    visits = visits.agg(
+        F.sum("n").alias("n_obs"), F.count("*").alias("n_sites"), F.max("years").alias("max_years"), F.min("y").alias("y1")
+    )
+    routes = t.v_stops.select("route", "obs_n", "yr").distinct().agg(
+        F.count_distinct("route").alias("n_routes"), F.count_distinct("obs_n").alias("n_observers"), F.min("yr").alias("y2")
+    )
+    survey = t.v_distance.groupBy("transect").agg(F.min("yr").alias("y")).agg(
+        F.count("*").alias("n_transects"), F.min("y").alias("y3")
+    )
+    r, d = (df.agg(F.first(F.struct("*"))).scalar() for df in (routes, survey))
+    return visits.select(
+        "n_obs", "n_sites", "max_years", r.getField("n_routes").alias("n_routes"), r.getField("n_observers").alias("n_observers"),
+        d.getField("n_transects").alias("n_transects"), F.least("y1", r.getField("y2"), d.getField("y3")).alias("first_year"),
     )
 
 

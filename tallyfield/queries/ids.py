@@ -13,6 +13,7 @@ from tallyfield.plans.integrated import harmonise
 from tallyfield.plans.route_counts import on_grid, route_points, widen_stops
 from tallyfield.queries.counts import COARSE, _GROUPS_SQL, cell_sql
 from tallyfield.queries.registry import Tables, query
+from tallyfield.session import cut_lineage
 
 
 @query("time_step", """
@@ -26,7 +27,8 @@ def time_step(t: Tables) -> DataFrame:
 
 
 def _route_years(t: Tables) -> DataFrame:
-    return totals(t.v_stops, ["route", "yr", "obs_n"], "cnt", "total_count")
+    """Totals per route, year and observer, written once as every id reads them twice."""
+    return cut_lineage(totals(t.v_stops, ["route", "yr", "obs_n"], "cnt", "total_count"))
 
 
 _ROUTE_YEARS = "(SELECT route, CAST(yr AS INTEGER) AS yr, obs_n, CAST(sum(cnt) AS BIGINT) AS total_count FROM v_stops GROUP BY 1, 2, 3)"

@@ -17,7 +17,6 @@ from tallyfield.operators.abundance import (
     space_time_mean,
     totals_by_year,
 )
-from tallyfield.operators.aggregates import totals
 from tallyfield.operators.detection import (
     detection_table,
     effort_columns,
@@ -59,7 +58,7 @@ SELECT n.species, p.d, p.r, p.cell, round(psi_share, 9) + 0.0 AS psi_share, roun
 FROM n CROSS JOIN pis p LEFT JOIN o ON o.species = n.species AND o.d = p.d AND o.r = p.r""")
 def detection_bins(t: Tables) -> DataFrame:
     """Detection shares of the distance x period block beside observed and expected counts per species."""
-    observed = binned_counts(t, ["species"])
+    observed = cut_lineage(binned_counts(t, ["species"]))
     per_species = observed.groupBy("species").agg(F.sum("y").alias("n"))
     shares = detection_table(per_species, F.lit(SIGMA), F.lit(THETA), CUTOFF, N_BINS, PERIODS)
     joined = shares.join(observed, ["species", "d", "r"], "left")
@@ -138,7 +137,7 @@ SELECT route, yr, obs_n, CAST(new AS INTEGER) AS new, j.j, round(exp(eta), 9) +
 FROM e CROSS JOIN j""")
 def linear_predictor_gather(t: Tables) -> DataFrame:
     """Count scale per route year from route, observer and first-year effects, and the spread of each stop group."""
-    route_years = totals(t.v_stops, ["route", "yr", "obs_n"], "cnt", "total").drop("total")
+    route_years = cut_lineage(t.v_stops.select("route", "yr", "obs_n").distinct())
     flagged = flag_first(route_years, ["route", "obs_n"], ["yr"], "new")
     routes = t.supplier.select(F.col("s_suppkey").alias("route"), (F.col("s_acctbal") / 10000).alias("eff"))
     rows = gather(gather(flagged, routes, "route", "eff", "route_eff"), _effects(t, "obs_n"), "obs_n", "eff", "obs_eff")
@@ -249,7 +248,8 @@ terms AS (SELECT n.site, yr, 'species:' || n.species AS term, CAST(n - n0 AS DOU
 SELECT site, yr, w.species, round(exp(sum(slope * x)), 8) + 0.0 AS growth FROM terms JOIN w ON w.term = terms.term GROUP BY 1, 2, 3""")
 def density_dependent_growth(t: Tables) -> DataFrame:
     """Growth of every species from the density of all of them and the years passed."""
-    n = t.v_site_year.groupBy("site", "yr", "species").agg((F.coalesce(F.sum("cnt"), F.lit(0)) + 1).cast("double").alias("n"))
+    sums = t.v_site_year.groupBy("site", "yr", "species").agg((F.coalesce(F.sum("cnt"), F.lit(0)) + 1).cast("double").alias("n"))
+    n = cut_lineage(sums)
     firsts = n.groupBy("site", "species").agg(F.min_by("n", "yr").alias("n0"), F.min("yr").alias("y0"))
     begin = firsts.groupBy("site").agg(F.min("y0").alias("y0"))
     rows = n.join(firsts.drop("y0"), ["site", "species"]).join(begin, "site").withColumn("passed", F.col("yr") - F.col("y0"))
