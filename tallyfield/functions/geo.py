@@ -33,6 +33,13 @@ class Albers:
         return rho * F.sin(theta), rho0 - rho * F.cos(theta)
 
 
+def require_same_crs(*systems: Albers) -> Albers:
+    """The common coordinate system of several tables; differing ones are an error."""
+    if len(set(systems)) != 1:
+        raise ValueError(f"coordinate systems differ: {set(systems)}")
+    return systems[0]
+
+
 @dataclass(frozen=True)
 class Grid:
     """Square cells of ``size`` from the corner ``(x0, y0)``, ``nx`` to a row."""

@@ -18,28 +18,47 @@ def kept_draws(draws: DataFrame, iteration: str, burn_in: int, thin: int, parame
     return kept if monitors is None else kept.where(F.col(parameter).isin(*monitors))
 
 
-def summarise(draws: DataFrame, parameter: str, value: str) -> DataFrame:
-    """Mean, median, sample sd and the central 95 % bounds per parameter, all chains together."""
-    moments = draws.groupBy(parameter).agg(
+def summarise(draws: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Mean, median, sample sd and the central 95 % bounds per group.
+
+    Group by the parameter for all chains together, or by parameter and chain.
+    """
+    by = list(by)
+    moments = draws.groupBy(*by).agg(
         F.count(value).alias("n_draws"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
     )
-    bounds = exact_quantiles(draws, [parameter], value, {"median": 0.5, "low": 0.025, "high": 0.975})
-    return moments.join(bounds, parameter)
+    return moments.join(exact_quantiles(draws, by, value, {"median": 0.5, "low": 0.025, "high": 0.975}), by)
 
 
 def potential_scale(draws: DataFrame, parameter: str, chain: str, value: str) -> DataFrame:
-    """Potential scale reduction (Gelman and Rubin 1992), without its sampling-error correction."""
+    """Potential scale reduction per parameter (Gelman and Rubin 1992).
+
+    ``rhat`` is the plain ratio of pooled to within-chain variance; ``psrf``
+    adds the sampling variance of the grand mean and the correction for the
+    degrees of freedom of the pooled variance. Chains are reduced to their
+    moments first, so the second aggregate sees one row per chain.
+    """
     chains = draws.groupBy(parameter, chain).agg(
         F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_samp(value).alias("_v")
     )
+    m, v = F.col("_m"), F.col("_v")
     sums = chains.groupBy(parameter).agg(
-        F.count("*").alias("n_chains"), F.avg("_n").alias("_n"),
-        F.avg("_v").alias("within"), F.var_samp("_m").alias("_b"),
+        F.count("*").alias("n_chains"), F.avg("_n").alias("_n"), F.avg(m).alias("_mean"),
+        F.avg(v).alias("within"), F.var_samp(m).alias("_b"), F.var_samp(v).alias("_vv"),
+        F.covar_samp(v, m * m).alias("_c2"), F.covar_samp(v, m).alias("_c1"),
     )
-    pooled = F.col("within") * (F.col("_n") - 1) / F.col("_n") + F.col("_b")
+    n, k, w, b = F.col("_n"), F.col("n_chains"), F.col("within"), F.col("_b") * F.col("_n")
+    grow = 1 + 1 / k
+    pooled = w * (n - 1) / n + grow * b / n
+    cov = n / k * (F.col("_c2") - 2 * F.col("_mean") * F.col("_c1"))
+    spread = (
+        (n - 1) * (n - 1) * F.col("_vv") / k + grow * grow * 2 * b * b / (k - 1) + 2 * (n - 1) * grow * cov
+    ) / (n * n)
+    freedom = 2 * pooled * pooled / spread
     return sums.select(
-        parameter, "n_chains", "within", (F.col("_b") * F.col("_n")).alias("between"),
-        F.sqrt(pooled / F.col("within")).alias("rhat"),
+        parameter, "n_chains", "within", b.alias("between"),
+        F.sqrt((w * (n - 1) / n + F.col("_b")) / w).alias("rhat"),
+        F.sqrt((freedom + 3) / (freedom + 1) * pooled / w).alias("psrf"),
     )
 
 

@@ -96,6 +96,13 @@ def inside_rings(
     return hits.groupBy(*ids, ring).agg(F.count("*").alias("_n")).where("_n % 2 = 1").drop("_n")
 
 
+def inside_any(
+    points: DataFrame, ids: Sequence[str], x: str, y: str, edges: DataFrame, ring: str, band: float
+) -> DataFrame:
+    """Points inside the union of all rings, once each; the merged outline is not needed."""
+    return inside_rings(points, ids, x, y, edges, ring, band).select(*ids).distinct()
+
+
 def crossed_cells(edges: DataFrame, grid: Grid, keep: Sequence[str] = ()) -> DataFrame:
     """Cells an edge passes through.
 

@@ -30,8 +30,11 @@ def visit_blocks(clean: DataFrame, at_least: int = 30) -> DataFrame:
 
 
 def cell_blocks(clean: DataFrame, cells_of: DataFrame, cells: DataFrame) -> DataFrame:
-    """Blocks per cell, year and visit; empty cells stay with zero counts."""
-    placed = clean.join(cells_of, "transect")
-    blocks = distance_period_block(placed, ["cell_id", "yr", "transect", "point"], "distance", "time_period", "cnt", WIDTH, N_BINS, PERIODS)
+    """Blocks per cell, year and visit; empty cells stay with zero counts.
+
+    A transect lies in one cell, so rows are folded to visits before the join.
+    """
+    visits = distance_period_block(clean, ["yr", "transect", "point"], "distance", "time_period", "cnt", WIDTH, N_BINS, PERIODS)
+    blocks = visits.join(cells_of, "transect")
     full = complete_grid(blocks, cells.select("cell_id"))
     return full.na.fill(0, [c for c in full.columns if c.startswith("count_")])

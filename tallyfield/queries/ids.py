@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyfield.operators.aggregates import totals
 from tallyfield.operators.checklists import thin_zero_sites
 from tallyfield.operators.ranks import first_per_key, flag_first, id_by_first_seen, id_by_value, numbered
-from tallyfield.operators.spatial import grid_cells
+from tallyfield.operators.spatial import grid_cells, to_cells
+from tallyfield.plans.distance_blocks import cell_blocks, clean_survey, visit_blocks
 from tallyfield.plans.integrated import harmonise
 from tallyfield.plans.route_counts import on_grid, route_points, widen_stops
 from tallyfield.queries.counts import COARSE, _GROUPS_SQL, cell_sql
@@ -97,6 +98,34 @@ def route_counts_on_grid(t: Tables) -> DataFrame:
     return on_grid(route_points(wide, routes, COARSE), grid_cells(t.spark, COARSE))
 
 
+_YEARS = (1996, 2000)
+_BLOCK = ", ".join(
+    f"CAST(sum(CASE WHEN time_period = {p} AND least(floor(distance / 50), 4) = {b} THEN cnt ELSE 0 END) AS BIGINT) AS count_{b * 50}_{b * 50 + 50}_{p}"
+    for p in range(1, 7) for b in range(5)
+)
+_BLOCK_NAMES = [f"count_{b * 50}_{b * 50 + 50}_{p}" for p in range(1, 7) for b in range(5)]
+_CLEAN = f"""clean AS (SELECT *, lower(species) AS alpha FROM v_distance
+  WHERE yr BETWEEN {_YEARS[0]} AND {_YEARS[1]} AND distance BETWEEN 0 AND 250 AND time_period <> -1)"""
+
+
+@query("distance_blocks_by_species", f"""
+WITH {_CLEAN}, enough AS (SELECT alpha FROM clean GROUP BY 1 HAVING sum(CASE WHEN cnt > 0 THEN 1 ELSE 0 END) >= 30)
+SELECT alpha, CAST(yr AS INTEGER) AS yr, transect, point, {_BLOCK} FROM clean WHERE alpha IN (SELECT alpha FROM enough) GROUP BY 1, 2, 3, 4""")
+def distance_blocks_by_species(t: Tables) -> DataFrame:
+    """Cleaned survey rows to blocks per species and visit, for species with enough rows."""
+    return visit_blocks(clean_survey(t.v_distance, _YEARS))
+
+
+@query("distance_blocks_on_grid", f"""
+WITH {_CLEAN}, cells AS (SELECT unnest(generate_series(0, 175)) AS cell_id), located AS (SELECT site AS transect, {cell_sql(COARSE)} AS cell_id FROM v_sites),
+b AS (SELECT cell_id, CAST(yr AS INTEGER) AS yr, clean.transect, point, {_BLOCK} FROM clean JOIN located ON located.transect = clean.transect GROUP BY 1, 2, 3, 4)
+SELECT cells.cell_id, yr, transect, point, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _BLOCK_NAMES)} FROM cells LEFT JOIN b ON b.cell_id = cells.cell_id""")
+def distance_blocks_on_grid(t: Tables) -> DataFrame:
+    """Blocks per cell and visit on the whole grid; empty cells hold zeros."""
+    located = to_cells(t.v_sites, COARSE).select(F.col("site").alias("transect"), "cell_id")
+    return cell_blocks(clean_survey(t.v_distance, _YEARS), located, grid_cells(t.spark, COARSE))
+
+
 @query("harmonise_three_feeds", """
 WITH pos AS (SELECT * FROM v_site_year WHERE cnt > 0), zero AS (SELECT * FROM v_site_year WHERE cnt = 0),
 years AS (SELECT site FROM zero WHERE site NOT IN (SELECT site FROM pos) GROUP BY site HAVING count(DISTINCT yr) >= 5),

@@ -299,7 +299,7 @@ SELECT parameter, count(*) AS n_draws, round(avg(value), 7) + 0.0 AS mean, round
   round(quantile_cont(value, 0.025), 6) + 0.0 AS low, round(quantile_cont(value, 0.975), 6) + 0.0 AS high FROM kept GROUP BY 1""")
 def posterior_summary(t: Tables) -> DataFrame:
     """Mean, sd, median and bounds per monitored parameter after burn-in and thinning."""
-    out = summarise(_kept(t), "parameter", "value")
+    out = summarise(_kept(t), ["parameter"], "value")
     digits = {"mean": 7, "sd": 7, "median": 6, "low": 6, "high": 6}
     return out.withColumns({c: rounded(F.col(c), d) for c, d in digits.items()})
 
@@ -312,8 +312,12 @@ def trace_table(t: Tables) -> DataFrame:
 
 @query("gelman_rhat", """
 WITH c AS (SELECT parameter, chain, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM v_draws GROUP BY 1, 2),
-s AS (SELECT parameter, count(*) AS k, avg(n) AS n, avg(v) AS w, var_samp(m) AS b FROM c GROUP BY 1)
-SELECT parameter, k AS n_chains, round(w, 6) + 0.0 AS within, round(b * n, 6) + 0.0 AS between, round(sqrt((w * (n - 1) / n + b) / w), 8) + 0.0 AS rhat FROM s""")
+s AS (SELECT parameter, count(*) AS k, avg(n) AS n, avg(v) AS w, var_samp(m) AS b, avg(m) AS mu, var_samp(v) / count(*) AS var_w,
+  covar_samp(v, m * m) - 2 * avg(m) * covar_samp(v, m) AS c FROM c GROUP BY 1),
+d AS (SELECT *, w * (n - 1) / n + (1 + 1.0 / k) * b AS pooled,
+  (pow(n - 1, 2) * var_w + pow(1 + 1.0 / k, 2) * 2 * pow(b * n, 2) / (k - 1) + 2 * (n - 1) * (1 + 1.0 / k) * n / k * c) / (n * n) AS var_p FROM s)
+SELECT parameter, k AS n_chains, round(w, 6) + 0.0 AS within, round(b * n, 6) + 0.0 AS between, round(sqrt((w * (n - 1) / n + b) / w), 8) + 0.0 AS rhat,
+  round(sqrt((2 * pooled * pooled / var_p + 3) / (2 * pooled * pooled / var_p + 1) * pooled / w), 8) + 0.0 AS psrf FROM d""")
 def gelman_rhat(t: Tables) -> DataFrame:
     out = potential_scale(t.v_draws, "parameter", "chain", "value")
-    return out.withColumns({"within": rounded(F.col("within")), "between": rounded(F.col("between")), "rhat": rounded(F.col("rhat"), 8)})
+    return out.withColumns({"within": rounded(F.col("within")), "between": rounded(F.col("between")), "rhat": rounded(F.col("rhat"), 8), "psrf": rounded(F.col("psrf"), 8)})

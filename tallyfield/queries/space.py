@@ -24,6 +24,7 @@ from tallyfield.operators.neighbours import (
 from tallyfield.operators.spatial import (
     fitted_grid,
     grid_cells,
+    inside_any,
     inside_rings,
     lattice_pairs,
     region_cells,
@@ -117,6 +118,17 @@ def point_in_polygon(t: Tables) -> DataFrame:
     return inside_rings(t.v_sites, ["site"], "x", "y", edges, "ring", 100000.0)
 
 
+@query("point_in_region", f"""
+WITH {_rings_sql('state')}, hit AS (SELECT p.site, e.ring FROM v_sites p JOIN edges e
+  ON (e.y1 > p.y) <> (e.y2 > p.y) AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1
+  GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+SELECT DISTINCT site FROM hit""")
+def point_in_region(t: Tables) -> DataFrame:
+    """Sites inside the union of the state rings."""
+    edges = ring_edges(_corner_rings(t, "state"), "ring", "k", "x", "y")
+    return inside_any(t.v_sites, ["site"], "x", "y", edges, "ring", 100000.0)
+
+
 @query("ring_area_filter", f"""
 WITH {_rings_sql('state')},
 a AS (SELECT ring, sum(x1 * y2 - x2 * y1) / 2 AS a, sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS sx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS sy

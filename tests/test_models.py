@@ -98,7 +98,7 @@ def test_posterior(spark):
     draws = spark.createDataFrame(data, "chain int, iter int, p string, v double")
     kept = kept_draws(draws, "iter", 100, 10, "p", ["a"])
     assert {r.iter for r in kept.collect()} == set(range(110, 201, 10)) and kept.count() == 30
-    s = {r.p: r for r in summarise(draws, "p", "v").collect()}
+    s = {r.p: r for r in summarise(draws, ["p"], "v").collect()}
     a = sorted(v for _, _, p, v in data if p == "a")
     assert s["a"].n_draws == 600 and s["a"].median == pytest.approx((a[299] + a[300]) / 2)
     assert s["a"].low == pytest.approx(a[14] + 0.975 * (a[15] - a[14]))
@@ -109,3 +109,17 @@ def test_posterior(spark):
     between = sum((m - grand) ** 2 for m in means.values()) / 2
     r = {r.p: r for r in potential_scale(draws, "p", "chain", "v").collect()}["a"]
     assert r.rhat == pytest.approx(math.sqrt((within * 199 / 200 + between) / within)) and r.rhat > 1.1
+    s2 = {c: sum((x - means[c]) ** 2 for x in v) / 199 for c, v in chains.items()}
+
+    def cov(a, b):
+        ma, mb = sum(a.values()) / 3, sum(b.values()) / 3
+        return sum((a[c] - ma) * (b[c] - mb) for c in a) / 2
+
+    b = 200 * between
+    big_v = 199 / 200 * within + (1 + 1 / 3) * b / 200
+    cov_wb = 200 / 3 * (cov(s2, {c: m * m for c, m in means.items()}) - 2 * grand * cov(s2, means))
+    var_v = (199**2 * cov(s2, s2) / 3 + (4 / 3) ** 2 * 2 * b * b / 2 + 2 * 199 * (4 / 3) * cov_wb) / 200**2
+    df = 2 * big_v**2 / var_v
+    assert r.psrf == pytest.approx(math.sqrt((df + 3) / (df + 1) * big_v / within))
+    by_chain = summarise(draws, ["p", "chain"], "v")
+    assert by_chain.count() == 6

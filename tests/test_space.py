@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.functions.geo import Albers, Grid
+from tallyfield.functions.geo import Albers, Grid, require_same_crs
 from tallyfield.operators.knots import grid_knots, interpolate, knot_array, site_knot_distances
 from tallyfield.operators.neighbours import car_log_density, island_count, nearest_cells, neighbour_lists, symmetric_edges
 from tallyfield.operators.spatial import (
@@ -215,3 +215,9 @@ def test_too_many_knots_is_an_error(spark):
     many = spark.range(3000).selectExpr("id AS pt", "1.0 AS x", "2.0 AS y")
     with pytest.raises(Exception, match="more than"):
         spark.range(1).select(F.size(knot_array(many, ["pt", "x", "y"]))).collect()
+
+
+def test_crs_must_agree():
+    assert require_same_crs(Albers(), Albers()) == Albers()
+    with pytest.raises(ValueError, match="differ"):
+        require_same_crs(Albers(), Albers(lat1=20.0))
