@@ -71,6 +71,12 @@ def count_true(cond: Column) -> Column:
     return F.count_if(cond)
 
 
+def drop_positions(df: DataFrame, *positions: int) -> DataFrame:
+    """``df`` without the columns at 1-based ``positions``; negative ones count from the end."""
+    gone = {p - 1 if p > 0 else len(df.columns) + p for p in positions}
+    return df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if i not in gone])
+
+
 def order_key(cols: Sequence[str]) -> Column:
     """Struct that sorts ascending with NULL last, for ``min`` and ``min_by``."""
     parts = []

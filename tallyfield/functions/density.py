@@ -1,5 +1,8 @@
 """Log-densities as Column arithmetic.
 
+Outside the support a density is 0 and its logarithm minus infinity, so sums
+over draws or rows stay impossible instead of losing a term.
+
 Spark has no ``lgamma``. ``log_factorial`` therefore uses exact values below
 16 and Stirling's series from there on, whose first dropped term is under
 2e-14, so there is no lookup table to join and no largest count.
@@ -25,13 +28,18 @@ def log_factorial(k: Column) -> Column:
     return F.when(k.isNull() | (k < 0), F.lit(None).cast("double")).when(k < _EXACT, small).otherwise(large)
 
 
+def times_log(k: Column, x: Column) -> Column:
+    """``k ln(x)`` with ``0 ln(0) = 0`` and ``ln(0)`` as minus infinity."""
+    return F.when(k == 0, F.lit(0.0)).when(x == 0, _never()).otherwise(k * F.ln(x))
+
+
 def poisson(y: Column, mu: Column) -> Column:
-    return y * F.ln(mu) - mu - log_factorial(y)
+    return F.when(y < 0, _never()).otherwise(times_log(y, mu) - mu - log_factorial(y))
 
 
 def binomial(y: Column, n: Column, p: Column) -> Column:
     choose = log_factorial(n) - log_factorial(y) - log_factorial(n - y)
-    return choose + y * F.ln(p) + (n - y) * F.ln(1 - p)
+    return F.when((y < 0) | (y > n), _never()).otherwise(choose + times_log(y, p) + times_log(n - y, 1 - p))
 
 
 def normal(x: Column, mean: Column | float, sd: Column | float) -> Column:
@@ -42,21 +50,25 @@ def normal(x: Column, mean: Column | float, sd: Column | float) -> Column:
 
 def half_normal(x: Column, sd: float) -> Column:
     """Normal around zero cut to the positive side."""
-    return F.when(x >= 0, normal(x, 0.0, sd) + math.log(2))
+    return F.when(x >= 0, normal(x, 0.0, sd) + math.log(2)).when(x < 0, _never())
 
 
 def gamma(x: Column, shape: float, rate: float) -> Column:
+    """At 0 the density is infinite, ``rate`` or 0 for a shape below, at or above 1."""
     head = shape * math.log(rate) - math.lgamma(shape)
-    return F.when(x > 0, head + (shape - 1) * F.ln(x) - rate * x)
+    at_zero = math.inf if shape < 1 else math.log(rate) if shape == 1 else -math.inf
+    inside = F.when(x > 0, head + (shape - 1) * F.ln(x) - rate * x)
+    return inside.when(x == 0, F.lit(at_zero)).when(x < 0, _never())
 
 
 def inverse_gamma(x: Column, shape: float, scale: float) -> Column:
     head = shape * math.log(scale) - math.lgamma(shape)
-    return F.when(x > 0, head - (shape + 1) * F.ln(x) - scale / x)
+    return F.when(x > 0, head - (shape + 1) * F.ln(x) - scale / x).when(x <= 0, _never())
 
 
 def uniform(x: Column, low: float, high: float) -> Column:
-    return F.when((x >= low) & (x <= high), F.lit(-math.log(high - low)))
+    inside = (x >= low) & (x <= high)
+    return F.when(inside, F.lit(-math.log(high - low))).when(~inside, _never())
 
 
 def logit(p: Column) -> Column:
@@ -69,3 +81,7 @@ def inv_logit(x: Column) -> Column:
 
 def _lit(value: Column | float) -> Column:
     return value if isinstance(value, Column) else F.lit(float(value))
+
+
+def _never() -> Column:
+    return F.lit(-math.inf)

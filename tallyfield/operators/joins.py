@@ -80,13 +80,15 @@ def keep_common(a: DataFrame, b: DataFrame, on: Sequence[str]) -> tuple[DataFram
     return keep_known(a, b, on), keep_known(b, a, on)
 
 
-def with_every(df: DataFrame, other: DataFrame, spread_by: Sequence[str], parts: int = 32) -> DataFrame:
+def with_every(df: DataFrame, other: DataFrame, spread_by: Sequence[str], parts: int | None = None) -> DataFrame:
     """Each row of ``df`` with each row of ``other``, as an equi-join.
 
-    Rows of ``df`` go to one of ``parts`` parts by hash and ``other`` is copied
-    to all of them. A small ``other`` is broadcast when its measured size
-    allows; a large one is joined part by part, so neither side has a cap.
+    Rows of ``df`` go to one of ``parts`` parts by hash (as many as the session
+    has shuffle partitions) and ``other`` is copied to all of them. A small
+    ``other`` is broadcast when its measured size allows; a large one is joined
+    part by part, so neither side has a cap.
     """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = df.withColumn("_part", F.pmod(F.xxhash64(*spread_by), F.lit(parts)).cast("int"))
     right = other.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return left.join(right, "_part").drop("_part")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.bins import bin_columns, bin_index, bin_label
-from tallyfield.functions.columns import clean_names, rounded
+from tallyfield.functions.columns import clean_names, drop_positions, rounded
 from tallyfield.operators.aggregates import sufficient_keys
 from tallyfield.operators.checklists import (
     collapse_groups,
@@ -149,7 +149,7 @@ def rename_select(t: Tables) -> DataFrame:
 @query("drop_columns", "SELECT p_partkey, p_name, p_type, p_size FROM part")
 def drop_columns(t: Tables) -> DataFrame:
     """Drop by name, and the last column by its position in the table."""
-    return t.part.drop("p_brand").drop("p_retailprice")
+    return drop_positions(t.part.drop("p_brand"), -1)
 
 
 @query("clean_distance_survey", """

@@ -34,6 +34,7 @@ from tallyfield.queries.registry import Tables, query
 from tallyfield.session import cut_lineage
 from tallyfield.sources.readers import lookup
 
+# fixed values: start values of the detection model, block limits
 SIGMA, THETA, CUTOFF, N_BINS, PERIODS = 60.0, 0.4, 250.0, 5, 6
 
 DETECTION_SQL = f"""bins AS (SELECT d, 2 * {SIGMA} * {SIGMA} * (exp(-pow((d - 1) * 50.0, 2) / (2 * {SIGMA} * {SIGMA})) - exp(-pow(d * 50.0, 2) / (2 * {SIGMA} * {SIGMA}))) / ({CUTOFF} * {CUTOFF}) AS psi

@@ -165,7 +165,7 @@ def grid_region_cells(t: Tables) -> DataFrame:
     return region_cells(grid_cells(t.spark, COARSE), edges, "ring", COARSE)
 
 
-_RASTER_SQL = """r AS (SELECT l_partkey % 101 AS ix, l_orderkey % 103 AS iy, avg(l_extendedprice) / 100 AS elev
+_RASTER_SQL = """r AS (SELECT l_partkey % 101 AS ix, l_orderkey % 103 AS iy, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 10000 AS elev
   FROM lineitem GROUP BY 1, 2)"""
 
 
@@ -177,15 +177,15 @@ g AS (SELECT c.ix, c.iy, c.elev, count(*) AS k,
   FROM r c JOIN r b ON b.ix BETWEEN c.ix - 1 AND c.ix + 1 AND b.iy BETWEEN c.iy - 1 AND c.iy + 1 GROUP BY 1, 2, 3),
 s AS (SELECT *, CASE WHEN k = 9 THEN atan(sqrt(gx * gx + gy * gy)) END AS slope,
   CASE WHEN k = 9 THEN CASE WHEN atan2(-gx, -gy) < 0 THEN atan2(-gx, -gy) + 2 * pi() ELSE atan2(-gx, -gy) END END AS aspect FROM g)
-SELECT ix, iy, round(elev, 8) + 0.0 AS elev, round(slope, 5) + 0.0 AS slope, round(aspect, 5) + 0.0 AS aspect,
+SELECT ix, iy, elev, round(slope, 5) + 0.0 AS slope, round(aspect, 5) + 0.0 AS aspect,
   round(CASE WHEN slope IS NOT NULL THEN greatest(cos(slope) * cos(radians(45)) + sin(slope) * sin(radians(45)) * cos(radians(300) - aspect), 0) * 255 END, 4) + 0.0 AS hillshade
 FROM s""")
 def terrain_hillshade(t: Tables) -> DataFrame:
     """Slope, aspect and hillshade of a raster with holes, heights averaged from the line items."""
     raster = t.lineitem.groupBy(
         (F.col("l_partkey") % 101).alias("ix"), (F.col("l_orderkey") % 103).alias("iy")
-    ).agg((F.avg("l_extendedprice") / 100).alias("elev"))
-    digits = {"elev": 8, "slope": 5, "aspect": 5, "hillshade": 4}
+    ).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.count("*") / 10000).alias("elev"))
+    digits = {"slope": 5, "aspect": 5, "hillshade": 4}
     return terrain(raster, 100.0).withColumns({c: rounded(F.col(c), d) for c, d in digits.items()})
 
 

@@ -36,9 +36,21 @@ def test_densities(spark):
     norm = -0.5 * math.log(2 * math.pi) - math.log(2)
     want = [
         math.log(2.5**3 * math.exp(-2.5) / 6), math.log(10 * 0.3**2 * 0.7**3), norm - 0.5 * 0.35**2, math.log(2) + norm - 0.5 * 0.85**2,
-        math.log(9 * 1.7 * math.exp(-5.1)), math.log(1.7**-3 * math.exp(-1 / 1.7)), -math.log(4), None, 0.3,
+        math.log(9 * 1.7 * math.exp(-5.1)), math.log(1.7**-3 * math.exp(-1 / 1.7)), -math.log(4), -math.inf, 0.3,
     ]
-    assert [None if v is None else pytest.approx(v) for v in want] == list(got)
+    assert [pytest.approx(v) for v in want] == list(got)
+
+
+def test_densities_at_the_edges(spark):
+    zero = F.lit(0.0)
+    got = _one(
+        spark, density.poisson(F.lit(0), zero), density.poisson(F.lit(2), zero), density.binomial(F.lit(0), F.lit(3), zero),
+        density.binomial(F.lit(3), F.lit(3), F.lit(1.0)), density.binomial(F.lit(4), F.lit(3), F.lit(0.5)), density.gamma(zero, 0.01, 0.01),
+        density.gamma(zero, 1.0, 2.0), density.gamma(zero, 3.0, 2.0), density.inverse_gamma(zero, 2.0, 1.0), density.uniform(F.lit(5.0), 0.0, 4.0),
+        density.normal(F.lit(None).cast("double"), 0.0, 1.0), density.gamma(F.lit(None).cast("double"), 1.0, 1.0),
+    )
+    never = -math.inf
+    assert list(got) == [0.0, never, 0.0, 0.0, never, math.inf, math.log(2.0), never, never, never, None, None]
 
 
 def test_detection_shares(spark):

@@ -12,6 +12,7 @@ from tallyfield.functions.columns import (
     clean_names,
     col_range,
     count_true,
+    drop_positions,
     distinct_with_null,
     row_sum,
     share_missing,
@@ -108,6 +109,7 @@ def test_names_and_ranges(spark):
     df = spark.createDataFrame([(1, 2, 3)], "A int, `a ` int, bC int")
     assert clean_names(df).columns == ["a", "a_2", "b_c"]
     assert col_range(df, "a ", "bC") == ["a ", "bC"]
+    assert drop_positions(df, 1, -1).columns == ["a "]
 
 
 def test_row_sums_propagate_missing(spark):
