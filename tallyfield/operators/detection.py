@@ -65,7 +65,7 @@ def multinomial_blocks(cells: DataFrame, keys: Sequence[str], count: str, share:
     """
     y = F.col(count)
     sums = cells.groupBy(*keys).agg(
-        F.sum(y).alias("n"), F.sum(y * F.ln(F.col(share)) - density.log_factorial(y)).alias("_s")
+        F.sum(y).alias("n"), F.sum(density.times_log(y, F.col(share)) - density.log_factorial(y)).alias("_s")
     )
     return sums.select(*keys, "n", (F.col("_s") + density.log_factorial(F.col("n"))).alias("log_density"))
 

@@ -12,6 +12,7 @@ from tallyfield.operators.joins import natural_join
 from tallyfield.operators.pivots import fold_stops, wide_counts
 from tallyfield.operators.ranks import flag_first, id_by_first_seen, numbered
 from tallyfield.operators.spatial import complete_grid, to_cells
+from tallyfield.session import cut_lineage
 
 
 def stop_columns(n: int = 50) -> list[str]:
@@ -34,9 +35,12 @@ def located_routes(wide: DataFrame, routes: DataFrame, grid: Grid) -> DataFrame:
 
 
 def route_points(wide: DataFrame, routes: DataFrame, grid: Grid, year: str = "yr", observer: str = "obs_n") -> DataFrame:
-    """Ten stop groups, total, first-year-of-observer flag and observer id per route and year."""
+    """Ten stop groups, total, first-year-of-observer flag and observer id per route and year.
+
+    The folded rows are written once: flags and ids read three of their columns.
+    """
     folded = fold_stops(wide, stop_columns())
-    placed = located_routes(folded, routes, grid)
+    placed = cut_lineage(located_routes(folded, routes, grid))
     flagged = flag_first(placed, ["route_id", observer], [year], "new")
     return id_by_first_seen(flagged, observer, ["route_id", year, observer], "obs_id")
 

@@ -50,17 +50,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there on.
+    """``df`` written as a table to the shared folder and read from there on.
 
     Results that depend on how rows were placed (partition numbers) stay the
-    same when an executor is lost, because they are never computed again.
+    same when an executor is lost, because they are never computed again. A
+    table rather than a checkpoint, so that later steps read only the columns
+    they use and Spark knows its size when it picks a join.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return os.path.join(shared_folder(spark), f"scratch-{spark.sparkContext.applicationId}")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for a scratch table that no other run uses."""
-    return os.path.join(shared_folder(spark), "scratch", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(_scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
