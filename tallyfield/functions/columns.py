@@ -42,6 +42,11 @@ def col_range(df: DataFrame, first: str, last: str) -> list[str]:
     return names[names.index(first) : names.index(last) + 1]
 
 
+def as_double(df: DataFrame, cols: Iterable[str]) -> DataFrame:
+    """Counts with missing values as doubles, the type tables of them share across engines."""
+    return df.withColumns({c: F.col(c).cast("double") for c in cols})
+
+
 def row_sum(cols: Iterable[str | Column]) -> Column:
     """Sum across columns of one row; NULL if any of them is."""
     return reduce(add, [F.col(c) if isinstance(c, str) else c for c in cols])

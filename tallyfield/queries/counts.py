@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions.columns import ascending, count_true, rounded, strict_sum
+from tallyfield.functions.columns import as_double, ascending, count_true, rounded, strict_sum
 from tallyfield.functions.geo import Grid
 from tallyfield.operators.aggregates import (
     frequency_profile,
@@ -125,14 +125,14 @@ def grid_year_totals(t: Tables) -> DataFrame:
 WITH cells AS (SELECT unnest(generate_series(0, {FINE.nx * FINE.ny - 1})) AS cell_id),
 j AS (SELECT cell_id, CAST(yr AS INTEGER) AS yr, sum(cnt) AS total FROM v_site_year v
   JOIN (SELECT site, {cell_sql(FINE)} AS cell_id FROM v_sites) s ON s.site = v.site GROUP BY 1, 2)
-SELECT cells.cell_id, yr, CAST(total AS BIGINT) AS total_count FROM cells LEFT JOIN j ON j.cell_id = cells.cell_id""")
+SELECT cells.cell_id, CAST(yr AS DOUBLE) AS yr, CAST(total AS DOUBLE) AS total_count FROM cells LEFT JOIN j ON j.cell_id = cells.cell_id""")
 def grid_complete(t: Tables) -> DataFrame:
     """Yearly totals on the whole 20 km grid; empty cells stay as rows."""
     sites = to_cells(t.v_sites, FINE).select("site", "cell_id")
     per_site = totals(t.v_site_year, ["site", "yr"], "cnt", "c")
     joined = natural_join(per_site, sites, "inner", ["site"], nulls_match=False)
     sums = totals(joined, ["cell_id", "yr"], "c", "total_count")
-    return complete_grid(sums, grid_cells(t.spark, FINE).select("cell_id"))
+    return as_double(complete_grid(sums, grid_cells(t.spark, FINE).select("cell_id")), ["yr", "total_count"])
 
 
 @query("richness_by_stratum", """

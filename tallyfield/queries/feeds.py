@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.bins import bin_columns, bin_index, bin_label
-from tallyfield.functions.columns import clean_names, drop_positions, rounded
+from tallyfield.functions.columns import as_double, clean_names, drop_positions, rounded
 from tallyfield.operators.aggregates import sufficient_keys
 from tallyfield.operators.checklists import (
     collapse_groups,
@@ -117,12 +117,12 @@ _STATES_SQL = ", ".join(f"('{name}', {num}, {i})" for i, (name, num) in enumerat
 
 @query("lookup_broadcast", f"""
 WITH states(state, state_num, nationkey) AS (VALUES {_STATES_SQL})
-SELECT state, CAST(state_num AS BIGINT) AS state_num, count(*) AS n_sites, round(avg(c_acctbal), 8) + 0.0 AS mean_bal
+SELECT state, CAST(state_num AS DOUBLE) AS state_num, count(*) AS n_sites, round(avg(c_acctbal), 8) + 0.0 AS mean_bal
 FROM customer LEFT JOIN states ON c_nationkey = nationkey GROUP BY 1, 2""")
 def lookup_broadcast(t: Tables) -> DataFrame:
     """Sites joined to an inline table of states; sites elsewhere get a missing state."""
-    rows = [(name, num, i) for i, (name, num) in enumerate(STATES)]
-    states = lookup(t.spark, rows, "state string, state_num bigint, c_nationkey int")
+    rows = [(name, float(num), i) for i, (name, num) in enumerate(STATES)]
+    states = lookup(t.spark, rows, "state string, state_num double, c_nationkey int")
     joined = t.customer.select("c_nationkey", "c_acctbal").join(states, "c_nationkey", "left")
     return joined.groupBy("state", "state_num").agg(
         F.count("*").alias("n_sites"), rounded(F.avg("c_acctbal"), 8).alias("mean_bal")
@@ -336,24 +336,24 @@ def _taxon_halves(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 @query("natural_left_join", f"""
-SELECT l.taxon, l.family, l.genus, r.n, r.mean_price FROM ({_HALF_L}) l LEFT JOIN ({_HALF_R}) r
+SELECT l.taxon, l.family, l.genus, CAST(r.n AS DOUBLE) AS n, r.mean_price FROM ({_HALF_L}) l LEFT JOIN ({_HALF_R}) r
 ON l.family IS NOT DISTINCT FROM r.family AND l.genus IS NOT DISTINCT FROM r.genus""")
 def natural_left_join(t: Tables) -> DataFrame:
     """Left join on the shared columns, missing keys matching each other."""
     left, right = _taxon_halves(t)
-    return natural_join(left, right)
+    return as_double(natural_join(left, right), ["n"])
 
 
 @query("natural_full_join", """
 WITH l AS (SELECT nullif(p_brand, 'Brand#5') AS family, p_size AS size, count(*) AS n_left FROM part WHERE p_size <= 40 GROUP BY 1, 2),
 r AS (SELECT nullif(p_brand, 'Brand#5') AS family, p_size AS size, max(p_retailprice) AS top_price FROM part WHERE p_size >= 10 GROUP BY 1, 2)
-SELECT coalesce(l.family, r.family) AS family, coalesce(l.size, r.size) AS size, n_left, top_price
+SELECT coalesce(l.family, r.family) AS family, coalesce(l.size, r.size) AS size, CAST(n_left AS DOUBLE) AS n_left, top_price
 FROM l FULL JOIN r ON l.family IS NOT DISTINCT FROM r.family AND l.size IS NOT DISTINCT FROM r.size""")
 def natural_full_join(t: Tables) -> DataFrame:
     family, size = F.nullif(F.col("p_brand"), F.lit("Brand#5")).alias("family"), F.col("p_size").alias("size")
     left = t.part.where("p_size <= 40").groupBy(family, size).agg(F.count("*").alias("n_left"))
     right = t.part.where("p_size >= 10").groupBy(family, size).agg(F.max("p_retailprice").alias("top_price"))
-    return natural_join(left, right, "full")
+    return as_double(natural_join(left, right, "full"), ["n_left"])
 
 
 

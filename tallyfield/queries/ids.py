@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.functions.columns import as_double
 from tallyfield.operators.aggregates import totals
 from tallyfield.operators.checklists import thin_zero_sites
 from tallyfield.operators.ranks import first_per_key, flag_first, id_by_first_seen, id_by_value, numbered
@@ -76,7 +77,8 @@ def first_of_day(t: Tables) -> DataFrame:
     return first_per_key(rows, ["observer", "obs_date"], ["duration", "event_id"])
 
 
-_COUNTS = ", ".join(f"count{i}" for i in range(1, 11))
+_MISSING_IN_EMPTY_CELLS = ["route", "yr", "obs_n", "new", "obs_id", "total_count", *[f"count{i}" for i in range(1, 11)]]
+_MAYBE = ", ".join(f"CAST(n.{c} AS DOUBLE) AS {c}" for c in _MISSING_IN_EMPTY_CELLS)
 
 
 @query("route_counts_on_grid", f"""
@@ -87,15 +89,16 @@ k AS (SELECT obs_n, row_number() OVER (ORDER BY route_id, yr, obs_n) AS k FROM q
 f AS (SELECT obs_n, row_number() OVER (ORDER BY min(k)) AS obs_id FROM k GROUP BY 1),
 n AS (SELECT q.*, f.obs_id, CAST(CASE WHEN yr = min(yr) OVER (PARTITION BY route_id, q.obs_n) THEN 1 ELSE 0 END AS INTEGER) AS new FROM q JOIN f ON f.obs_n = q.obs_n),
 c AS (SELECT unnest(generate_series(0, 175)) AS cell_id)
-SELECT c.cell_id, route, yr, n.obs_n, {_COUNTS}, total_count, route_id, new, obs_id, coalesce(total_count > 0, false) AS is_observed,
-  row_number() OVER (PARTITION BY c.cell_id ORDER BY route_id NULLS LAST, yr, n.obs_n) AS time_step,
+SELECT c.cell_id, {_MAYBE}, route_id, coalesce(total_count > 0, false) AS is_observed,
+  row_number() OVER (PARTITION BY c.cell_id ORDER BY route_id NULLS LAST, n.yr, n.obs_n) AS time_step,
   count(*) OVER (PARTITION BY c.cell_id) AS nyears_site
 FROM c LEFT JOIN n ON n.cell_id = c.cell_id""")
 def route_counts_on_grid(t: Tables) -> DataFrame:
     """Stop counts to gridded route years with flags, ids and time steps."""
     wide = widen_stops(t.v_stops, ["route", "yr", "obs_n"], "stop", "cnt")
     routes = t.v_sites.select(F.col("site").alias("route"), "x", "y")
-    return on_grid(route_points(wide, routes, COARSE), grid_cells(t.spark, COARSE))
+    gridded = on_grid(route_points(wide, routes, COARSE), grid_cells(t.spark, COARSE))
+    return as_double(gridded, _MISSING_IN_EMPTY_CELLS)
 
 
 _YEARS = (1996, 2000)
@@ -119,11 +122,12 @@ def distance_blocks_by_species(t: Tables) -> DataFrame:
 @query("distance_blocks_on_grid", f"""
 WITH {_CLEAN}, cells AS (SELECT unnest(generate_series(0, 175)) AS cell_id), located AS (SELECT site AS transect, {cell_sql(COARSE)} AS cell_id FROM v_sites),
 b AS (SELECT cell_id, CAST(yr AS INTEGER) AS yr, clean.transect, point, {_BLOCK} FROM clean JOIN located ON located.transect = clean.transect GROUP BY 1, 2, 3, 4)
-SELECT cells.cell_id, yr, transect, point, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _BLOCK_NAMES)} FROM cells LEFT JOIN b ON b.cell_id = cells.cell_id""")
+SELECT cells.cell_id, CAST(yr AS DOUBLE) AS yr, CAST(transect AS DOUBLE) AS transect, CAST(point AS DOUBLE) AS point, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _BLOCK_NAMES)} FROM cells LEFT JOIN b ON b.cell_id = cells.cell_id""")
 def distance_blocks_on_grid(t: Tables) -> DataFrame:
     """Blocks per cell and visit on the whole grid; empty cells hold zeros."""
     located = to_cells(t.v_sites, COARSE).select(F.col("site").alias("transect"), "cell_id")
-    return cell_blocks(clean_survey(t.v_distance, _YEARS), located, grid_cells(t.spark, COARSE))
+    blocks = cell_blocks(clean_survey(t.v_distance, _YEARS), located, grid_cells(t.spark, COARSE))
+    return as_double(blocks, ["yr", "transect", "point"])
 
 
 @query("harmonise_three_feeds", """

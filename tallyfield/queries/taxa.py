@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.functions.columns import rounded, share_missing
+from tallyfield.functions.columns import as_double, rounded, share_missing
 from tallyfield.functions.text import drop_brackets, each_code, padded_code, two_word_name, word
 from tallyfield.operators.joins import natural_join, rows_matching_one, suffixed_join
 from tallyfield.operators.ranks import first_per_key
@@ -56,7 +56,7 @@ def code_match_once(t: Tables) -> DataFrame:
 
 @query("taxon_record_counts", """
 SELECT aou, alpha, binomial, split_part(binomial, ' ', 1) AS genus, split_part(binomial, ' ', 2) AS species,
-  CAST(extinct_year AS INTEGER) AS extinct_year, count(*) AS n_records
+  CAST(extinct_year AS DOUBLE) AS extinct_year, count(*) AS n_records
 FROM lineitem LEFT JOIN v_taxa ON l_partkey = taxon
 WHERE split_part(binomial, ' ', 2) IS NOT NULL GROUP BY ALL""")
 def taxon_record_counts(t: Tables) -> DataFrame:
@@ -64,7 +64,8 @@ def taxon_record_counts(t: Tables) -> DataFrame:
     records = t.lineitem.groupBy(F.col("l_partkey").alias("taxon")).agg(F.count("*").alias("n"))
     named = natural_join(records, t.v_taxa).withColumns({"genus": word("binomial", 1), "species": word("binomial", 2)})
     by_key = named.groupBy("aou", "alpha", "binomial", "genus", "species", "extinct_year")
-    return by_key.agg(F.sum("n").alias("n_records")).where(F.col("species").isNotNull())
+    counts = by_key.agg(F.sum("n").alias("n_records")).where(F.col("species").isNotNull())
+    return as_double(counts, ["extinct_year"])
 
 
 @query("null_share", """
