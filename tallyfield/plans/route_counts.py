@@ -20,8 +20,7 @@ def stop_columns(n: int = 50) -> list[str]:
 
 
 def widen_stops(stops: DataFrame, keys: Sequence[str], stop: str, count: str, n: int = 50) -> DataFrame:
-    named = stops.withColumn("_stop", F.concat(F.lit("stop"), F.col(stop).cast("string")))
-    return wide_counts(named, keys, "_stop", count, stop_columns(n))
+    return wide_counts(stops, keys, stop, count, dict(enumerate(stop_columns(n), 1)))
 
 
 def located_routes(wide: DataFrame, routes: DataFrame, grid: Grid) -> DataFrame:

@@ -190,9 +190,8 @@ SELECT site, {', '.join(f'round(({c} - m) / sd, 6) + 0.0 AS {c}' for c in YEAR_C
   round((y1995 - 0.5) * 4, 6) + 0.0 AS scaled FROM w, s""")
 def standardise_covariates(t: Tables) -> DataFrame:
     """One mean and deviation over the whole site x year block, and the fixed rescaling."""
-    named = t.v_site_year.select("site", F.concat(F.lit("y"), F.col("yr").cast("string")).alias("label"), "cnt")
-    wide = wide_counts(named, ["site"], "label", "cnt", YEAR_COLS)
-    wide = wide.withColumns({c: F.col(c).cast("double") for c in YEAR_COLS})
+    years = {int(c[1:]): c for c in YEAR_COLS}
+    wide = as_double(wide_counts(t.v_site_year, ["site"], "yr", "cnt", years, skip_missing=True), YEAR_COLS)
     scaled = wide.withColumn("scaled", rounded((F.col("y1995") - 0.5) * 4))
     out = standardise(scaled, YEAR_COLS)
     return out.withColumns({c: rounded(F.col(c)) for c in YEAR_COLS})

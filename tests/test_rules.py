@@ -31,7 +31,7 @@ from tallyfield.operators.joins import (
     suffixed_join,
     with_every,
 )
-from tallyfield.operators.pivots import distance_period_block, fold_stops
+from tallyfield.operators.pivots import distance_period_block, fold_stops, wide_counts
 from tallyfield.operators.ranks import (
     exact_quantiles,
     first_per_key,
@@ -143,6 +143,16 @@ def test_block_keeps_the_total_and_absent_columns(spark):
     assert out.select(F.sum(row_sum(out.columns[1:]))).first()[0] == 9
 
 
+def test_wide_counts_tell_missing_from_absent(spark):
+    df = spark.createDataFrame([(1, 1, 2), (1, 1, None), (1, 70, 3), (2, 2, None), (2, 70, 1)], "k int, l int, n int")
+    names = {i: f"c{i}" for i in range(1, 71)}
+    out = {r.k: r for r in wide_counts(df, ["k"], "l", "n", names).collect()}
+    assert (out[1].c1, out[1].c2, out[1].c70) == (None, 0, 3)
+    assert (out[2].c1, out[2].c2, out[2].c70) == (0, None, 1)
+    skipped = {r.k: r for r in wide_counts(df, ["k"], "l", "n", names, skip_missing=True).collect()}
+    assert (skipped[1].c1, skipped[2].c2) == (2, 0)
+
+
 def _hot(spark, n=20000):
     """A third of all rows on one key, a third with no key."""
     return spark.range(n).selectExpr(
