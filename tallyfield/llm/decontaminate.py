@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm.succinct import BLOCK, WaveletMatrix, dense, suffix_order
-from tallyfield.llm.tables import batches_of, col, fresh, list_array, per_batch
+from tallyfield.llm.tables import batches_of, col, fresh, list_array, map_arrow, per_batch
 from tallyfield.llm.words import ALNUM, covered, find_words, ranges, slices, text_bytes
 from tallyfield.session import cut_lineage
 
@@ -206,8 +206,6 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, width: int, windows:
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, width: int, windows: int, names: list[str]) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     spans, items, n_words = names
     spark = docs.sparkSession
     df = docs.withColumns({
@@ -219,7 +217,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, ite
             df = cut_lineage(df)
         first = False
         held = spark.sparkContext.broadcast(phrases)
-        df = df.mapInArrow(_scanner(held, to_arrow_schema(df.schema), text, spans, items, n_words), df.schema)
+        df = map_arrow(df, lambda schema, held=held: _scanner(held, schema, text, spans, items, n_words), df.schema)
     return df
 
 
@@ -267,8 +265,6 @@ def remove_passages(
     words: the cut text is scanned by later runs as it stands. All other
     columns, clean texts and null texts pass unchanged.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     names = fresh(docs, "spans", "items", "n_words")
     found = _scanned(docs, benchmark, text, item_id, item_text, width, windows, names).drop(*names[1:])
-    return found.mapInArrow(_cutter(to_arrow_schema(docs.schema), text, names[0]), docs.schema)
+    return map_arrow(found, lambda schema: _cutter(schema, text, names[0]), docs.schema)

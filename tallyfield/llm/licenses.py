@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.tables import batches_of, col, list_array, per_batch
+from tallyfield.llm.tables import batches_of, col, list_array, map_arrow, per_batch
 from tallyfield.llm.words import ALNUM, find_words, slices, text_bytes, word_hash
 
 THRESHOLD = 0.8
@@ -181,22 +181,19 @@ def find_licenses(
     ``phrases`` has label and first word of each place of a phrase; ``notices``
     label, first word of the block and share of the template's words in it.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     spark = docs.sparkSession
     docs = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     known = Templates(templates, threshold)
-    counts = _parse_datatype_string("word bigint, n bigint")
     held = spark.sparkContext.broadcast(known)
-    parts = docs.select("text").mapInArrow(_counter(held, to_arrow_schema(counts)), counts)
+    parts = map_arrow(docs.select("text"), lambda fields: _counter(held, fields), "word bigint, n bigint")
     frequency = np.zeros(len(known.vocabulary), np.int64)
     for word, n in parts.groupBy("word").agg(F.sum("n")).collect():  # one row per template word
         frequency[word] = n
     known.order_by(frequency)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = _parse_datatype_string(
+    schema = (
         f"doc_id {kind}, n_words bigint, phrases array<struct<label:string,word:bigint>>, "
         "notices array<struct<label:string,word:bigint,share:double>>"
     )
-    return docs.mapInArrow(_finder(spark.sparkContext.broadcast(known), list(phrases), to_arrow_schema(schema)), schema)
+    ranked = spark.sparkContext.broadcast(known)
+    return map_arrow(docs, lambda fields: _finder(ranked, list(phrases), fields), schema)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm.decontaminate import benchmark_spans
 from tallyfield.llm.licenses import find_licenses
+from tallyfield.llm.line_dedup import drop_repeated_lines
+from tallyfield.llm.quality import judged
 from tallyfield.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from tallyfield.llm.secrets import KINDS, find_secrets
 from tallyfield.llm.token_counts import count_tokens
@@ -70,3 +72,31 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(base).alias("base_labels"), listed(F.concat(base, own)).alias("labels"),
         F.when(F.size("phrases") > 0, 1.0).otherwise(F.coalesce(F.expr("array_max(transform(notices, p -> p.share))"), F.lit(0.0))).alias("score"),
     )
+
+
+@query("op6_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed rules' counts, the likeness score and the verdict on every document."""
+    found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
+@query("op7_line_dedup", """
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents),
+keyed AS (
+    SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+first AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key),
+judged AS (SELECT doc_id, k, line, coalesce(first <> doc_id, false) AS gone FROM keyed LEFT JOIN first USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+""")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many went to an earlier document, and the digest of the rest."""
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), n_lines="n_lines", n_dropped="n_dropped")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

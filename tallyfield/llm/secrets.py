@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyfield.llm.tables import batches_of, col, list_array, per_batch
+from tallyfield.llm.tables import batches_of, col, list_array, map_arrow, per_batch
 from tallyfield.llm.vocabulary import VOCABULARY, encoding, read_ranks
 from tallyfield.llm.words import slices
 
@@ -102,11 +102,8 @@ def find_secrets(
     vocabulary: str = VOCABULARY, ratio: float = RATIO, shortest: int = SHORTEST,
 ) -> DataFrame:
     """``(doc_id, spans)`` of every document; a span has its kind, start and end."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     docs = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = _parse_datatype_string(f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    schema = f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>"
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
-    return docs.mapInArrow(_finder(ranks, to_arrow_schema(schema), ratio, shortest), schema)
+    return map_arrow(docs, lambda fields: _finder(ranks, fields, ratio, shortest), schema)

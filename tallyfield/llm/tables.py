@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from tallyfield.session import cut_lineage
 
@@ -55,6 +60,33 @@ def per_batch(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
     return run
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers, once, wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="package-"), "package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, make: Callable[[pa.Schema], Callable], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with the function that ``make`` builds for the Arrow form of ``schema``."""
+    ship(df.sparkSession)
+    fields = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    return df.mapInArrow(make(to_arrow_schema(fields)), fields)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, root)``: the smallest node each node of ``edges`` reaches.
 

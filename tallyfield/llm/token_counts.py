@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.tables import batches_of, col, list_array, per_batch
+from tallyfield.llm.tables import batches_of, col, list_array, map_arrow, per_batch
 from tallyfield.llm.vocabulary import VOCABULARY, encoding, read_ranks
 from tallyfield.llm.words import slices
 from tallyfield.session import scratch_path
@@ -90,16 +90,13 @@ def write_token_blocks(
     end_id: int = END_ID, block: int = BLOCK_TOKENS, path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Write flat token files; returns their blocks ``(shard, block, tokens)`` and the order of documents ``(shard, ordinal, doc_id)``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
     docs = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = _parse_datatype_string(f"kind string, shard int, place bigint, doc_id {kind}, tokens binary")
+    schema = f"kind string, shard int, place bigint, doc_id {kind}, tokens binary"
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    rows = docs.mapInArrow(_tokeniser(ranks, to_arrow_schema(schema), end_id, block), schema)
+    rows = map_arrow(docs, lambda fields: _tokeniser(ranks, fields, end_id, block), schema)
     rows.write.partitionBy("kind").option("compression", "zstd").parquet(path)
     files = spark.read.schema(schema).parquet(path)
     blocks = files.where("kind = 'block'").select("shard", F.col("place").alias("block"), "tokens")
@@ -130,11 +127,8 @@ def separator_scan(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
     A document may begin in one block and end many blocks later. What follows
     a file's last separator is no document.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = _parse_datatype_string("shard int, block bigint, size bigint, found array<bigint>")
-    searched = blocks.select("shard", "block", "tokens").mapInArrow(_finder(to_arrow_schema(schema), end_id), schema)
+    schema = "shard int, block bigint, size bigint, found array<bigint>"
+    searched = map_arrow(blocks.select("shard", "block", "tokens"), lambda fields: _finder(fields, end_id), schema)
     # a row per block, so the window holds a file's number of blocks
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("size").over(before), F.lit(0))
