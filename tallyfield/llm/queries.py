@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfield.llm.chat import render_conversations
 from tallyfield.llm.decontaminate import benchmark_spans
 from tallyfield.llm.licenses import find_licenses
 from tallyfield.llm.line_dedup import drop_repeated_lines
+from tallyfield.llm.mixing import mix
 from tallyfield.llm.quality import judged
 from tallyfield.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from tallyfield.llm.secrets import KINDS, find_secrets
@@ -100,3 +102,25 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, how many went to an earlier document, and the digest of the rest."""
     kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), n_lines="n_lines", n_dropped="n_dropped")
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op5_mixing_sources")
+def mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document, beside its source's size and target."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op9_chat_formatting", """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+whole AS (
+    SELECT conv_id, count(*) AS n, list(struct_pack(r := role, t := text) ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS l
+    FROM turns GROUP BY conv_id),
+beginnings AS (SELECT DISTINCT l[1:k] AS l FROM whole, LATERAL (SELECT unnest(generate_series(1, n - 1)) AS k)),
+kept AS (SELECT l, n, min(conv_id) AS conv_id FROM whole WHERE l NOT IN (SELECT l FROM beginnings) GROUP BY l, n)
+SELECT conv_id, n AS n_turns, array_to_string(list_transform(l, lambda x:
+    '<|' || coalesce(x.r, 'unknown') || '|>' || chr(10) || coalesce(x.t, '') || '<|end|>' || chr(10)), '') AS text
+FROM kept
+""")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation as one text."""
+    return render_conversations(table(spark, sf_dir, "conversations"))
