@@ -10,6 +10,7 @@ from tallyfield.llm.decontaminate import benchmark_spans
 from tallyfield.llm.licenses import find_licenses
 from tallyfield.llm.line_dedup import drop_repeated_lines
 from tallyfield.llm.mixing import mix
+from tallyfield.llm.ngram_join import jaccard_components
 from tallyfield.llm.quality import judged
 from tallyfield.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from tallyfield.llm.secrets import KINDS, find_secrets
@@ -124,3 +125,24 @@ FROM kept
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every maximal conversation as one text."""
     return render_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op8_ngram_jaccard_join", """
+WITH RECURSIVE words AS (
+    SELECT doc_id, coalesce(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), []) AS w FROM documents),
+grams AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(w[k : k + 3], ' ') AS g
+    FROM words, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 3))) AS k) WHERE len(w) > 0),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+    SELECT a, b FROM shared s JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * s.n >= 85 * (p.n + q.n - s.n)),
+two_way AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS got FROM documents UNION SELECT r.node, t.b FROM reach r JOIN two_way t ON t.a = r.got)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT node AS doc_id, min(got) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
+""")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of 4-word shingles, and its component of linked documents."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
