@@ -10,8 +10,10 @@ only where a product can reach the threshold:
 3. The columns are ordered from rare to frequent by a frequency sketch. Two
    rows can only reach the threshold if they meet in their rarest columns, as
    many as the size bound leaves. Each task gets blocks of columns and
-   multiplies them diagonal by diagonal; pairs whose sizes or positions rule
-   the threshold out, or which are connected already, are discarded at once.
+   multiplies them diagonal by diagonal; pairs whose sizes rule the threshold
+   out, or which are connected already, are discarded at once. The products
+   are summed per pair, and pairs whose sum is below what the sizes demand of
+   their rarest columns are discarded too.
 4. The pairs left get their overlaps counted over all columns.
 
 No link between different texts is lost: a skipped pair is either below the
@@ -40,7 +42,7 @@ from tallyfield.session import cut_lineage
 WIDTH = 4
 PERCENT = 85
 CHUNK_BYTES = 4 << 20
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 KEYS = 4
 #: ids sent to every task at most; beyond it the texts are shuffled to the ids
 BROADCAST_IDS = 1 << 20
@@ -72,7 +74,7 @@ def _sketcher(schema: pa.Schema, width: int):
                 hashes, _ = shingles(part, width)
                 counts += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
         # only what stands out from the even spread of rare n-grams
-        at = np.flatnonzero(counts > 16 + 4 * counts.mean())
+        at = np.flatnonzero(counts > 4 + 4 * counts.mean())
         yield batches_of(schema, [pa.array(at), pa.array(counts[at])])
 
     return run
@@ -87,11 +89,6 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
     return levels
 
 
-def _least_overlap(total: np.ndarray, percent: int) -> np.ndarray:
-    """The smallest overlap of two sets with ``total`` members together that reaches the threshold."""
-    return -(-percent * total // (100 + percent))
-
-
 def _profiler(levels, schema: pa.Schema, width: int, percent: int):
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text", CHUNK_BYTES):
@@ -148,36 +145,32 @@ def links_of(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
 
 
 def _multiplier(schema: pa.Schema, percent: int):
-    """Pairs of rows that meet in a column; rows arrive by column, then size."""
+    """A row for each pair of rows that meet in a column; rows arrive by column, then size."""
 
-    def pairs(column, doc, size, place, label):
+    def pairs(column, doc, size, label):
         out = []
         new = np.append(True, column[1:] != column[:-1])
         begin = np.flatnonzero(new)
         mixed = np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)
         keep = mixed[np.cumsum(new) - 1]
-        column, doc, size, place, label = (x[keep] for x in (column, doc, size, place, label))
+        column, doc, size, label = (x[keep] for x in (column, doc, size, label))
         rows, step = np.arange(len(column)), 1
         while len(rows):
             rows = rows[rows + step < len(column)]
             to = rows + step
             near = (column[rows] == column[to]) & (100 * size[rows] >= percent * size[to])
             rows, to = rows[near], to[near]
-            least = _least_overlap(size[rows] + size[to], percent)
-            most = np.minimum(size[rows] - place[rows], size[to] - place[to])
-            hit = (most >= least) & (label[rows] != label[to])
-            out.append((doc[rows[hit]], doc[to[hit]]))
+            hit = label[rows] != label[to]
+            x, y = rows[hit], to[hit]
+            x, y = np.where(doc[x] < doc[y], x, y), np.where(doc[x] < doc[y], y, x)
+            out.append((doc[x], doc[y], size[x], size[y]))
             step += 1
-        if not out:
-            none = np.zeros(0, np.int64)
-            return none, none
-        a, b = (np.concatenate(x) for x in zip(*out))
-        return np.minimum(a, b), np.maximum(a, b)
+        return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            rows = [batch.column(name).to_numpy() for name in ("column", "doc", "size", "place", "label")]
+            rows = [batch.column(name).to_numpy() for name in ("column", "doc", "size", "label")]
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
             if not len(rows[0]):
                 continue
@@ -186,11 +179,9 @@ def _multiplier(schema: pa.Schema, percent: int):
             cut = cut if rows[0][cut] == rows[0][-1] else len(rows[0])
             held = [x[cut:] for x in rows]
             if cut:
-                a, b = pairs(*[x[:cut] for x in rows])
-                yield batches_of(schema, [pa.array(a), pa.array(b)])
+                yield batches_of(schema, map(pa.array, pairs(*[x[:cut] for x in rows])))
         if held is not None and len(held[0]):
-            a, b = pairs(*held)
-            yield batches_of(schema, [pa.array(a), pa.array(b)])
+            yield batches_of(schema, map(pa.array, pairs(*held)))
 
     return run
 
@@ -223,12 +214,14 @@ def jaccard_components(
     labels = components(near)
 
     rows = classes.join(labels, F.col("doc") == F.col("node"), "left").select(
-        "doc", "size", F.coalesce("root", "doc").alias("label"), F.posexplode("prefix").alias("place", "column")
+        F.explode("prefix").alias("column"), "doc", "size", F.coalesce("root", "doc").alias("label")
     )
-    columns = rows.select("column", "doc", "size", F.col("place").cast("bigint").alias("place"), "label")
-    columns = columns.repartition("column").sortWithinPartitions("column", "size", "doc")
-    met = map_arrow(columns, lambda fields: _multiplier(fields, percent), "a bigint, b bigint")
-    met = cut_lineage(met.distinct())
+    columns = rows.repartition("column").sortWithinPartitions("column", "size", "doc")
+    met = map_arrow(columns, lambda fields: _multiplier(fields, percent), "a bigint, b bigint, na bigint, nb bigint")
+    # all but the last ceil(t * larger) - 1 columns of a row were multiplied; the rest cannot add more than that
+    least = F.expr(f"ceil({percent} * (na + nb) / {100 + percent}) - ceil({percent} * greatest(na, nb) / 100) + 1")
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    met = cut_lineage(met.select("a", "b").distinct())
     far = links_of(docs, met, width, percent)
     reached = components(near.union(far))
 
