@@ -10,8 +10,8 @@ only where a product can reach the threshold:
 3. The columns are ordered from rare to frequent by a frequency sketch. Two
    rows can only reach the threshold if they meet in their rarest columns, as
    many as the size bound leaves. Each task gets blocks of columns and
-   multiplies them diagonal by diagonal; pairs whose sizes rule the threshold
-   out, or which are connected already, are discarded at once. The products
+   multiplies them diagonal by diagonal; pairs whose sizes or parity bits
+   rule the threshold out, or which are connected already, are discarded at once. The products
    are summed per pair, and pairs whose sum is below what the sizes demand of
    their rarest columns are discarded too.
 4. The pairs left get their overlaps counted over all columns.
@@ -109,6 +109,13 @@ def _profiler(levels, schema: pa.Schema, width: int, percent: int):
                 if len(filled):
                     made[filled] = (np.add if seed < 2 else np.minimum).reduceat(salted, at[filled])
                 (sums if seed < 2 else keys).append(made)
+            # each n-gram flips one of 128 bits: sets differ in at least as many n-grams as bits
+            bit = np.uint64(1) << (hashes & np.uint64(63))
+            for half in range(2):
+                flips, made = np.where((hashes >> np.uint64(6)) & np.uint64(1) == half, bit, np.uint64(0)), np.zeros(len(sizes), np.uint64)
+                if len(filled):
+                    made[filled] = np.bitwise_xor.reduceat(flips, at[filled])
+                sums.append(made)
             pairs = [mix(keys[2 * k] + mix(keys[2 * k + 1] + np.uint64(k))) for k in range(KEYS)]
             yield batches_of(schema, [
                 part.column("doc_id"), pa.array(sizes), *[pa.array(s.view(np.int64)) for s in sums],
@@ -147,20 +154,22 @@ def links_of(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
 def _multiplier(schema: pa.Schema, percent: int):
     """A row for each pair of rows that meet in a column; rows arrive by column, then size."""
 
-    def pairs(column, doc, size, label):
+    def pairs(column, doc, size, label, b1, b2):
         out = []
         new = np.append(True, column[1:] != column[:-1])
         begin = np.flatnonzero(new)
         mixed = np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)
         keep = mixed[np.cumsum(new) - 1]
-        column, doc, size, label = (x[keep] for x in (column, doc, size, label))
+        column, doc, size, label, b1, b2 = (x[keep] for x in (column, doc, size, label, b1, b2))
         rows, step = np.arange(len(column)), 1
         while len(rows):
             rows = rows[rows + step < len(column)]
             to = rows + step
             near = (column[rows] == column[to]) & (100 * size[rows] >= percent * size[to])
             rows, to = rows[near], to[near]
-            hit = label[rows] != label[to]
+            flips = np.bitwise_count(b1[rows] ^ b1[to]).astype(np.int64) + np.bitwise_count(b2[rows] ^ b2[to])
+            most = (100 - percent) * (size[rows] + size[to]) // (100 + percent)  # n-grams a link may differ in
+            hit = (label[rows] != label[to]) & (flips <= most)
             x, y = rows[hit], to[hit]
             x, y = np.where(doc[x] < doc[y], x, y), np.where(doc[x] < doc[y], y, x)
             out.append((doc[x], doc[y], size[x], size[y]))
@@ -170,7 +179,7 @@ def _multiplier(schema: pa.Schema, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            rows = [batch.column(name).to_numpy() for name in ("column", "doc", "size", "label")]
+            rows = [batch.column(name).to_numpy().view(np.uint64 if name in ("b1", "b2") else np.int64) for name in ("column", "doc", "size", "label", "b1", "b2")]
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
             if not len(rows[0]):
                 continue
@@ -195,12 +204,12 @@ def jaccard_components(
     levels = spark.sparkContext.broadcast(frequency_levels(docs, width))
     profiles = cut_lineage(map_arrow(
         docs, lambda fields: _profiler(levels, fields, width, percent),
-        "doc_id bigint, size bigint, s1 bigint, s2 bigint, prefix array<bigint>, keys array<bigint>",
+        "doc_id bigint, size bigint, s1 bigint, s2 bigint, b1 bigint, b2 bigint, prefix array<bigint>, keys array<bigint>",
     ))
     same = ["size", "s1", "s2"]
     real = profiles.where("size > 0 AND doc_id IS NOT NULL")
     classes = cut_lineage(real.groupBy(*same).agg(
-        F.min("doc_id").alias("doc"), F.any_value("prefix").alias("prefix"), F.any_value("keys").alias("keys")
+        F.min("doc_id").alias("doc"), F.any_value("b1").alias("b1"), F.any_value("b2").alias("b2"), F.any_value("prefix").alias("prefix"), F.any_value("keys").alias("keys")
     ))
 
     keyed = classes.select("doc", "size", F.explode("keys").alias("key"))
@@ -214,7 +223,7 @@ def jaccard_components(
     labels = components(near)
 
     rows = classes.join(labels, F.col("doc") == F.col("node"), "left").select(
-        F.explode("prefix").alias("column"), "doc", "size", F.coalesce("root", "doc").alias("label")
+        F.explode("prefix").alias("column"), "doc", "size", "b1", "b2", F.coalesce("root", "doc").alias("label")
     )
     columns = rows.repartition("column").sortWithinPartitions("column", "size", "doc")
     met = map_arrow(columns, lambda fields: _multiplier(fields, percent), "a bigint, b bigint, na bigint, nb bigint")
