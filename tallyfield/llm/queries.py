@@ -14,6 +14,7 @@ from tallyfield.llm.ngram_join import jaccard_components
 from tallyfield.llm.quality import judged
 from tallyfield.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from tallyfield.llm.secrets import KINDS, find_secrets
+from tallyfield.llm.suffix_dedup import remove_repeats
 from tallyfield.llm.token_counts import count_tokens
 
 
@@ -146,3 +147,28 @@ FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT node AS doc_id, min
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's set of 4-word shingles, and its component of linked documents."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_dedup", """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (SELECT doc_id, k, md5(substr(h, 2 * k + 1, 200)) AS w FROM texts, LATERAL (SELECT unnest(range(0, n - 99)) AS k)),
+firsts AS (SELECT w, min((doc_id, k)) AS first FROM windows GROUP BY w HAVING count(*) > 1),
+later AS (SELECT doc_id, k FROM windows JOIN firsts USING (w) WHERE (doc_id, k) <> first),
+edges AS (SELECT doc_id, k, max(k + 100) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM later),
+numbered AS (SELECT doc_id, k, sum(CASE WHEN upto >= k THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM edges),
+spans AS (SELECT doc_id, g, min(k) AS a, max(k) + 100 AS b FROM numbered GROUP BY 1, 2),
+kept AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+    UNION ALL SELECT t.doc_id, coalesce(max(s.b), 0), t.n FROM texts t LEFT JOIN spans s USING (doc_id) GROUP BY t.doc_id, t.n),
+rest AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM kept JOIN texts USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY 1)
+SELECT doc_id, t.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(s.n, 0) AS n_spans,
+    sha256(unhex(rest.h)) AS kept_sha256
+FROM texts t LEFT JOIN sums s USING (doc_id) JOIN rest USING (doc_id)
+""")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document, how many stand in strings seen earlier, and the digest of the rest."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
