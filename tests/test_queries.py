@@ -9,10 +9,9 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry_points
+from tallyfield.queries import ORACLES, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
 NO_SQL = {"select_knots_kmeans"}
 
 
@@ -37,6 +36,7 @@ def test_query(spark, con, name):
 def test_every_query_has_a_check():
     assert set(QUERIES) - set(ORACLES) == NO_SQL
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 def test_every_query_reads_the_tables():
