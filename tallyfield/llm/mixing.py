@@ -86,13 +86,22 @@ def apportion(units: DataFrame, keys: list[str], unit: str, weight: str, seats:
 
 
 def _takes(block: int, seed: int) -> str:
-    """SQL for the words taken of each block of a shard in the pass that is not whole, in block order."""
+    """SQL for the words taken of each block of a shard in the pass that is not whole, in block order.
+
+    The place of the shard's last, shorter block in seeded order is a variable
+    of the outer lambda, so that it is found once per shard and not per block.
+    """
     last = f"(shard_size - (n_blocks - 1) * {block})"
-    order = f"transform(sort_array(transform(sequence(0, n_blocks - 1), j -> struct(xxhash64({seed}, source_number, shard, j), j))), x -> x.j)"
+    drawn = lambda j: f"named_struct('h', xxhash64({seed}, source_number, shard, {j}), 'j', {j})"
+    last_place = f"size(filter(sequence(0, n_blocks - 1), j -> {drawn('j')} < {drawn('(n_blocks - 1)')})) + 1"
+    order = f"transform(sort_array(transform(sequence(0, n_blocks - 1), j -> {drawn('j')})), x -> x.j)"
+    words = (
+        f"least(CASE WHEN j = n_blocks - 1 THEN {last} ELSE {block} END, "
+        f"rest - r * {block} + CASE WHEN r >= last_place THEN {block} - {last} ELSE 0 END)"
+    )
     return (
-        f"CASE WHEN rest > 0 THEN transform(sort_array(transform({order}, (j, r) -> struct(j, greatest(0L, least("
-        f"CASE WHEN j = n_blocks - 1 THEN {last} ELSE {block} END, rest - r * {block} "
-        f"+ CASE WHEN r >= last_place THEN {block} - {last} ELSE 0 END))))), x -> x.col2) END"
+        f"CASE WHEN rest > 0 THEN get(transform(array({last_place}), last_place -> transform(sort_array("
+        f"transform({order}, (j, r) -> struct(j, greatest(0L, {words})))), x -> x.col2)), 0) END"
     )
 
 
@@ -125,12 +134,7 @@ def mix(
     shards = shards.withColumns({
         "passes": F.floor(words / F.col("shard_size")).cast("bigint"), "n_blocks": F.ceil(F.col("shard_size") / block).cast("bigint"),
     }).withColumn("rest", words - F.col("passes") * F.col("shard_size"))
-    # how many blocks come before the shard's last, shorter one in seeded order
-    drawn = "named_struct('h', xxhash64({seed}, source_number, shard, {j}), 'j', {j})"
-    before = (
-        f"size(filter(sequence(0, n_blocks - 1), j -> {drawn.format(seed=seed, j='j')} < {drawn.format(seed=seed, j='(n_blocks - 1)')}))"
-    )
-    shards = shards.withColumn("last_place", F.expr(f"CASE WHEN rest > 0 THEN {before} + 1 END")).withColumn("takes", F.expr(_takes(block, seed)))
+    shards = shards.withColumn("takes", F.expr(_takes(block, seed)))
     shards = cut_lineage(shards.select("source_number", "shard", "passes", "takes"))
 
     in_order = Window.partitionBy("source_number", "shard").orderBy("draw", "doc_id", "size")
