@@ -36,17 +36,22 @@ def collapse_groups(df: DataFrame, event: str, group: str, per: Sequence[str], n
 def zero_fill(checklists: DataFrame, observations: DataFrame, species: DataFrame, key: str, name: str, count: str) -> DataFrame:
     """Every checklist with every species, count 0 where it was not observed.
 
+    A species seen without any count is ``observed`` with a missing count, not
+    an absence. Rows without a species name are no observation of one.
+
     Counts are packed into one map per checklist (as many entries as it has
     species) and joined by checklist; only then do rows multiply, and nothing
     is shuffled after that.
     """
-    per_species = observations.groupBy(key, name).agg(F.sum(count).alias("_c"))
+    per_species = observations.where(F.col(name).isNotNull()).groupBy(key, name).agg(F.sum(count).alias("_c"))
     packed = per_species.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct(name, "_c"))).alias("_counts")
     )
-    filled = with_every(checklists.join(packed, key, "left"), species.select(name).distinct(), [key])
-    seen = F.try_element_at("_counts", F.col(name))
-    return filled.withColumns({count: F.coalesce(seen, F.lit(0)), "observed": seen.isNotNull()}).drop("_counts")
+    names = species.select(name).where(F.col(name).isNotNull()).distinct()
+    filled = with_every(checklists.join(packed, key, "left"), names, [key])
+    seen = F.coalesce(F.map_contains_key("_counts", F.col(name)), F.lit(False))
+    counts = F.when(seen, F.try_element_at("_counts", F.col(name))).otherwise(F.lit(0))
+    return filled.withColumns({count: counts, "observed": seen}).drop("_counts")
 
 
 def roll_up_taxa(observations: DataFrame, taxonomy: DataFrame, key: str, taxon: str, species: str, count_text: str) -> DataFrame:

@@ -81,7 +81,10 @@ def keep_common(a: DataFrame, b: DataFrame, on: Sequence[str]) -> tuple[DataFram
 
 
 def with_every(df: DataFrame, other: DataFrame, spread_by: Sequence[str], parts: int | None = None) -> DataFrame:
-    """Each row of ``df`` with each row of ``other``, as an equi-join.
+    """Each row of ``df`` with each row of ``other``: a cross join, dealt out as an equi-join.
+
+    For products that are the result itself, with one short side: species,
+    years, lengths or grid cells.
 
     Rows of ``df`` go to one of ``parts`` parts by hash (as many as the session
     has shuffle partitions) and ``other`` is copied to all of them. A small

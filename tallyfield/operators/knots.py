@@ -32,7 +32,7 @@ def kmeans_knots(points: DataFrame, point: str, k: int, seed: int, x: str = "x",
 
     places = cut_lineage(points.groupBy(x, y).agg(F.min(point).alias(point)))
     vectors = VectorAssembler(inputCols=[x, y], outputCol="_v").transform(places)
-    model = KMeans(k=min(k, MAX_KNOTS, places.count()), seed=seed, featuresCol="_v", predictionCol="knot_cell").fit(vectors)
+    model = KMeans(k=min(k, places.count()), seed=seed, featuresCol="_v", predictionCol="knot_cell").fit(vectors)
     return first_per_key(model.transform(vectors).drop("_v"), ["knot_cell"], [point])
 
 

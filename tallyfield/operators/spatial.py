@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.functions.geo import Grid
-from tallyfield.operators.joins import natural_join
+from tallyfield.operators.joins import drop_known
 
 
 def fitted_grid(df: DataFrame, x: str, y: str, size: float) -> Grid:
@@ -37,9 +37,13 @@ def to_cells(df: DataFrame, grid: Grid, x: str = "x", y: str = "y", name: str =
     return df.withColumn(name, grid.cell(F.col(x), F.col(y))).where(F.col(name).isNotNull())
 
 
-def complete_grid(observations: DataFrame, cells: DataFrame, cell: str = "cell_id") -> DataFrame:
-    """Observations plus one row for every cell without any."""
-    return natural_join(observations, cells, "full", [cell], nulls_match=False)
+def complete_grid(observations: DataFrame, cells: DataFrame, on: Sequence[str] = ("cell_id",)) -> DataFrame:
+    """Observations plus one row for every cell without any; ``on`` may add keys that get a grid each.
+
+    Observations pass as they are; only their distinct keys are joined.
+    """
+    empty = drop_known(cells.select(*on), observations, on, nulls_match=False)
+    return observations.unionByName(empty, allowMissingColumns=True)
 
 
 def ring_edges(vertices: DataFrame, ring: str, seq: str, x: str, y: str) -> DataFrame:

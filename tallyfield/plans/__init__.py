@@ -1 +1 @@
-"""Whole feed preparations, each one lazy plan over all species."""
+"""Whole feed preparations; the route plan writes its rows once while it is built."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.operators.aggregates import sufficient_keys
-from tallyfield.operators.joins import keep_known
+from tallyfield.operators.joins import keep_known, with_every
 from tallyfield.operators.pivots import distance_period_block, usable_distances
 from tallyfield.operators.spatial import complete_grid
 
@@ -29,12 +29,12 @@ def visit_blocks(clean: DataFrame, at_least: int = 30) -> DataFrame:
     return distance_period_block(kept, ["alpha", "yr", "transect", "point"], "distance", "time_period", "cnt", WIDTH, N_BINS, PERIODS)
 
 
-def cell_blocks(clean: DataFrame, cells_of: DataFrame, cells: DataFrame) -> DataFrame:
-    """Blocks per cell, year and visit; empty cells stay with zero counts.
+def cell_blocks(clean: DataFrame, cells_of: DataFrame, cells: DataFrame, at_least: int = 30) -> DataFrame:
+    """Blocks per species, cell and visit; every species that passes the gate has the whole grid, empty cells with zeros.
 
     A transect lies in one cell, so rows are folded to visits before the join.
     """
-    visits = distance_period_block(clean, ["yr", "transect", "point"], "distance", "time_period", "cnt", WIDTH, N_BINS, PERIODS)
-    blocks = visits.join(cells_of, "transect")
-    full = complete_grid(blocks, cells.select("cell_id"))
+    blocks = visit_blocks(clean, at_least).join(cells_of, "transect")
+    species = sufficient_keys(clean, "alpha", "cnt", at_least).select("alpha")
+    full = complete_grid(blocks, with_every(cells.select("cell_id"), species, ["cell_id"]), ["cell_id", "alpha"])
     return full.na.fill(0, [c for c in full.columns if c.startswith("count_")])

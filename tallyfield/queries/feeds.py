@@ -281,16 +281,16 @@ def mutual_semi_join(t: Tables) -> DataFrame:
 @query("zero_fill", f"""
 WITH lists AS (SELECT DISTINCT observer, obs_date, observer || '@' || obs_date AS checklist FROM v_checklists WHERE complete),
 species AS (SELECT DISTINCT species FROM v_observations),
-seen AS (SELECT observer || '@' || obs_date AS checklist, species, sum({_COUNT}) AS c FROM v_observations
-  WHERE count_text <> 'X' GROUP BY 1, 2)
-SELECT lists.checklist, species.species, CAST(coalesce(c, 0) AS BIGINT) AS count, c IS NOT NULL AS observed
+seen AS (SELECT observer || '@' || obs_date AS checklist, species, sum(CASE WHEN count_text <> 'X' THEN {_COUNT} END) AS c, true AS observed
+  FROM v_observations GROUP BY 1, 2)
+SELECT lists.checklist, species.species, CAST(CASE WHEN observed THEN c ELSE 0 END AS DOUBLE) AS count, coalesce(observed, false) AS observed
 FROM lists CROSS JOIN species LEFT JOIN seen ON seen.checklist = lists.checklist AND seen.species = species.species""")
 def zero_filled(t: Tables) -> DataFrame:
-    """Every observer day with a complete checklist, with every species."""
+    """Every observer day with a complete checklist, with every species; seen but uncounted ones keep a missing count."""
     key = F.concat_ws("@", F.col("observer").cast("string"), F.col("obs_date").cast("string")).alias("checklist")
     lists = t.v_checklists.where("complete").select(key).distinct()
-    rows = counted(t.v_observations, "count_text", "count").select(key, "species", F.col("count").cast("bigint"))
-    return zero_fill(lists, rows, t.v_observations.select("species"), "checklist", "species", "count")
+    rows = t.v_observations.select(key, "species", F.col("count_text").try_cast("bigint").alias("count"))  # X has none
+    return as_double(zero_fill(lists, rows, t.v_observations.select("species"), "checklist", "species", "count"), ["count"])
 
 
 _TAXA = [("click", "press"), ("view", "look"), ("purchase", "press"), ("signup", "look"), ("error", "error")]

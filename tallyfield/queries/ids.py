@@ -120,11 +120,13 @@ def distance_blocks_by_species(t: Tables) -> DataFrame:
 
 
 @query("distance_blocks_on_grid", f"""
-WITH {_CLEAN}, cells AS (SELECT unnest(generate_series(0, 175)) AS cell_id), located AS (SELECT site AS transect, {cell_sql(COARSE)} AS cell_id FROM v_sites),
-b AS (SELECT cell_id, CAST(yr AS INTEGER) AS yr, clean.transect, point, {_BLOCK} FROM clean JOIN located ON located.transect = clean.transect GROUP BY 1, 2, 3, 4)
-SELECT cells.cell_id, CAST(yr AS DOUBLE) AS yr, CAST(transect AS DOUBLE) AS transect, CAST(point AS DOUBLE) AS point, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _BLOCK_NAMES)} FROM cells LEFT JOIN b ON b.cell_id = cells.cell_id""")
+WITH {_CLEAN}, enough AS (SELECT alpha FROM clean GROUP BY 1 HAVING sum(CASE WHEN cnt > 0 THEN 1 ELSE 0 END) >= 30),
+cells AS (SELECT * FROM (SELECT unnest(generate_series(0, 175)) AS cell_id), enough), located AS (SELECT site AS transect, {cell_sql(COARSE)} AS cell_id FROM v_sites),
+b AS (SELECT cell_id, alpha, CAST(yr AS INTEGER) AS yr, clean.transect, point, {_BLOCK} FROM clean JOIN located ON located.transect = clean.transect
+  WHERE alpha IN (SELECT alpha FROM enough) GROUP BY 1, 2, 3, 4, 5)
+SELECT cells.cell_id, cells.alpha, CAST(yr AS DOUBLE) AS yr, CAST(transect AS DOUBLE) AS transect, CAST(point AS DOUBLE) AS point, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _BLOCK_NAMES)} FROM cells LEFT JOIN b ON b.cell_id = cells.cell_id AND b.alpha = cells.alpha""")
 def distance_blocks_on_grid(t: Tables) -> DataFrame:
-    """Blocks per cell and visit on the whole grid; empty cells hold zeros."""
+    """Blocks per species, cell and visit on one whole grid per species; empty cells hold zeros."""
     located = to_cells(t.v_sites, COARSE).select(F.col("site").alias("transect"), "cell_id")
     blocks = cell_blocks(clean_survey(t.v_distance, _YEARS), located, grid_cells(t.spark, COARSE))
     return as_double(blocks, ["yr", "transect", "point"])

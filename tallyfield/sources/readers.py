@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -20,9 +21,13 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str) -> Dat
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated text with a header line and no quoting."""
-    reader = spark.read.schema(schema).option("header", True).option("sep", "\t").option("quote", "")
-    return reader.csv(path)
+    """Tab-separated text without quoting; the columns of ``schema`` are taken by header name, in any file order."""
+    reader = spark.read.option("header", True).option("enforceSchema", False).option("sep", "\t").option("quote", "")
+    whole = reader.csv(path)
+    wanted = StructType.fromDDL(schema).fields
+    if absent := [f.name for f in wanted if f.name not in whole.columns]:
+        raise ValueError(f"no column {', '.join(absent)} in {path}")
+    return whole.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def stack_csv(

@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyfield.operators.joins import drop_known
 
 
 def written_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Key values a partitioned output holds; answered from folder names."""
-    return spark.read.parquet(path).select(key).distinct()
+    """Key values a partitioned output holds, as text, so that padded codes stay; none before the first run."""
+    try:
+        return spark.read.schema(f"`{key}` string").parquet(path).select(key).distinct()
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"`{key}` string")
 
 
 def pending_keys(keys: DataFrame, key: str, written: Sequence[DataFrame]) -> DataFrame:

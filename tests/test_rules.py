@@ -43,6 +43,7 @@ from tallyfield.operators.ranks import (
     one_at_random,
     running_weight,
 )
+from tallyfield.plans.distance_blocks import cell_blocks, clean_survey
 
 
 def rows(df, *cols):
@@ -253,3 +254,18 @@ def test_start_values(spark):
     starts = start_abundance(frame, top, ["s", "t"], "m")
     assert rows(starts, "s", "t", "n_start") == [(1, 1, 30.0), (1, 2, 60.0), (2, 1, 10.0), (2, 2, 10.0)]
     assert rows(start_occupancy(starts, "s", "n_start"), "s", "z_start") == [(1, 1), (2, 0)]
+
+
+def test_zero_fill_keeps_uncounted_records(spark):
+    lists = spark.createDataFrame([("l1",), ("l2",)], "l string")
+    seen = spark.createDataFrame([("l1", "s1", None), ("l2", "s1", 4), ("l2", None, 1)], "l string, s string, n int")
+    out = zero_fill(lists, seen, seen.select("s"), "l", "s", "n")
+    assert rows(out, "l", "s", "n", "observed") == [("l1", "s1", None, True), ("l2", "s1", 4, True)]
+
+
+def test_cell_blocks_keep_species_apart(spark):
+    data = [(2012, 1, 1, 20.0, 1, 3, "A")] * 30 + [(2012, 1, 1, 20.0, 1, 5, "B")] * 30 + [(2012, 1, 1, 20.0, 1, 7, "rare")]
+    clean = clean_survey(spark.createDataFrame(data, "yr int, transect int, point int, distance double, time_period int, cnt int, species string"))
+    located = spark.createDataFrame([(1, 0)], "transect int, cell_id int")
+    out = cell_blocks(clean, located, spark.createDataFrame([(0,), (1,)], "cell_id int"))
+    assert rows(out, "alpha", "cell_id", "count_0_50_1") == [("a", 0, 90), ("a", 1, 0), ("b", 0, 150), ("b", 1, 0)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from tallyfield.sources.readers import load_bundle, lookup, read_csv, read_table, read_tsv, stack_csv
 from tallyfield.sources.writers import write_by_key, write_csv, write_table, write_tsv
 from tallyfield.streaming.pending import pending_keys, without, written_keys
@@ -42,3 +44,19 @@ def test_bundle_lookup_and_exclusion(spark, tmp_path):
     table = lookup(spark, [("x", 1), ("y", 2)], "code string, n int")
     assert without(table, "code", ["x"]).count() == 1
     assert without(table, "code", []).count() == 2
+
+
+def test_tsv_columns_by_name(spark, tmp_path):
+    write_tsv(spark.createDataFrame([(1, "b1", 2.5), (2, None, 0.5)], "a int, b string, c double"), f"{tmp_path}/t")
+    got = read_tsv(spark, f"{tmp_path}/t", "c double, a int")
+    assert got.columns == ["c", "a"] and sorted(map(tuple, got.collect())) == [(0.5, 2), (2.5, 1)]
+    with pytest.raises(ValueError, match="no column d"):
+        read_tsv(spark, f"{tmp_path}/t", "a int, d string")
+
+
+def test_pending_first_run_and_padded_codes(spark, tmp_path):
+    wanted = spark.createDataFrame([("00123",), ("9",)], "sp string")
+    none = written_keys(spark, f"{tmp_path}/nothing", "sp")
+    assert sorted(r.sp for r in pending_keys(wanted, "sp", [none]).collect()) == ["00123", "9"]
+    write_by_key(wanted.where("sp = '00123'").selectExpr("sp", "1 AS n"), f"{tmp_path}/done", "sp")
+    assert [r.sp for r in pending_keys(wanted, "sp", [written_keys(spark, f"{tmp_path}/done", "sp")]).collect()] == ["9"]
