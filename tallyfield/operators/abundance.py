@@ -35,14 +35,17 @@ def abundance_path(
     """Expected abundance per step: ``N1 = start z + leak (1 - z)``, then
     ``N[t] = N[t-1] growth[t] z + leak (1 - z)``.
 
-    ``df`` has one row per site and step, so a site's list is as long as the
-    survey has years; the recursion runs inside the row, without a year loop.
+    ``df`` has one row per site and step, without gaps, so a site's list is as
+    long as the survey has years; the recursion runs inside the row, without a
+    year loop. A site with a missing step is an error.
     """
     rows = F.sort_array(F.collect_list(F.struct(F.col(step).alias("t"), F.col(growth).alias("g"))))
     packed = df.groupBy(site).agg(
         rows.alias("_rows"), F.min_by(start, step).alias("_start"), F.max(F.col(occupied).cast("double")).alias("_z")
     )
-    z = F.col("_z")
+    span = F.element_at("_rows", -1).getField("t") - F.element_at("_rows", 1).getField("t") + 1
+    gap = F.raise_error(F.concat(F.lit("a step is missing at site "), F.col(site).cast("string"))).cast("double")
+    z = F.when(span == F.size("_rows"), F.col("_z")).otherwise(gap)
     rest = (1 - z) * leak
     path = F.aggregate(
         F.slice("_rows", F.lit(2), F.size("_rows")),

@@ -24,7 +24,7 @@ from tallyfield.operators.detection import (
     gather,
     logistic_detection,
 )
-from tallyfield.operators.joins import natural_join
+from tallyfield.operators.joins import natural_join, with_every
 from tallyfield.operators.pivots import usable_distances
 from tallyfield.operators.posterior import indexed_parameters, kept_draws, potential_scale, summarise, to_grid
 from tallyfield.operators.ranks import flag_first
@@ -150,15 +150,19 @@ def linear_predictor_gather(t: Tables) -> DataFrame:
     )
 
 
-COVARIATES_SQL = """cov AS (SELECT site, CAST(yr AS INTEGER) AS yr, avg(coalesce(cnt, 0)) AS gra, CAST(count(*) - 1 AS DOUBLE) AS tem,
-  CAST(coalesce(sum(cnt), 0) AS BIGINT) AS total FROM v_site_year GROUP BY 1, 2)"""
+COVARIATES_SQL = """cov_seen AS (SELECT site, yr, avg(coalesce(cnt, 0)) AS gra, CAST(count(*) - 1 AS DOUBLE) AS tem, sum(cnt) AS total FROM v_site_year GROUP BY 1, 2),
+cov AS (SELECT s.site, CAST(y.yr AS INTEGER) AS yr, coalesce(gra, 0) AS gra, coalesce(tem, 0) AS tem, CAST(coalesce(total, 0) AS BIGINT) AS total
+  FROM (SELECT DISTINCT site FROM v_site_year) s CROSS JOIN (SELECT DISTINCT yr FROM v_site_year) y LEFT JOIN cov_seen c ON c.site = s.site AND c.yr = y.yr)"""
 
 
 def covariates(t: Tables) -> DataFrame:
-    seen = F.coalesce("cnt", F.lit(0))
-    return t.v_site_year.groupBy("site", "yr").agg(
-        F.avg(seen).alias("gra"), (F.count("*") - 1).cast("double").alias("tem"), F.sum(seen).alias("total")
+    """Covariates of every site in every year, 0 where a year has no visit, so that recursions meet no gap."""
+    rows = t.v_site_year
+    seen = rows.groupBy("site", "yr").agg(
+        F.avg(F.coalesce("cnt", F.lit(0))).alias("gra"), (F.count("*") - 1).cast("double").alias("tem"), F.sum("cnt").alias("total")
     )
+    frame = with_every(rows.select("site").distinct(), rows.select("yr").distinct(), ["site"])
+    return frame.join(seen, ["site", "yr"], "left").na.fill(0, ["gra", "tem", "total"])
 
 
 @query("loglinear_abundance", f"""

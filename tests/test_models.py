@@ -83,6 +83,8 @@ def test_abundance_path(spark):
     assert got[4, 2000] == 7.0 and len(got) == 25
     flat = abundance_path(df.withColumn("g", F.lit(1.0)).where("s = 1"), "s", "t", "n0", "g", "z", 0.1)
     assert {r.expected for r in flat.collect()} == {5.0}
+    with pytest.raises(Exception, match="a step is missing at site 1"):
+        abundance_path(df.where("s = 1 AND t <> 2003"), "s", "t", "n0", "g", "z", 0.1).collect()
 
 
 def test_dispersal(spark):
