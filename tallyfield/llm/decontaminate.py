@@ -1,6 +1,6 @@
 """Benchmark passages in documents, found with an FM-index per shard of the training text.
 
-Every task cuts its documents into shards of at most ``BLOCK`` words, orders
+Every task cuts its documents into shards of at most ``SHARD`` words, orders
 each shard's suffixes, and keeps the Burrows-Wheeler transform in a wavelet
 matrix with every ``SAMPLE``-th suffix position. All windows of the benchmark
 are searched backwards together; found rows walk to a sampled position, and
@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.succinct import BLOCK, WaveletMatrix, dense, suffix_order
+from tallyfield.llm.succinct import WaveletMatrix, dense, suffix_order
 from tallyfield.llm.tables import batches_of, col, fresh, list_array, map_arrow, per_batch
 from tallyfield.llm.words import ALNUM, covered, find_words, ranges, slices, text_bytes
 from tallyfield.session import cut_lineage
 
 WIDTH = 10
 SAMPLE = 16
-SHARD_BYTES = 6 << 20
+SHARD = 1 << 18
+SHARD_BYTES = 2 << 20
 
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 _ITEMS = "array<string>"
@@ -113,12 +114,12 @@ class ShardIndex:
 
 def _shards(at: np.ndarray, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Texts' word ranges packed into shards: text numbers, starts, sizes; long texts go in overlapping segments."""
-    long = BLOCK // 2
+    long = SHARD // 2
     rows, starts, sizes, total = [], [], [], 0
     for row, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
         while a < b:
             size = min(b - a, long)
-            if total + size + 1 > BLOCK:
+            if total + size + 1 > SHARD:
                 yield np.array(rows), np.array(starts), np.array(sizes)
                 rows, starts, sizes, total = [], [], [], 0
             rows.append(row)
@@ -160,11 +161,32 @@ def find_spans(hashes: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np
     return join(texts), join(firsts), join(ends), join(with_item), join(items)
 
 
-def _scanner(phrases, schema: pa.Schema, text: str, spans: str, items: str, n_words: str):
+def _without(text: str, runs: list[tuple[int, int]]) -> str:
+    """``text`` with each run of bytes replaced by a line break."""
+    raw, kept, at = text.encode(), [], 0
+    for start, end in runs:
+        kept.append(raw[at:start])
+        at = end
+    return b"\n".join([*kept, raw[at:]]).decode()
+
+
+def _cut(texts: pa.Array, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``texts`` without the byte runs ``starts`` to ``ends`` of ``rows``, which ascend."""
+    if not len(rows):
+        return texts
+    plain, edges = texts.to_pylist(), np.flatnonzero(np.diff(rows, prepend=-1))
+    for a, b in zip(edges, [*edges[1:], len(rows)]):
+        plain[rows[a]] = _without(plain[rows[a]], list(zip(starts[a:b].tolist(), ends[a:b].tolist())))
+    return pa.array(plain, pa.string())
+
+
+def _scanner(phrases, schema: pa.Schema, text: str, spans: str, items: str, n_words: str, cut: bool):
+    """Adds a block's hits to those found before; ``cut`` also cuts all of them out of the text."""
+
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, text, SHARD_BYTES):
             data, bounds = text_bytes(part.column(text))
-            _, _, hashes, at = find_words(data, bounds, ALNUM)
+            begins, ends, hashes, at = find_words(data, bounds, ALNUM)
             rows = part.num_rows
             who, first, end, with_item, item = find_spans(hashes, at, phrases.value)
             old = part.column(spans)
@@ -187,6 +209,9 @@ def _scanner(phrases, schema: pa.Schema, text: str, spans: str, items: str, n_wo
                 items: list_array(all_rows[order], rows, pa.array(all_names[order], pa.string())),
                 n_words: pa.array(np.diff(at)),
             }
+            if cut:
+                first, end = at[who] + lo - base[who], at[who] + hi - base[who] - 1
+                made[text] = _cut(part.column(text), who, begins[first] - bounds[who], ends[end] - bounds[who])
             yield batches_of(schema, [made[f.name] if f.name in made else part.column(f.name) for f in schema])
 
     return per_batch(work)
@@ -205,19 +230,24 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, width: int, windows:
         yield Phrases(held, width)
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, width: int, windows: int, names: list[str]) -> DataFrame:
+def _scanned(
+    docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, width: int, windows: int,
+    names: list[str], cut: bool = False,
+) -> DataFrame:
     spans, items, n_words = names
     spark = docs.sparkSession
     df = docs.withColumns({
         spans: F.array().cast(_SPANS), items: F.array().cast(_ITEMS), n_words: F.lit(None).cast("bigint"),
     })
-    first = True
-    for phrases in _blocks(benchmark, item_id, item_text, width, windows) if benchmark.take(1) else [Phrases([], width)]:
-        if not first:
+    blocks = _blocks(benchmark, item_id, item_text, width, windows)
+    phrases = next(blocks, None) or Phrases([], width)
+    while phrases:
+        held, after = spark.sparkContext.broadcast(phrases), next(blocks, None)
+        last = cut and after is None  # cut where the last block is scanned: no second pass through Python
+        df = map_arrow(df, lambda schema, held=held, last=last: _scanner(held, schema, text, spans, items, n_words, last), df.schema)
+        if after is not None:
             df = cut_lineage(df)
-        first = False
-        held = spark.sparkContext.broadcast(phrases)
-        df = map_arrow(df, lambda schema, held=held: _scanner(held, schema, text, spans, items, n_words), df.schema)
+        phrases = after
     return df
 
 
@@ -235,26 +265,6 @@ def benchmark_spans(
     return _scanned(docs, benchmark, "text", item_id, item_text, width, windows, names).select("doc_id", "n_words", "spans", "items")
 
 
-def _cutter(schema: pa.Schema, text: str, spans: str):
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lists = batch.column(spans)
-        texts = batch.column(text)
-        if len(lists.flatten()):
-            plain = texts.to_pylist()
-            for row in np.flatnonzero(lists.value_lengths().to_numpy()).tolist():
-                raw = plain[row].encode()
-                starts, ends, _, _ = find_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
-                kept, at = [], 0
-                for span in lists[row].as_py():
-                    kept.append(raw[at : starts[span["start"]]])
-                    at = int(ends[span["end"] - 1])
-                plain[row] = b"\n".join([*kept, raw[at:]]).decode()
-            texts = pa.array(plain, pa.string())
-        yield batches_of(schema, [texts if f.name == text else batch.column(f.name) for f in schema])
-
-    return per_batch(work)
-
-
 def remove_passages(
     docs: DataFrame, benchmark: DataFrame, text: str = "text",
     item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, windows: int = 1 << 20,
@@ -266,5 +276,4 @@ def remove_passages(
     columns, clean texts and null texts pass unchanged.
     """
     names = fresh(docs, "spans", "items", "n_words")
-    found = _scanned(docs, benchmark, text, item_id, item_text, width, windows, names).drop(*names[1:])
-    return map_arrow(found, lambda schema: _cutter(schema, text, names[0]), docs.schema)
+    return _scanned(docs, benchmark, text, item_id, item_text, width, windows, names, cut=True).drop(*names)

@@ -50,12 +50,17 @@ def batches_of(schema: pa.Schema, arrays: Iterable[pa.Array]) -> pa.RecordBatch:
 
 
 def per_batch(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
-    """A ``mapInArrow`` function that works on one batch after the other."""
+    """A ``mapInArrow`` function that works on one batch after the other.
+
+    Workers wait for their next task for a while; what Arrow's pool keeps for
+    them is given back before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from work(batch)
+        pa.default_memory_pool().release_unused()
 
     return run
 
