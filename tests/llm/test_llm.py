@@ -207,6 +207,8 @@ def test_passages_are_cut(spark, awkward, items):
     assert [tuple(s) for s in found[1].spans] == [(2, 5), (6, 10)] and found[3].n_words == 0
     cut = {r.doc_id: r.text for r in remove_passages(awkward, items).collect()}
     assert cut[1] == "the quick \n over \n and again\n" + "x" * 130 and cut[3] is None and cut[5] == LONG
+    in_blocks = remove_passages(awkward, items, windows=1)
+    assert sorted(map(str, in_blocks.collect())) == sorted(map(str, remove_passages(awkward, items).collect()))
     blocks = benchmark_spans(awkward, items, windows=1)
     assert sorted(map(str, blocks.select("doc_id", "n_words", "spans").collect())) == sorted(
         map(str, benchmark_spans(awkward, items).select("doc_id", "n_words", "spans").collect()))
