@@ -1,11 +1,14 @@
 """License notices in texts by an exact set-similarity join with templates.
 
-A block is a line of a text. A template is found in a block when the block
-holds at least ``THRESHOLD`` of the template's distinct words. Words are
-ordered by how many blocks of the whole corpus hold them; a block can only
-reach the threshold if it holds one of the template's rarest words (prefix
-filter), enough template words at all (length filter), and enough of them from
-its first shared word on (positional filter). What passes is counted exactly.
+A block is a window of consecutive words of a text, across line breaks, with
+room for as many other words as the template has, 16 words at least. A template
+is found in a block that holds at least ``THRESHOLD`` of the template's
+distinct words. Words are ordered by how often the whole corpus holds them; a
+block can only reach the threshold if it holds one of the template's rarest
+words (prefix filter) and, from its first word on, enough template words at all
+(length and positional filter, counted on the template's own words). What
+passes is counted exactly. Of blocks that overlap, the one with most shared
+words is the notice, then the shortest, then the first.
 Fixed phrases are found beside that, as consecutive words anywhere.
 
 The templates are written out in code. Texts never leave their task; the
@@ -27,12 +30,13 @@ from tallyfield.llm.tables import batches_of, col, list_array, map_arrow, per_ba
 from tallyfield.llm.words import ALNUM, find_words, slices, text_bytes, word_hash
 
 THRESHOLD = 0.8
+SHORTEST_BLOCK = 16
 CHUNK_BYTES = 4 << 20
 
 # fixed values: phrases and their labels
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# fixed values: one-line notices and their labels
+# fixed values: notices and their labels
 TEMPLATES = (
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -63,6 +67,7 @@ class Templates:
         self.sizes = self.has.sum(axis=1)
         # a hair below, so that a share equal to the threshold is not lost to rounding
         self.least = np.array([max(1, ceil(threshold * s - 1e-9)) for s in self.sizes.tolist()], np.int64)
+        self.widths = np.maximum(2 * np.diff(at), SHORTEST_BLOCK)
 
     def order_by(self, frequency: np.ndarray) -> None:
         """Rank words from rare to frequent, ties by hash, and mark each template's prefix."""
@@ -76,19 +81,14 @@ class Templates:
             self.prefix[k, words[: len(words) - least + 1]] = True
 
 
-def _block_words(part: pa.RecordBatch, templates: Templates) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """Distinct (block, template word) pairs of a batch; also the batch's words and each block's text."""
+def _template_words(part: pa.RecordBatch, templates: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and numbers of the template words of a batch; also all word hashes and where each text's words begin."""
     data, bounds = text_bytes(part.column("text"))
-    starts, ends, hashes, at = find_words(data, bounds, ALNUM)
-    line_ends = np.flatnonzero(data == 0x0A)
-    # text borders and line ends both begin a new block
-    block = np.searchsorted(line_ends, starts) + np.repeat(np.arange(len(at) - 1), np.diff(at))
+    _, _, hashes, at = find_words(data, bounds, ALNUM)
     number = np.searchsorted(templates.vocabulary, hashes)
     number[number == len(templates.vocabulary)] = 0
     known = np.flatnonzero(templates.vocabulary[number] == hashes)
-    pairs = np.unique(block[known] * len(templates.vocabulary) + number[known])
-    blocks, words = np.divmod(pairs, len(templates.vocabulary))
-    return blocks, words, (hashes, at, block)
+    return known, number[known], hashes, at
 
 
 def _counter(templates, schema: pa.Schema):
@@ -96,7 +96,7 @@ def _counter(templates, schema: pa.Schema):
         counts = np.zeros(len(templates.value.vocabulary), np.int64)
         for batch in batches:
             for part in slices(batch, "text", CHUNK_BYTES) if batch.num_rows else ():
-                _, words, _ = _block_words(part, templates.value)
+                _, words, _, _ = _template_words(part, templates.value)
                 counts += np.bincount(words, minlength=len(counts))
         at = np.flatnonzero(counts)
         yield batches_of(schema, [pa.array(at), pa.array(counts[at])])
@@ -104,32 +104,45 @@ def _counter(templates, schema: pa.Schema):
     return run
 
 
-def matching_blocks(blocks: np.ndarray, words: np.ndarray, templates: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks, templates and shared words of all pairs that reach the threshold."""
-    if not len(blocks):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    order = np.lexsort((templates.rank[words], blocks))
-    blocks, words = blocks[order], words[order]
-    begin = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
-    sizes = np.diff(np.append(begin, len(blocks)))
-    after = np.repeat(begin + sizes, sizes) - np.arange(len(blocks))  # words of the block from here on
-    out = []
-    for k, least in enumerate(templates.least.tolist()):
-        in_prefix = templates.prefix[k][words]
-        # length filter on the block, positional filter on its first shared word
-        rows = np.flatnonzero(in_prefix & (np.repeat(sizes, sizes) >= least))
-        rows = rows[np.append(True, blocks[rows][1:] != blocks[rows][:-1])] if len(rows) else rows
-        left = np.zeros(len(templates.vocabulary), np.int64)
-        own = np.flatnonzero(templates.has[k])
-        own = own[np.argsort(templates.rank[own])]
-        left[own] = len(own) - np.arange(len(own))
-        rows = rows[np.minimum(left[words[rows]], after[rows]) >= least]
-        at = np.searchsorted(begin, rows, "right") - 1
-        shared = np.add.reduceat(templates.has[k][words].astype(np.int64), begin)[at] if len(rows) else rows
-        keep = shared >= least
-        out.append((blocks[rows[keep]], np.full(int(keep.sum()), k), shared[keep]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+def _template_blocks(place: np.ndarray, words: np.ndarray, k: int, templates: Templates) -> list[tuple[int, int, int]]:
+    """``(first, last, shared)`` of the notices of template ``k``, as numbers into ``place``."""
+    near = place[templates.prefix[k][words]]
+    if not len(near):
+        return []
+    width, least = int(templates.widths[k]), int(templates.least[k])
+    near = np.append(near, place[-1] + 2 * width)
+    own = np.flatnonzero(templates.has[k][words])
+    own = own[near[np.searchsorted(near, place[own] - width, "right")] < place[own] + width]
+    at, word, row = place[own], words[own], np.arange(len(own))
+    begins = near[np.searchsorted(near, at)] < at + width
+    begins &= np.searchsorted(at, at + width) - row >= least
+    if not begins.any():
+        return []
+    order = np.argsort(word, kind="stable")
+    same = word[order[1:]] == word[order[:-1]]
+    before = np.full(len(own), -width)
+    before[order[1:][same]] = at[order[:-1][same]]
+    # a word counts in the blocks that begin after its place before and reach it
+    low = np.searchsorted(at, np.maximum(before, at - width), "right")
+    shared = np.cumsum(np.bincount(low, minlength=len(own))) - row
+    ends = np.searchsorted(at, at + width)
+    found = []
+    for i in np.flatnonzero(begins & (shared >= least)).tolist():
+        last = i + int(np.flatnonzero(low[i : ends[i]] <= i)[-1])
+        found.append((-int(shared[i]), int(at[last] - at[i]), i, last))
+    taken, out = np.zeros(len(own), bool), []
+    for n, _, i, last in sorted(found):
+        if not taken[i : last + 1].any():
+            taken[i : last + 1] = True
+            out.append((int(own[i]), int(own[last]), -n))
+    return sorted(out)
+
+
+def matching_blocks(place: np.ndarray, words: np.ndarray, text: np.ndarray, templates: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template, first word (as number into ``place``) and shared words of all notices."""
+    place = place + text * 2 * int(templates.widths.max())  # no block reaches from one text into the next
+    found = [(k, first, n) for k in range(len(templates.labels)) for first, _, n in _template_blocks(place, words, k, templates)]
+    return tuple(np.array(found, np.int64).reshape(-1, 3).T)
 
 
 def _finder(templates, phrases: Sequence[tuple[str, str]], schema: pa.Schema):
@@ -138,7 +151,7 @@ def _finder(templates, phrases: Sequence[tuple[str, str]], schema: pa.Schema):
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         known = templates.value
         for part in slices(batch, "text", CHUNK_BYTES):
-            blocks, words, (hashes, at, block) = _block_words(part, known)
+            place, words, hashes, at = _template_words(part, known)
             rows, labels, places = [], [], []
             for phrase, label in wanted:
                 n = len(hashes) - len(phrase) + 1
@@ -155,8 +168,8 @@ def _finder(templates, phrases: Sequence[tuple[str, str]], schema: pa.Schema):
             order = np.lexsort((places, rows))
             hits = pa.StructArray.from_arrays([pa.array(np.array(labels, object)[order], pa.string()), pa.array(places[order])], ["label", "word"])
 
-            in_block, template, shared = matching_blocks(blocks, words, known)
-            first = np.searchsorted(block, in_block)  # the block's first word
+            template, first, shared = matching_blocks(place, words, np.searchsorted(at, place, "right") - 1, known)
+            first = place[first]
             text = np.searchsorted(at, first, "right") - 1
             by = np.lexsort((template, first))
             first, text, template, shared = first[by], text[by], template[by], shared[by]
@@ -179,7 +192,7 @@ def find_licenses(
     """``(doc_id, n_words, phrases, notices)`` of every document.
 
     ``phrases`` has label and first word of each place of a phrase; ``notices``
-    label, first word of the block and share of the template's words in it.
+    label, first word of the notice and share of the template's words in it.
     """
     spark = docs.sparkSession
     docs = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))

@@ -158,6 +158,48 @@ def test_licenses_against_scan(spark):
         assert set(row.base_labels.split(",")) - {""} <= set(row.labels.split(","))
 
 
+def license_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
+def test_wrapped_notices(spark):
+    from tallyfield.llm.licenses import TEMPLATES
+
+    filler = "alpha beta gamma delta " * 9
+    docs, want = [], {}
+    for k, (label, text) in enumerate((t[0], t[1]) for t in TEMPLATES):
+        words = text.split()
+        for j, width in enumerate((2, 5, 9)):
+            lines = ["# " + " ".join(words[a : a + width]) for a in range(0, len(words), width)]
+            docs.append((10 * k + j, filler + "\n" + "\n".join(lines) + "\n" + filler))
+            want[10 * k + j] = (label, 36 + len(words))
+    docs.append((-1, "Released under the MIT License\n" * 3))
+    got = {r.doc_id: r.notices for r in find_licenses(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    for k, (label, end) in want.items():
+        assert [n for n in got[k] if n.label == label and n.share == 1.0 and 36 <= n.word < end]
+    assert [n.word for n in got[-1] if n.label == "MIT" and n.share == 1.0] == [0, 5, 10]
+
+
+def test_notices_against_every_window(spark):
+    import random
+
+    dice, templates = random.Random(5), [("a", "one two three four five six"), ("b", "two two seven the nine of ten eleven twelve of"), ("c", "the of one twelve ten")]
+    common = "one two three four five six seven the nine of ten eleven twelve x y z".split()
+    docs = {k: "".join(dice.choice(common) + dice.choice([" ", "\n", ", "]) for _ in range(dice.randrange(60))) for k in range(200)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    for r in find_licenses(frame, templates=templates).collect():
+        words, best = license_words(docs[r.doc_id]), {}
+        for label, text in templates:
+            have, width = set(text.split()), max(16, 2 * len(text.split()))
+            share = max((len(have & set(words[a : a + width])) / len(have) for a in range(len(words))), default=0)
+            if share >= 0.8:
+                best[label] = share
+        got = {}
+        for n in r.notices:
+            got[n.label] = max(n.share, got.get(n.label, 0))
+        assert got == best
+
+
 def brute_removed(docs, length):
     seen, out = set(), {}
     for k in sorted(docs):
