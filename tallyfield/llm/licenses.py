@@ -5,10 +5,12 @@ room for as many other words as the template has, 16 words at least. A template
 is found in a block that holds at least ``THRESHOLD`` of the template's
 distinct words. Words are ordered by how often the whole corpus holds them; a
 block can only reach the threshold if it holds one of the template's rarest
-words (prefix filter) and, from its first word on, enough template words at all
+words, or the rarest of those that name the license (prefix filter), and, from its first word on, enough template words at all
 (length and positional filter, counted on the template's own words). What
-passes is counted exactly. Of blocks that overlap, the one with most shared
-words is the notice, then the shortest, then the first.
+passes is counted exactly, and has to hold all words that name the license. Of blocks that overlap, the one with most shared
+words is the notice, then the shortest, then the first. A notice whose naming
+words stand in that of a template with more of them (CC BY in CC BY-NC) is no
+notice of its own. Templates may come without naming words.
 Fixed phrases are found beside that, as consecutive words anywhere.
 
 The templates are written out in code. Texts never leave their task; the
@@ -36,34 +38,72 @@ CHUNK_BYTES = 4 << 20
 # fixed values: phrases and their labels
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# fixed values: notices and their labels
+
+
+def _creative_commons() -> Iterator[tuple[str, str, str]]:
+    """Short and long notices of the Creative Commons family, with and without the current version."""
+    long = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+    for parts in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        spelled = "-".join(long[x] for x in parts.split("-"))
+        for version in ("", " 4.0"):
+            label = f"CC-{parts}{version.replace(' ', '-')}"
+            yield label, f"Licensed under CC {parts}{version}", f"CC {parts}{version}"
+            yield label, f"This work is licensed under a Creative Commons {spelled}{version} International License", f"Creative Commons {spelled}{version}"
+
+
+# fixed values: notices, their labels, and the words that name the license, all of which a notice must hold
 TEMPLATES = (
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("MIT", "Released under the MIT License", "MIT"),
+    ("MIT", "Licensed under the MIT License", "MIT"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ""),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0", "Apache 2"),
+    ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at", ""),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3", "GNU General Public 3"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2", "GNU General Public 2"),
+    ("LGPL", "This work is licensed under the GNU Lesser General Public License", "GNU Lesser General Public"),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1", "GNU Lesser General Public 2 1"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3", "GNU Lesser General Public 3"),
+    ("AGPL", "This work is licensed under the GNU Affero General Public License", "GNU Affero General Public"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3", "GNU Affero General Public 3"),
+    ("GPL", "Licensed under the GNU General Public License", "GNU General Public"),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "GNU General Public"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
+    ("BSD", "Licensed under the BSD License", "BSD"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public 2"),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0", "Mozilla Public 2"),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, version 2.0", "Eclipse Public 2"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0", "Boost Software 1"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ""),
+    ("ISC", "Licensed under the ISC License", "ISC"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain", "unencumbered"),
+    ("CC0-1.0", "Licensed under CC0 1.0", "CC0"),
+    ("CC0-1.0", "This work is released under CC0 1.0 Universal Public Domain Dedication", "CC0"),
+    *_creative_commons(),
 )
 
 
 class Templates:
     """Templates as sets of numbers into their common vocabulary."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]], threshold: float):
-        self.labels = [label for label, _ in templates]
-        data, bounds = text_bytes(pa.array([text for _, text in templates], pa.string()))
+    def __init__(self, templates: Sequence[tuple[str, ...]], threshold: float):
+        self.labels = [t[0] for t in templates]
+        data, bounds = text_bytes(pa.array([t[1] for t in templates], pa.string()))
         _, _, hashes, at = find_words(data, bounds, ALNUM)
         self.vocabulary = np.unique(hashes)
         numbers = np.searchsorted(self.vocabulary, hashes)
         self.has = np.zeros((len(templates), len(self.vocabulary)), bool)
         for k in range(len(templates)):
             self.has[k, numbers[at[k] : at[k + 1]]] = True
+        data, bounds = text_bytes(pa.array(["".join(t[2:3]) for t in templates], pa.string()))
+        _, _, named, name_at = find_words(data, bounds, ALNUM)
+        if not np.isin(named, self.vocabulary).all():
+            raise ValueError("a naming word stands in no template")
+        numbers = np.searchsorted(self.vocabulary, named)
+        self.names = np.zeros_like(self.has)
+        for k in range(len(templates)):
+            self.names[k, numbers[name_at[k] : name_at[k + 1]]] = True
+        if (self.names & ~self.has).any():
+            raise ValueError("a naming word does not stand in its template")
         self.sizes = self.has.sum(axis=1)
         # a hair below, so that a share equal to the threshold is not lost to rounding
         self.least = np.array([max(1, ceil(threshold * s - 1e-9)) for s in self.sizes.tolist()], np.int64)
@@ -76,9 +116,10 @@ class Templates:
         self.rank[order] = np.arange(len(order))
         self.prefix = np.zeros_like(self.has)
         for k, least in enumerate(self.least.tolist()):
-            words = np.flatnonzero(self.has[k])
+            named = self.names[k].any()
+            words = np.flatnonzero(self.names[k] if named else self.has[k])
             words = words[np.argsort(self.rank[words])]
-            self.prefix[k, words[: len(words) - least + 1]] = True
+            self.prefix[k, words[: 1 if named else len(words) - least + 1]] = True
 
 
 def _template_words(part: pa.RecordBatch, templates: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,8 +145,8 @@ def _counter(templates, schema: pa.Schema):
     return run
 
 
-def _template_blocks(place: np.ndarray, words: np.ndarray, k: int, templates: Templates) -> list[tuple[int, int, int]]:
-    """``(first, last, shared)`` of the notices of template ``k``, as numbers into ``place``."""
+def _template_blocks(place: np.ndarray, words: np.ndarray, k: int, templates: Templates) -> list[tuple[int, int, int, int, int]]:
+    """``(first, last, shared)`` of the notices of template ``k``, and its first and last naming word, as numbers into ``place``."""
     near = place[templates.prefix[k][words]]
     if not len(near):
         return []
@@ -126,23 +167,34 @@ def _template_blocks(place: np.ndarray, words: np.ndarray, k: int, templates: Te
     low = np.searchsorted(at, np.maximum(before, at - width), "right")
     shared = np.cumsum(np.bincount(low, minlength=len(own))) - row
     ends = np.searchsorted(at, at + width)
+    naming = templates.names[k][word]
+    held = np.cumsum(np.bincount(low, naming, minlength=len(own))) - (np.cumsum(naming) - naming)
     found = []
-    for i in np.flatnonzero(begins & (shared >= least)).tolist():
+    for i in np.flatnonzero(begins & (shared >= least) & (held > templates.names[k].sum() - 0.5)).tolist():
         last = i + int(np.flatnonzero(low[i : ends[i]] <= i)[-1])
         found.append((-int(shared[i]), int(at[last] - at[i]), i, last))
     taken, out = np.zeros(len(own), bool), []
     for n, _, i, last in sorted(found):
         if not taken[i : last + 1].any():
             taken[i : last + 1] = True
-            out.append((int(own[i]), int(own[last]), -n))
+            by = own[i : last + 1][(naming[i : last + 1] & (low[i : last + 1] <= i))]
+            out.append((int(own[i]), int(own[last]), -n, *((int(by[0]), int(by[-1])) if len(by) else (-1, -1))))
     return sorted(out)
 
 
 def matching_blocks(place: np.ndarray, words: np.ndarray, text: np.ndarray, templates: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template, first word (as number into ``place``) and shared words of all notices."""
     place = place + text * 2 * int(templates.widths.max())  # no block reaches from one text into the next
-    found = [(k, first, n) for k in range(len(templates.labels)) for first, _, n in _template_blocks(place, words, k, templates)]
-    return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+    found = [np.array(_template_blocks(place, words, k, templates), np.int64).reshape(-1, 5) for k in range(len(templates.labels))]
+    out = []
+    for k, rows in enumerate(found):
+        for j, other in enumerate(found):
+            fuller = (templates.names[j] & templates.names[k]).sum() == templates.names[k].sum() < templates.names[j].sum()
+            if len(rows) and len(other) and templates.names[k].any() and fuller:
+                at = np.searchsorted(other[:, 0], rows[:, 3], "right") - 1
+                rows = rows[(at < 0) | (other[at, 1] < rows[:, 4])]
+        out.append(np.stack([np.full(len(rows), k), rows[:, 0], rows[:, 2]], 1))
+    return tuple(np.concatenate(out).T)
 
 
 def _finder(templates, phrases: Sequence[tuple[str, str]], schema: pa.Schema):
@@ -186,7 +238,7 @@ def _finder(templates, phrases: Sequence[tuple[str, str]], schema: pa.Schema):
 
 
 def find_licenses(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, ...]] = TEMPLATES,
     phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """``(doc_id, n_words, phrases, notices)`` of every document.

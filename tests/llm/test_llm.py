@@ -200,6 +200,45 @@ def test_notices_against_every_window(spark):
         assert got == best
 
 
+def test_short_notices(spark):
+    want = {
+        "Licensed under CC BY-NC 4.0.": {"CC-BY-NC-4.0"}, "Licensed under CC BY 4.0.": {"CC-BY-4.0"}, "licensed under CC BY-SA 3.0": {"CC-BY-SA"},
+        "Licensed under\nCC BY-ND 4.0": {"CC-BY-ND-4.0"}, "Licensed under CC BY-NC-SA 4.0": {"CC-BY-NC-SA-4.0"}, "Licensed under CC0 1.0": {"CC0-1.0"},
+        "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.": {"CC-BY-4.0", "CC-BY-NC-4.0"},
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": {"CC-BY-NC-4.0"},
+        "Licensed under the MIT License": {"MIT"}, "Licensed under the BSD License": {"BSD"},
+        "This work is licensed under the GNU General Public License, version 3.": {"GPL-3.0"},
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0"},
+        "This Foo is licensed under the GNU Lesser General Public License, version 3.": {"LGPL-3.0"},
+        "Released under the Apache License, Version 2.0": {"Apache-2.0"}, "Released under the Foo License": set(),
+        "Released from work, it came under the sea license": set(),
+    }
+    frame = spark.createDataFrame(list(enumerate(want)), "doc_id bigint, text string")
+    got = {r.doc_id: {n.label for n in r.notices} for r in find_licenses(frame).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
+def test_license_query_against_windows(spark):
+    from tallyfield.llm.licenses import TEMPLATES
+
+    folder = "/root/testdata/sf0.01"
+    whole = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    sets = [(label, set(license_words(text)), set(license_words(names)), max(16, 2 * len(license_words(text)))) for label, text, names in TEMPLATES]
+    found = 0
+    for row in Q.QUERIES["op10_license_scans"](spark, folder).collect():
+        words, best = license_words(whole[row.doc_id]), {}
+        for label, have, names, width in sets:
+            for a in range(len(words)) if names <= set(words) and len(have & set(words)) >= 0.8 * len(have) else ():
+                block = set(words[a : a + width])
+                if names <= block and len(have & block) >= 0.8 * len(have):
+                    best[label] = max(best.get(label, 0), len(have & block) / len(have))
+        assert set(row.labels.split(",")) - set(row.base_labels.split(",")) - {""} <= set(best)
+        assert row.score == (1.0 if row.n_base else max(best.values(), default=0.0))
+        assert ("CC-BY-NC-4.0" in row.labels.split(",")) == ("CC BY-NC 4.0" in whole[row.doc_id])
+        found += "CC-BY-NC-4.0" in row.labels
+    assert found == 4
+
+
 def brute_removed(docs, length):
     seen, out = set(), {}
     for k in sorted(docs):
