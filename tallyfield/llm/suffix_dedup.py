@@ -21,8 +21,8 @@ stands, so consecutive strings that share it travel as one run, keyed by it:
 
 Null and empty texts, and those below ``LENGTH`` bytes, lose nothing. Rows with
 the same id are the same document: what one loses, the others lose at the same
-places, and none is a copy of the other. A null id counts as larger than any
-other. Short substrings and run texts are told apart by 64-bit hashes of
+places, and none is a copy of the other. Every row without an id is a document
+of its own and counts as larger than any with an id. Short substrings and run texts are told apart by 64-bit hashes of
 their own, runs by both together.
 """
 
@@ -212,8 +212,8 @@ def _fetch(schema: pa.Schema, length: int):
     return per_batch(work)
 
 
-def repeated_windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces and offsets of all windows of ``length`` bytes that stand earlier in ``pieces``."""
+def repeated_windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces and offsets of all windows of ``length`` bytes that stand earlier in ``pieces``, and those of the first ones."""
     raw = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.array([len(p) for p in pieces], np.int64)
     place, piece = ranges(np.zeros(len(sizes), np.int64), sizes)
@@ -250,33 +250,45 @@ def repeated_windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.n
     group = (np.cumsum(apart[:-1]) - 1)[whole]
     at, where, offset = order[whole], where[whole], offset[whole]
     if not len(at):
-        return at, at
+        return at, at, at, at
     begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     first = np.repeat(np.minimum.reduceat(at, begin), np.diff(np.append(begin, len(at))))
     again = at != first
-    return where[again], offset[again]
+    source = np.searchsorted(begins, first[again], "right") - 1
+    return where[again], offset[again], source, first[again] - begins[source]
 
 
-def _hashed_windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+def _window_rows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes, piece and offset of all windows, equal ones together by place; and each one's first."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    start, where = ranges(begins, np.maximum(sizes - length + 1, 0))
+    h1, h2 = (mix(spans_hash(running(CODES[data], base), start, start + length, base)) for base in (_BASE, _BASE ^ 0xFF00))
+    order = np.lexsort((start, h2, h1))
+    h1, h2, where, start = h1[order], h2[order], where[order], start[order]
+    new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[: len(h1)]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return h1, h2, where, start - begins[where], first
+
+
+def _hashed_windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As ``repeated_windows``, for keys that outgrow a block: windows told apart by two 64-bit hashes."""
-    found = []
-    for k, piece in enumerate(pieces):
-        codes, m = CODES[np.frombuffer(piece, np.uint8)], len(piece) - length + 1
-        at = np.arange(m)
-        both = [mix(spans_hash(running(codes, base), at, at + length, base)) for base in (_BASE, _BASE ^ 0xFF00)]
-        found.append(np.stack([both[0], both[1], np.full(m, k, np.uint64), at.astype(np.uint64)], 1))
-    rows = np.concatenate(found)
-    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
-    again = np.append(False, (rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1]))
-    return rows[again, 2].astype(np.int64), rows[again, 3].astype(np.int64)
+    _, _, where, offset, first = _window_rows(pieces, length)
+    again = np.flatnonzero(first != np.arange(len(first)))
+    return where[again], offset[again], where[first[again]], offset[first[again]]
 
 
 def _expand(schema: pa.Schema, length: int):
-    """Pieces sorted by key, document and place, packed into blocks of whole keys."""
+    """Pieces sorted by key, document, place and bytes, packed into blocks of whole keys."""
 
     def solve(ids, los, pieces, hashed=False):
-        where, offset = (_hashed_windows if hashed else repeated_windows)(pieces, length)
-        doc, lo, n = _joined(np.array(ids)[where], np.array(los)[where] + offset, np.ones(len(where), np.int64))
+        where, offset, source, begin = (_hashed_windows if hashed else repeated_windows)(pieces, length)
+        ids, los = np.array(ids, np.int64), np.array(los, np.int64)
+        doc, lo = ids[where], los[where] + offset
+        # rows of one document at one place are no copies of each other
+        copy = (doc != ids[source]) | (lo != los[source] + begin)
+        doc, lo, n = _joined(doc[copy], lo[copy], np.ones(int(copy.sum()), np.int64))
         return batches_of(schema, [pa.array(doc), pa.array(lo), pa.array(n)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,6 +318,8 @@ def _expand(schema: pa.Schema, length: int):
                 if key != last:
                     yield from close()
                     last = key
+                elif (doc, lo, piece) == (group[0][-1], group[1][-1], group[2][-1]):
+                    continue  # a repeated row
                 group[0].append(doc)
                 group[1].append(lo)
                 group[2].append(piece)
@@ -348,7 +362,10 @@ def _remove(schema: pa.Schema, length: int):
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``(doc_id, n_bytes, spans, kept)``: removed byte spans and the remaining bytes of every document."""
-    docs = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(doc_id).cast("bigint"), F.lit(_NULL_ID)).alias("id"), col(text).alias("text"))
+    docs = docs.select(col(doc_id).alias("doc_id"), col(doc_id).cast("bigint").alias("id"), col(text).alias("text"))
+    # numbers that depend on where rows stand are written, so that every later read sees the same ones
+    unnamed = cut_lineage(docs.where("id IS NULL").withColumn("id", F.lit(_NULL_ID) - F.monotonically_increasing_id()))
+    docs = docs.where("id IS NOT NULL").unionByName(unnamed)
     texts = docs.select("id", "text", "doc_id")
     runs = map_arrow(
         docs.select("id", "text"), lambda fields: _runs(fields, length),
@@ -364,7 +381,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         texts.join(wanted, "id").select("id", "text", "runs"), lambda fields: _fetch(fields, length),
         "key bigint, id bigint, lo bigint, piece binary",
     )
-    dealt = pieces.repartition("key").sortWithinPartitions("key", "id", "lo")
+    dealt = pieces.repartition("key").sortWithinPartitions("key", "id", "lo", "piece")
     found = map_arrow(dealt, lambda fields: _expand(fields, length), "id bigint, lo bigint, n bigint")
     gone = judged.where(F.col("kind") == _GONE).select("id", "lo", "n").union(found)
     gone = gone.groupBy("id").agg(F.collect_list(F.struct("lo", "n")).alias("gone"))  # at most the document's windows

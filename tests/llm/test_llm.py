@@ -267,6 +267,28 @@ def test_suffix_dedup_on_loops_and_crowds(spark, monkeypatch):
     assert plain == hashed
 
 
+def test_suffix_dedup_on_repeated_rows(spark):
+    from tallyfield.llm.suffix_dedup import LENGTH
+
+    passage = "the passage that stands in several of these documents, each time with other neighbours, " * 2
+    docs = {1: f"one {passage} uno", 2: f"two and {passage} dos", 3: "alone " * 3, 4: f"four {passage}"}
+    want = brute_removed({k: v.encode() for k, v in docs.items()}, LENGTH)
+    rows = [(k, v) for k, v in docs.items() for _ in range(3)]
+    got = [(r.doc_id, bytes(r.kept)) for r in remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got) == sorted((k, v) for k, v in want.items() for _ in range(3))
+
+
+def test_suffix_dedup_without_ids(spark):
+    from tallyfield.llm.suffix_dedup import LENGTH
+
+    a, b = "".join(f"a{k} " for k in range(60)), "".join(f"b{k} " for k in range(60))
+    texts = [a, "x" * 7 + b, b + "tail of a text with no id", "".join(f"c{k} " for k in range(60))]
+    frame = spark.createDataFrame([(1, a)] + [(None, t) for t in texts], "doc_id bigint, text string")
+    got = [(r.doc_id, bytes(r.kept).decode()) for r in remove_repeats(frame).collect()]
+    either = [[None, "x" * 7 + b, "tail of a text with no id"], [None, "x" * 7, texts[2]]]
+    assert sorted(got, key=str) in [sorted([(1, a), (None, ""), (None, texts[3]), (None, x), (None, y)], key=str) for _, x, y in either]
+
+
 def test_jaccard_against_sets(spark):
     docs = {k: " ".join(f"w{(k // 5) * 1000 + (j if (j * 7 + k) % 23 else j + 500 + k)}" for j in range(60)) for k in range(40)}
     frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
