@@ -13,7 +13,9 @@ stands, so consecutive strings that share it travel as one run, keyed by it:
 2. What is left of a key are runs with different texts. If a key has two, or
    a run may repeat itself, their bytes are fetched and packed into blocks,
    whole keys together. A key with more than ``CROWDED`` runs is cut anew by
-   longer substrings first, which spreads it over many keys.
+   longer substrings first, which spreads it over many keys. Keys that still
+   outgrow a block are cut into single windows, told apart by two 64-bit
+   hashes, whose first place a partial aggregate finds over many tasks.
 3. Each block gets a Burrows-Wheeler transform. Intervals of the suffix order
    are extended backwards breadth-first, which finds the common prefixes of
    neighbours by increasing value, and stops at ``LENGTH``. What is still
@@ -137,44 +139,48 @@ def _runs(schema: pa.Schema, length: int):
     return per_batch(work)
 
 
-def _judge(schema: pa.Schema):
-    """Runs sorted by key and text: later copies go, different texts of one key are passed on."""
-
-    def judged(h1, h2, doc, lo, n, twice, kind):
-        past = kind == _GONE
-        if past.any():
-            yield _emit(schema, _GONE, int(past.sum()), id=doc[past], lo=lo[past], n=n[past])
-            h1, h2, doc, lo, n, twice = (x[~past] for x in (h1, h2, doc, lo, n, twice))
-        if not len(h1):
-            return
-        new_key = np.append(True, h1[1:] != h1[:-1])
-        new = new_key | np.append(True, h2[1:] != h2[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        gone = ~new & ((doc != doc[head]) | (lo != lo[head]))
-        yield _emit(schema, _GONE, int(gone.sum()), id=doc[gone], lo=lo[gone], n=n[gone])
-        begin = np.flatnonzero(new_key)
-        texts = np.add.reduceat(new.astype(np.int64), begin)
-        loops = np.maximum.reduceat((twice & new).astype(np.int64), begin)
-        group = np.cumsum(new_key) - 1
-        keep = new & ((texts[group] > 1) | (loops[group] > 0))
-        yield _emit(schema, _RUN, int(keep.sum()), h1=h1[keep], id=doc[keep], lo=lo[keep], n=n[keep])
-        crowded = texts > CROWDED
-        yield _emit(schema, _CROWD, int(crowded.sum()), h1=h1[begin[crowded]])
+def _judge(schema: pa.Schema, crowded: int):
+    """Runs sorted by key and text: later copies go, different texts of one key are passed on.
+
+    From one batch to the next only the first run of the last text is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ("h1", "h2", "id", "lo", "n", "twice", "kind"), None
+        names = ("h1", "h2", "id", "lo", "n", "twice", "kind")
+        held, count, owed = None, 0, False  # the last text's first run, its key's texts so far, whether that run may still be passed on
         for batch in batches:
-            rows = [batch.column(c).fill_null(False if c == "twice" else 0).to_numpy(zero_copy_only=False) for c in names]
-            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            h1, h2, doc, lo, n, twice, kind = (
+                batch.column(c).fill_null(False if c == "twice" else 0).to_numpy(zero_copy_only=False) for c in names
+            )
+            past = kind == _GONE
+            if past.any():
+                yield _emit(schema, _GONE, int(past.sum()), id=doc[past], lo=lo[past], n=n[past])
+            rows = [x[~past] for x in (h1, h2, doc, lo, n, twice)]
             if not len(rows[0]):
                 continue
-            other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[6] != rows[6][-1]))
-            cut = int(other[-1]) + 1 if len(other) else 0  # the last key may go on in the next batch
-            held = [x[cut:] for x in rows]
-            if cut:
-                yield from judged(*[x[:cut] for x in rows])
-        if held is not None:
-            yield from judged(*held)
+            if held is not None:
+                rows = [np.append(np.array([x], r.dtype), r) for x, r in zip(held, rows)]
+            h1, h2, doc, lo, n, twice = rows
+            new_key = np.append(True, h1[1:] != h1[:-1])
+            new = new_key | np.append(True, h2[1:] != h2[:-1])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            gone = ~new & ((doc != doc[head]) | (lo != lo[head]))
+            yield _emit(schema, _GONE, int(gone.sum()), id=doc[gone], lo=lo[gone], n=n[gone])
+            begin = np.flatnonzero(new_key)
+            texts = np.add.reduceat(new.astype(np.int64), begin)
+            loops = np.maximum.reduceat((twice & new).astype(np.int64), begin)
+            texts[0] += max(0, count - 1)
+            group = np.cumsum(new_key) - 1
+            keep = new & ((texts[group] > 1) | (loops[group] > 0))
+            if held is not None:
+                keep[0] &= owed
+            yield _emit(schema, _RUN, int(keep.sum()), h1=h1[keep], id=doc[keep], lo=lo[keep], n=n[keep])
+            full = texts[:-1] > crowded
+            yield _emit(schema, _CROWD, int(full.sum()), h1=h1[begin[:-1][full]])
+            held, count = [x[head[-1]] for x in rows], int(texts[-1])
+            owed = count == 1 and not loops[-1]
+        if count > crowded:
+            yield _emit(schema, _CROWD, 1, h1=np.array([held[0]]))
 
     return run
 
@@ -279,6 +285,38 @@ def _hashed_windows(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     return where[again], offset[again], where[first[again]], offset[first[again]]
 
 
+def _windows(schema: pa.Schema, length: int):
+    """Windows of pieces by their hashes; all but a batch's first of equal ones go."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, los = batch.column("id").to_numpy(), batch.column("lo").to_numpy()
+        order = np.lexsort((los, ids))
+        ids, los = ids[order], los[order]
+        pieces = batch.column("piece").to_pylist()
+        h1, h2, where, offset, first = _window_rows([pieces[k] for k in order.tolist()], length)
+        doc, lo = ids[where], los[where] + offset
+        new = first == np.arange(len(first))
+        yield _emit(schema, _RUN, int(new.sum()), h1=h1[new].view(np.int64), h2=h2[new].view(np.int64), id=doc[new], lo=lo[new])
+        gone = ~new & ((doc != doc[first]) | (lo != lo[first]))
+        doc, lo, n = _joined(doc[gone], lo[gone], np.ones(int(gone.sum()), np.int64))
+        yield _emit(schema, _GONE, len(doc), id=doc, lo=lo, n=n)
+
+    return per_batch(work)
+
+
+def _repeated_by_hash(pieces: DataFrame, length: int) -> DataFrame:
+    """``(id, lo, n)`` of the windows of ``pieces`` that stand earlier in them, however many share a window.
+
+    Equal windows become one per batch, then their smallest place by a partial
+    aggregate; no task holds a key.
+    """
+    windows = cut_lineage(map_arrow(pieces, lambda fields: _windows(fields, length), "kind int, h1 bigint, h2 bigint, id bigint, lo bigint, n bigint"))
+    left = windows.where(F.col("kind") == _RUN).select("h1", "h2", "id", "lo")
+    firsts = left.groupBy("h1", "h2").agg(F.min(F.struct("id", "lo")).alias("first"), F.count("*").alias("often")).where("often > 1")
+    again = left.join(firsts, ["h1", "h2"]).where("id != first.id OR lo != first.lo").select("id", "lo", F.lit(1).cast("bigint").alias("n"))
+    return windows.where(F.col("kind") == _GONE).select("id", "lo", "n").union(again)
+
+
 def _expand(schema: pa.Schema, length: int):
     """Pieces sorted by key, document, place and bytes, packed into blocks of whole keys."""
 
@@ -372,17 +410,32 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "kind int, h1 bigint, h2 bigint, id bigint, lo bigint, n bigint, twice boolean",
     )
     dealt = runs.repartition("h1").sortWithinPartitions("h1", "kind", "h2", "id", "lo")
-    judged = cut_lineage(map_arrow(dealt, _judge, "kind int, h1 bigint, id bigint, lo bigint, n bigint"))
+    most = CROWDED
+    judged = cut_lineage(map_arrow(dealt, lambda fields: _judge(fields, most), "kind int, h1 bigint, id bigint, lo bigint, n bigint"))
     crowded = judged.where(F.col("kind") == _CROWD).select("h1", F.lit(True).alias("crowd"))
-    wanted = judged.where(F.col("kind") == _RUN).join(crowded, "h1", "left")
-    wanted = wanted.select("id", F.struct("h1", "lo", "n", F.coalesce("crowd", F.lit(False)).alias("crowded")).alias("run"))
-    wanted = wanted.groupBy("id").agg(F.collect_list("run").alias("runs"))  # at most the document's windows
-    pieces = map_arrow(
-        texts.join(wanted, "id").select("id", "text", "runs"), lambda fields: _fetch(fields, length),
-        "key bigint, id bigint, lo bigint, piece binary",
-    )
+    runs = judged.where(F.col("kind") == _RUN)
+
+    def fetched(wanted: DataFrame, crowd: bool) -> DataFrame:
+        wanted = wanted.select("id", F.struct("h1", "lo", "n", F.lit(crowd).alias("crowded")).alias("run"))
+        wanted = wanted.groupBy("id").agg(F.collect_list("run").alias("runs"))  # at most the document's windows
+        return map_arrow(
+            texts.join(wanted, "id").select("id", "text", "runs"), lambda fields: _fetch(fields, length),
+            "key bigint, id bigint, lo bigint, piece binary",
+        )
+
+    large = None
+    if crowded.isEmpty():
+        pieces = fetched(runs, False)
+    else:
+        # most of a passage that many documents share is alike in all of them: a key may stay larger than a block
+        again = cut_lineage(fetched(runs.join(crowded, "h1", "left_semi"), True))
+        size = again.groupBy("key").agg(F.sum(F.length("piece") + 1).alias("size")).where(F.col("size") > BLOCK).select("key")
+        size = cut_lineage(size)
+        large = _repeated_by_hash(again.join(size, "key", "left_semi"), length)
+        pieces = fetched(runs.join(crowded, "h1", "left_anti"), False).union(again.join(size, "key", "left_anti"))
     dealt = pieces.repartition("key").sortWithinPartitions("key", "id", "lo", "piece")
     found = map_arrow(dealt, lambda fields: _expand(fields, length), "id bigint, lo bigint, n bigint")
+    found = found if large is None else found.union(large)
     gone = judged.where(F.col("kind") == _GONE).select("id", "lo", "n").union(found)
     gone = gone.groupBy("id").agg(F.collect_list(F.struct("lo", "n")).alias("gone"))  # at most the document's windows
     whole = texts.join(gone, "id", "left").select("doc_id", "text", "gone")

@@ -267,6 +267,44 @@ def test_suffix_dedup_on_loops_and_crowds(spark, monkeypatch):
     assert plain == hashed
 
 
+def test_suffix_dedup_of_a_key_beyond_a_block(spark, monkeypatch):
+    import tallyfield.llm.suffix_dedup as S
+
+    passage = "a passage that each of the documents holds whole, in the midst of words of its own, twice or once, " * 2
+    docs = {k: f"{k * k % 97} left {k} " + passage[: 150 + k % 40] + f" right {k * 7}" * (k % 3) for k in range(120)}
+    docs[200] = "a" * 300
+    want = brute_removed({k: v.encode() for k, v in docs.items()}, S.LENGTH)
+    monkeypatch.setattr(S, "CROWDED", 3)
+    monkeypatch.setattr(S, "BLOCK", 2000)
+    whole, seen = S._repeated_by_hash, []
+    monkeypatch.setattr(S, "_repeated_by_hash", lambda pieces, length: seen.append(pieces.count()) or whole(pieces, length))
+    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(8)
+    assert {r.doc_id: bytes(r.kept) for r in remove_repeats(frame).collect()} == want
+    assert seen and seen[0] > 0
+
+
+def test_suffix_dedup_judges_over_batches():
+    import pyarrow as pa
+
+    import tallyfield.llm.suffix_dedup as S
+
+    rows = [(1, 1, 5, 0), (1, 1, 6, 0), (2, 1, 5, 9), (2, 2, 5, 19), (2, 2, 7, 1), (2, 3, 8, 1), (3, 1, 1, 1), (4, 1, 1, 2), (4, 1, 2, 2), (4, 2, 3, 2)]
+    table = pa.record_batch({
+        "kind": pa.array([0] * len(rows), pa.int32()), **{c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(("h1", "h2", "id", "lo"))},
+        "n": pa.array([1] * len(rows), pa.int64()), "twice": pa.array([r[0] == 3 for r in rows]),
+    })
+    out = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("h1", "id", "lo", "n")]])
+    found = []
+    for size in (1, 2, 3, len(rows)):
+        batches = (table.slice(k, size) for k in range(0, len(rows), size))
+        found.append(sorted((r for b in S._judge(out, 2)(batches) for r in map(tuple, (x.values() for x in b.to_pylist()))), key=str))
+    assert found[0] == found[1] == found[2] == found[3]
+    kept = sorted((1, r[2], r[3]) for r in found[0] if r[0] == S._RUN)
+    assert [k[1:] for k in kept] == sorted([(5, 9), (5, 19), (8, 1), (1, 1), (1, 2), (3, 2)])
+    assert [r[1] for r in found[0] if r[0] == S._CROWD] == [2]
+    assert sorted(r[2:4] for r in found[0] if r[0] == S._GONE) == [(2, 2), (6, 0), (7, 1)]
+
+
 def test_suffix_dedup_on_repeated_rows(spark):
     from tallyfield.llm.suffix_dedup import LENGTH
 
