@@ -2,8 +2,10 @@
 
 Ordinary words, names and paths are few tokens for their length; random
 strings are many. A run of key characters with fewer than ``RATIO`` characters
-per token is reported as ``random`` unless it is a known digest, a UUID, a
-number or a plain word in one case, or touches a span of a fixed pattern.
+per token is reported as ``random`` unless it is a known digest, a UUID or a
+number, or touches a span of a fixed pattern. Words joined to a key dilute its
+ratio, so a run that is not reported is split at ``/ _ - =`` and the stretches
+of parts that are badly spelled on their own are judged in the same way.
 
 Texts never leave their task. Null and empty texts have no spans; repeated
 rows are each reported. Starts and ends are code points, ends exclusive.
@@ -23,7 +25,7 @@ from tallyfield.llm.words import slices
 
 KINDS = ("assign", "access", "hex")
 RATIO = 2.0
-SHORTEST = 20
+SHORTEST = 16
 CHUNK_BYTES = 4 << 20
 
 # fixed values: the base patterns and the least lengths of what they find
@@ -39,9 +41,10 @@ _ASSIGN_LEAST = 8
 _DIGESTS = {32, 40, 56, 64, 96, 128}
 _KNOWN = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
-    r"|[0-9.+/_=-]+|[A-Za-z]?[a-z]+|[A-Z]+|(.)\1+"
+    r"|[0-9.+/_=-]+|(.)\1+"
 )
 _ANY_HEX = re.compile(r"[0-9a-fA-F]+")
+_PART = re.compile(r"[^/_=-]+")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -61,16 +64,60 @@ def is_known(run: str) -> bool:
     return bool(_KNOWN.fullmatch(run)) or (len(run) in _DIGESTS and bool(_ANY_HEX.fullmatch(run)))
 
 
-def random_spans(text: str, taken: list[tuple[int, int, int]], encode, candidate: re.Pattern, ratio: float) -> list[tuple[int, int, int]]:
+def badly_spelled(run: str, encode, ratio: float) -> Iterator[tuple[int, int]]:
+    """All maximal stretches of parts of a run by their tokens above what ``ratio`` allows (Ruzzo and Tompa)."""
+    held: list[tuple[float, float, int, int]] = []  # sums before and after a stretch, its start and end
+    total = 0.0
+    for m in _PART.finditer(run):
+        above = ratio * len(encode(m[0])) - len(m[0])
+        total += above
+        if above <= 0:
+            continue
+        new = (total - above, total, m.start(), m.end())
+        while True:
+            j = len(held) - 1
+            while j >= 0 and held[j][0] >= new[0]:
+                j -= 1
+            if j < 0:
+                yield from ((a, b) for _, _, a, b in held)
+                held = [new]
+                break
+            if held[j][1] >= new[1]:
+                held.append(new)
+                break
+            new = (held[j][0], new[1], held[j][2], new[3])
+            del held[j:]
+    yield from ((a, b) for _, _, a, b in held)
+
+
+def random_spans(
+    text: str, taken: list[tuple[int, int, int]], encode, candidate: re.Pattern, ratio: float, shortest: int = SHORTEST,
+) -> list[tuple[int, int, int]]:
     out, k = [], 0
     for m in candidate.finditer(text):
         start, end = m.span()
         while k < len(taken) and taken[k][0] < start and taken[k][2] <= start:
             k += 1
-        if any(s < end and e > start for s, _, e in taken[k : k + len(KINDS)]) or is_known(m[0]):
-            continue
-        if end - start < ratio * len(encode(m[0])):
+        j = k
+        while j < len(taken) and taken[j][0] < end:
+            j += 1
+        near = [(s, e) for s, _, e in taken[k:j] if e > start]
+
+        def is_random(a: int, b: int) -> bool:
+            whole = text[a:b]
+            return not any(s < b and e > a for s, e in near) and not is_known(whole) and b - a < ratio * len(encode(whole))
+
+        if is_random(start, end):
             out.append((start, len(KINDS), end))
+        elif not is_known(m[0]):
+            for a, b in badly_spelled(m[0], encode, ratio):
+                if b - a >= shortest and is_random(start + a, start + b):
+                    out.append((start + a, len(KINDS), start + b))
+                    continue
+                for part in _PART.finditer(m[0], a, b):
+                    a_part, b_part = start + part.start(), start + part.end()
+                    if b_part - a_part >= shortest and is_random(a_part, b_part):
+                        out.append((a_part, len(KINDS), b_part))
     return out
 
 
@@ -84,7 +131,7 @@ def _finder(ranks, schema: pa.Schema, ratio: float, shortest: int):
             rows, kinds, starts, ends = [], [], [], []
             for row, text in enumerate(part.column("text").to_pylist()):
                 base = base_spans(text) if text else []
-                for start, kind, end in sorted(base + random_spans(text, base, encode, candidate, ratio)) if text else ():
+                for start, kind, end in sorted(base + random_spans(text, base, encode, candidate, ratio, shortest)) if text else ():
                     rows.append(row)
                     kinds.append(names[kind])
                     starts.append(start)

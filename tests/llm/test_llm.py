@@ -86,6 +86,31 @@ def test_secrets_against_patterns(spark):
         assert {x for x in listed.split(",") if x} <= set(row.spans.split(","))
 
 
+def test_keys_joined_to_words(spark):
+    import random
+    import string
+
+    dice, base62 = random.Random(7), string.ascii_letters + string.digits
+    encode = encoding(read_ranks(VOCABULARY)).encode_ordinary
+    docs = []
+    for before in ("", "configuration/production/service-account/credentials/", "/home/developer/projects/configuration/production/credentials/session_"):
+        for letters, size in ((base62, 16), (base62, 24), (base62, 32), (string.ascii_lowercase, 24), (string.ascii_uppercase, 32)):
+            for _ in range(20):
+                key = "".join(dice.choice(letters) for _ in range(size))
+                docs.append((f"see {before}{key} for", len(before) + 4, size, len(key) < 2 * len(encode(key))))
+    for between in ("/configuration/", "=configurationproductioncredentials/", "-a-", "_"):
+        one, two = ("".join(dice.choice(base62) for _ in range(size)) for size in (32, 20))
+        docs += [(f"all {one}{between}{two}/configuration/production/administration", 4 + at, n, True) for at, n in ((0, 32), (32 + len(between), 20))]
+    plain = ["internationalization", "AbstractSingletonProxyFactoryBean", "/home/developer/projects/configuration/production", "CONFIGURATIONDIRECTORY",
+             "550e8400-e29b-41d4-a716-446655440000", "2024-01-15-10-30-00-000", "x" * 40, "well-known_service/account=name"]
+    frame = spark.createDataFrame([(k, d[0]) for k, d in enumerate(docs)] + [(-1 - k, t) for k, t in enumerate(plain)], "doc_id bigint, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in find_secrets(frame).collect()}
+    assert sum(d[3] for d in docs) > 0.9 * len(docs)
+    for k, (_, start, size, badly) in enumerate(docs):
+        assert not badly or any(a <= start and b >= start + size for a, b in got[k])
+    assert not any(got[-1 - k] for k in range(len(plain)))
+
+
 def test_token_counts_against_encoding(spark):
     encode = encoding(read_ranks(VOCABULARY)).encode_ordinary
     want = {k: len(encode(t)) for k, t in texts(spark).items()}
