@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm.chat import render_conversations
+from tallyfield.llm.collocations import collocations
 from tallyfield.llm.decontaminate import benchmark_spans
 from tallyfield.llm.licenses import find_licenses
 from tallyfield.llm.line_dedup import drop_repeated_lines
@@ -14,8 +15,11 @@ from tallyfield.llm.ngram_join import jaccard_components
 from tallyfield.llm.quality import judged
 from tallyfield.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 from tallyfield.llm.secrets import KINDS, find_secrets
+from tallyfield.llm.spelling import spelling_variants
 from tallyfield.llm.suffix_dedup import remove_repeats
 from tallyfield.llm.token_counts import count_tokens
+from tallyfield.llm.token_files import read_token_files, write_token_files
+from tallyfield.llm.vocabulary import WORD_TOKENIZER
 
 
 @query("op1_secret_scans")
@@ -172,3 +176,88 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op11_spelling_variants", """
+WITH RECURSIVE steps AS (
+    SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+        lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS step FROM range(256) r(i)),
+runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+counted AS (
+    SELECT run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h
+    FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+summed AS (
+    SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda k:
+            16 * (instr('0123456789ABCDEF', h[2 * k + 1]) - 1) + instr('0123456789ABCDEF', h[2 * k + 2]) - 1)),
+        lambda c, b: xor(c // 256, step[1 + xor(c % 256, b)])), 4294967295) AS crc
+    FROM counted, steps),
+words AS MATERIALIZED (
+    SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, 2 + crc % length(run)) ELSE run END AS word,
+        CAST(sum(n) AS BIGINT) AS n FROM summed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+gaps AS MATERIALIZED (
+    SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS short, substr(word, 1, k - 1) || '_' || substr(word, k + 1) AS open
+    FROM words, LATERAL (SELECT unnest(generate_series(1, length(word))) AS k)),
+near AS MATERIALIZED (
+    SELECT x.word, y.word AS other, y.n FROM gaps x JOIN gaps y ON x.open = y.open AND x.word <> y.word
+    UNION SELECT g.word, v.word, v.n FROM gaps g JOIN words v ON g.short = v.word
+    UNION SELECT v.word, g.word, g.n FROM gaps g JOIN words v ON g.short = v.word),
+best AS (SELECT word, count(*) AS n_near, first(struct_pack(form := other, n := n) ORDER BY n DESC, other) AS b FROM near GROUP BY word),
+linked AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 5 * w.n THEN b.form END AS form, CASE WHEN b.n >= 5 * w.n THEN b.n END AS form_n
+    FROM words w LEFT JOIN best USING (word)),
+chain AS (
+    SELECT word, coalesce(form, word) AS at, form IS NULL AS done FROM linked
+    UNION ALL SELECT c.word, coalesce(l.form, c.at), l.form IS NULL FROM chain c JOIN linked l ON l.word = c.at WHERE NOT c.done)
+SELECT l.word, l.form, c.at AS root, l.n, l.n_near, l.form_n FROM linked l JOIN chain c ON c.word = l.word AND c.done
+""")
+def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents, their neighbours and the form they are a variant of."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of every document's token ids, read back from packed files."""
+    path = write_token_files(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    found = read_token_files(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op13_collocations", """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS MATERIALIZED (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+placed AS (SELECT lang, p, unnest(w) AS w1, unnest(generate_series(1, len(w))) AS k FROM split),
+ahead AS (
+    SELECT lang, w1, w1 || ' ' || lead(w1, 1) OVER q AS w2, w1 || ' ' || lead(w1, 1) OVER q || ' ' || lead(w1, 2) OVER q AS w3,
+        w1 || ' ' || lead(w1, 1) OVER q || ' ' || lead(w1, 2) OVER q || ' ' || lead(w1, 3) OVER q AS w4
+    FROM placed WINDOW q AS (PARTITION BY p ORDER BY k)),
+counts AS MATERIALIZED (
+    SELECT lang, 1 AS m, w1 AS phrase, count(*) AS n FROM ahead GROUP BY ALL
+    UNION ALL SELECT lang, 2, w2, count(*) FROM ahead WHERE w2 IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, 3, w3, count(*) FROM ahead WHERE w3 IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, 4, w4, count(*) FROM ahead WHERE w4 IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY 1),
+candidates AS MATERIALIZED (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND n >= 30),
+cuts AS (
+    SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 : m], ' ') AS rest
+    FROM candidates, LATERAL (SELECT unnest(generate_series(1, m - 1)) AS k)),
+known AS MATERIALIZED (SELECT lang || chr(9) || phrase AS key, n FROM counts WHERE n >= 30),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, k, f.n AS l, g.n AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (f.n + g.n) AS BIGINT) AS score
+    FROM cuts c JOIN known f ON f.key = c.lang || chr(9) || c.first JOIN known g ON g.key = c.lang || chr(9) || c.rest),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (
+    SELECT lang, array_to_string(w[k : k + s - 1], ' ') AS phrase, max(a) AS most
+    FROM candidates, LATERAL (SELECT unnest(generate_series(2, m - 1)) AS s), LATERAL (SELECT unnest(generate_series(1, m - s + 1)) AS k)
+    GROUP BY 1, 2),
+kept AS (SELECT w.* FROM worst w LEFT JOIN held h USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score
+FROM kept JOIN totals t USING (lang) QUALIFY rank <= 2000
+""")
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's phrases whose words stand together most."""
+    return collocations(table(spark, sf_dir, "documents"))

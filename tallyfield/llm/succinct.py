@@ -33,18 +33,19 @@ def dense(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], ids
 
 
-def suffix_order(symbols: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(symbols: np.ndarray, keys: np.ndarray, depth: int, limit: int | None = None) -> np.ndarray:
     """Suffix positions of ``symbols`` in order, by prefix doubling.
 
     ``keys`` (below 2**42) order the suffixes by their first ``depth`` symbols.
     The block ends with a symbol found nowhere else, and suffixes are read
-    cyclically, so all differ.
+    cyclically, so all differ. With a ``limit`` they are ordered by at least
+    their first ``limit`` symbols, and need not differ.
     """
     n = len(symbols)
     sa, new = _ranked(keys)
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    while not new.all():
+    while not new.all() and (limit is None or depth < limit):
         lone = new & np.append(new[1:], True)
         at = np.flatnonzero(~lone)
         here = sa[at]

@@ -6,6 +6,7 @@ import base64
 import hashlib
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+WORD_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 # rank files are a few MB; more than this is not a vocabulary and is not sent to every task
 LIMIT = 32 << 20
 
