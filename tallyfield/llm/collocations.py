@@ -44,7 +44,7 @@ TOP = 2000
 #: percent of a phrase's places that a longer one may hold
 INSIDE = 80
 SCALE = 2_000_000
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 SHARD = 1 << 19
 #: bits of the table of frequent pairs: 16 MiB, whatever the data
 BITS = 27
@@ -87,22 +87,26 @@ def _languages(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
 
 
 def _counting(schema: pa.Schema):
+    def words(chunk: _Chunk, named: pa.Array) -> pa.RecordBatch:
+        size = max(len(chunk.names), 1)
+        keys, counts = np.unique(chunk.langs * np.int64(size) + chunk.words, return_counts=True)
+        return batches_of(schema, [
+            pa.nulls(len(keys), pa.int64()), named.take(pa.array(keys // size)), chunk.names.take(pa.array(keys % size)), pa.array(counts),
+        ])
+
+    def pairs(chunk: _Chunk, seeds: np.ndarray) -> pa.RecordBatch:
+        hashes, counts = np.unique(chunk.pair_hashes(seeds)[1].view(np.int64), return_counts=True)
+        none = pa.nulls(len(hashes), pa.string())
+        return batches_of(schema, [pa.array(hashes), none, none, pa.array(counts)])
+
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lang, names, seeds = _languages(batch.column("lang"))
         named = pa.array(names, pa.string())
-        for data, bounds, rows in text_chunks(batch.column("text"), _BREAK, CHUNK):
-            chunk = _Chunk(data, bounds, rows, lang)
-            size = len(chunk.names)
-            keys, counts = np.unique(chunk.langs * np.int64(size) + chunk.words, return_counts=True)
-            words = chunk.names.take(pa.array(keys % max(size, 1)))
-            yield batches_of(schema, [
-                pa.nulls(len(keys), pa.int64()), named.take(pa.array(keys // max(size, 1))), words, pa.array(counts),
-            ])
-            _, hashes = chunk.pair_hashes(seeds)
-            pairs, counts = np.unique(hashes.view(np.int64), return_counts=True)
-            yield batches_of(schema, [
-                pa.array(pairs), pa.nulls(len(pairs), pa.string()), pa.nulls(len(pairs), pa.string()), pa.array(counts),
-            ])
+        for part in text_chunks(batch.column("text"), _BREAK, CHUNK):
+            chunk = _Chunk(*part, lang)
+            yield words(chunk, named)
+            yield pairs(chunk, seeds)
+            del chunk
 
     return per_batch(work)
 
@@ -228,7 +232,9 @@ def phrase_counts(
     """
     rows = docs.select(F.coalesce(col(lang).cast("string"), F.lit("und")).alias("lang"), col(text).alias("text"))
     schema = "pair bigint, lang string, word string, n bigint"
-    counted = map_arrow(rows, _counting, schema).groupBy("pair", "lang", "word").agg(F.sum("n").alias("n"))
+    # chunks hold few equal rows, so they are summed behind the shuffle, not also in front of it
+    counted = map_arrow(rows, _counting, schema).repartition("pair", "lang", "word")
+    counted = counted.groupBy("pair", "lang", "word").agg(F.sum("n").alias("n"))
     counted = cut_lineage(counted.where(F.col("pair").isNull() | (F.col("n") >= least)))
     words = counted.where("pair IS NULL").select("lang", "word", "n")
     table = docs.sparkSession.sparkContext.broadcast(_bit_table(counted.where("pair IS NOT NULL"), "pair"))
