@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ LONG = 1 << 20
 CHUNK = 4 << 20
 #: pieces a worker keeps the ids of, and the longest it keeps
 CACHE, CACHED_BYTES = 1 << 19, 64
+#: plain words encoded in one line
+LINE = 256
 
 # fixed values: the file format's mark and its header
 _MAGIC = b"PFR1"
@@ -130,7 +133,7 @@ _DIGIT = (_BYTE >= 0x30) & (_BYTE <= 0x39)
 _CLASS = np.where(_SPACE, 0, np.where(_LETTER, 1, np.where(_DIGIT, 2, 4))).astype(np.uint8)
 _CLASS[(_BYTE > 0x20) & (_BYTE < 0x7F) & (_CLASS == 4) & (_BYTE != 0x27)] = 3
 _APART = np.zeros((5, 5), bool)
-_APART[0, 1:] = _APART[1:, 0] = True
+_APART[1:, 0] = True  # white space goes with the piece behind it
 _APART[1:4, 1:4] = ~np.eye(3, dtype=bool)
 _APART[2, 2] = True
 _APART = _APART.reshape(-1)
@@ -160,6 +163,18 @@ class Encoder:
             == {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
             and not any(b.isspace() for name in self.names for b in name.decode())
         )
+        suffix = config["model"].get("end_of_word_suffix")
+        self.bare = None
+        if self.by_piece and suffix:
+            # the model alone: lower-case ASCII words pass the normalising and splitting above unchanged
+            from tokenizers import normalizers, pre_tokenizers
+
+            self.bare = Tokenizer.from_buffer(data)
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -167,10 +182,29 @@ class Encoder:
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`whole` for pieces of texts; plain words go through the model line by line, told apart by the ids that end one."""
+        words = [p.strip() for p in pieces]
+        plain = np.fromiter((w.isalpha() and w.islower() for w in words), bool, len(words))
+        alone = np.flatnonzero(plain)
+        if self.bare is None or not len(alone):
+            return self.whole(pieces)
+        lines = [b" ".join([words[k] for k in alone[a : a + LINE].tolist()]).decode() for a in range(0, len(alone), LINE)]
+        ids, _ = self._encoded(lines, self.bare)
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(alone):
+            return self.whole(pieces)
+        rest = np.flatnonzero(~plain)
+        more, sizes = self.whole([pieces[k] for k in rest.tolist()])
+        order = np.argsort(np.append(alone, rest), kind="stable")
+        sizes = np.append(np.diff(last, prepend=0), sizes)
+        at, _ = ranges((np.cumsum(sizes) - sizes)[order], sizes[order])
+        return np.append(ids, more)[at], sizes[order]
+
+    def _encoded(self, texts: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
     def whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return self._encoded([t.decode(errors="replace") for t in texts])
@@ -224,19 +258,16 @@ class Encoder:
         if len(self.known) + len(pieces) > CACHE and self.known:
             self._forget()
         plain = pieces.to_pylist()
-        known = self.known
-        fresh = [p for p in plain if p not in known]
-        if fresh:
-            ids, sizes = self.whole(fresh)
-            for k, p in enumerate(fresh, len(self.sizes)):
-                known[p] = k
+        rows = np.fromiter(map(self.known.get, plain, repeat(-1)), np.int64, len(plain))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            fresh = [plain[k] for k in new.tolist()]
+            ids, sizes = self._pieces(fresh)
+            rows[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+            self.known.update((p, k) for k, p in enumerate(fresh, len(self.sizes)) if len(p) <= CACHED_BYTES)
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
             self.sizes = np.append(self.sizes, sizes)
             self.ids = np.append(self.ids, ids)
-        rows = np.fromiter((known[p] for p in plain), np.int64, len(plain))
-        for p in fresh:
-            if len(p) > CACHED_BYTES:
-                del known[p]
         return rows
 
 
