@@ -7,7 +7,9 @@ distinct words. Words are ordered by how often the whole corpus holds them; a
 block can only reach the threshold if it holds one of the template's rarest
 words, or the rarest of those that name the license (prefix filter), and, from its first word on, enough template words at all
 (length and positional filter, counted on the template's own words). What
-passes is counted exactly, and has to hold all words that name the license. Of blocks that overlap, the one with most shared
+passes is counted exactly, and has to hold the words that name the license as the
+template has them: in order, close to each other, the first beside a neighbour of
+its own. Of blocks that overlap, the one with most shared
 words is the notice, then the shortest, then the first. A notice whose naming
 words stand in that of a template with more of them (CC BY in CC BY-NC) is no
 notice of its own. Templates may come without naming words.
@@ -33,6 +35,8 @@ from tallyfield.llm.words import ALNUM, find_words, slices, text_bytes, word_has
 
 THRESHOLD = 0.8
 SHORTEST_BLOCK = 16
+#: words more between two naming words than in the template
+SLACK = 2
 CHUNK_BYTES = 4 << 20
 
 # fixed values: phrases and their labels
@@ -102,6 +106,14 @@ class Templates:
         self.names = np.zeros_like(self.has)
         for k in range(len(templates)):
             self.names[k, numbers[name_at[k] : name_at[k + 1]]] = True
+        # each naming word as it stands in its template: number, words since the one before, and its neighbours
+        self.naming: list[list[tuple[int, int, int, int]]] = []
+        words = np.searchsorted(self.vocabulary, hashes)
+        for k in range(len(templates)):
+            own = words[at[k] : at[k + 1]].tolist()
+            places = [j for j, w in enumerate(own) if self.names[k, w] and w not in own[:j]]
+            edges = [-1, *own, -1]
+            self.naming.append([(own[j], j - i, edges[j], edges[j + 2]) for i, j in zip([0, *places], places)])
         if (self.names & ~self.has).any():
             raise ValueError("a naming word does not stand in its template")
         self.sizes = self.has.sum(axis=1)
@@ -145,6 +157,18 @@ def _counter(templates, schema: pa.Schema):
     return run
 
 
+def _is_named(at: list[int], words: list[int], naming: list[tuple[int, int, int, int]]) -> bool:
+    """Whether naming words stand as in the template: next to a word it has beside the first, and in order with at most ``SLACK`` words more between them."""
+    if not naming:
+        return True
+    there = dict(zip(at, words))
+    first, _, before, behind = naming[0]
+    reached = [p for p, w in there.items() if w == first and (there.get(p - 1, -2) == before or there.get(p + 1, -2) == behind)]
+    for word, gap, _, _ in naming[1:]:
+        reached = [p for p, w in there.items() if w == word and any(0 < p - q <= gap + SLACK for q in reached)]
+    return bool(reached)
+
+
 def _template_blocks(place: np.ndarray, words: np.ndarray, k: int, templates: Templates) -> list[tuple[int, int, int, int, int]]:
     """``(first, last, shared)`` of the notices of template ``k``, and its first and last naming word, as numbers into ``place``."""
     near = place[templates.prefix[k][words]]
@@ -172,6 +196,8 @@ def _template_blocks(place: np.ndarray, words: np.ndarray, k: int, templates: Te
     found = []
     for i in np.flatnonzero(begins & (shared >= least) & (held > templates.names[k].sum() - 0.5)).tolist():
         last = i + int(np.flatnonzero(low[i : ends[i]] <= i)[-1])
+        if not _is_named(at[i : last + 1].tolist(), word[i : last + 1].tolist(), templates.naming[k]):
+            continue
         found.append((-int(shared[i]), int(at[last] - at[i]), i, last))
     taken, out = np.zeros(len(own), bool), []
     for n, _, i, last in sorted(found):
