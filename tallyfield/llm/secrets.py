@@ -26,6 +26,8 @@ from tallyfield.llm.words import slices
 KINDS = ("assign", "access", "hex")
 RATIO = 2.0
 SHORTEST = 16
+#: a run that could be a word (letters of one case, or one capital) needs this ratio while it is shorter than this
+WORD_RATIO, WORD_LENGTH = 1.5, 20
 CHUNK_BYTES = 4 << 20
 
 # fixed values: the base patterns and the least lengths of what they find
@@ -45,6 +47,19 @@ _KNOWN = re.compile(
 )
 _ANY_HEX = re.compile(r"[0-9a-fA-F]+")
 _PART = re.compile(r"[^/_=-]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_JOINT = re.compile(r"[+/_=-]")
+
+
+def own_part(text: str, start: int, end: int) -> tuple[int, int]:
+    """``text[start:end]`` without what belongs to a word beyond ASCII that touches it."""
+    if start and text[start - 1].isalpha():
+        joint = _JOINT.search(text, start, end)
+        start = joint.end() if joint else end
+    if end < len(text) and text[end].isalpha():
+        while end > start and not _JOINT.match(text, end - 1):
+            end -= 1
+    return start, end
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -95,7 +110,10 @@ def random_spans(
 ) -> list[tuple[int, int, int]]:
     out, k = [], 0
     for m in candidate.finditer(text):
-        start, end = m.span()
+        start, end = own_part(text, *m.span())
+        if end - start < shortest:
+            continue
+        run = text[start:end]
         while k < len(taken) and taken[k][0] < start and taken[k][2] <= start:
             k += 1
         j = k
@@ -105,16 +123,19 @@ def random_spans(
 
         def is_random(a: int, b: int) -> bool:
             whole = text[a:b]
-            return not any(s < b and e > a for s, e in near) and not is_known(whole) and b - a < ratio * len(encode(whole))
+            if any(s < b and e > a for s, e in near) or is_known(whole):
+                return False
+            allowed = min(ratio, WORD_RATIO) if b - a < WORD_LENGTH and _WORD.fullmatch(whole) else ratio
+            return b - a < allowed * len(encode(whole))
 
         if is_random(start, end):
             out.append((start, len(KINDS), end))
-        elif not is_known(m[0]):
-            for a, b in badly_spelled(m[0], encode, ratio):
+        elif not is_known(run):
+            for a, b in badly_spelled(run, encode, ratio):
                 if b - a >= shortest and is_random(start + a, start + b):
                     out.append((start + a, len(KINDS), start + b))
                     continue
-                for part in _PART.finditer(m[0], a, b):
+                for part in _PART.finditer(run, a, b):
                     a_part, b_part = start + part.start(), start + part.end()
                     if b_part - a_part >= shortest and is_random(a_part, b_part):
                         out.append((a_part, len(KINDS), b_part))
