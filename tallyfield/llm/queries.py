@@ -85,7 +85,7 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed rules' counts, the likeness score and the verdict on every document."""
-    found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
     )
