@@ -11,7 +11,7 @@ from tallyfield.llm.secrets import find_secrets
 
 
 def test_verdicts_can_be_filtered(spark):
-    long = " ".join(f"word{k % 977} of{k % 31}" for k in range(30_000))
+    long = " ".join(f"word{k % 97} of{k % 31}" for k in range(30_000))
     rows = [(1, long), (2, "few words"), (3, "plain words that are enough to be counted as ten and more"), (4, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = judged(docs, spark.createDataFrame([(3, 1, 0)], "doc_id bigint, quality int, toxic int"))
