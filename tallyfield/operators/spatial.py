@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfield.functions.geo import Grid
+from tallyfield.functions.geo import Grid, distance
 from tallyfield.operators.joins import drop_known
+from tallyfield.session import cut_lineage
 
 
 def fitted_grid(df: DataFrame, x: str, y: str, size: float) -> Grid:
@@ -80,31 +81,106 @@ def ring_shape(edges: DataFrame, ring: str) -> DataFrame:
     )
 
 
+def ring_cell_width(edges: DataFrame) -> float:
+    """A cell width for :func:`inside_rings`: about two edges long, between 1/32768 and 1/64 of the rings' extent."""
+    length = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1")))
+    row = edges.agg(
+        F.avg(length).alias("mean"), (F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))).alias("w"),
+        (F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).alias("h"),
+    ).first()
+    extent = max(row.w or 0.0, row.h or 0.0) or 1.0
+    return min(max(2 * (row.mean or 0.0), extent / 32768), extent / 64)
+
+
+def _ring_cells(edges: DataFrame, ring: str, at: Column, up: Column, size: float) -> tuple[DataFrame, DataFrame]:
+    """Crossed cells of every ring with the edges in them and the parity of their right border, and the runs of whole cells inside."""
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    left, right = F.least(x1, x2), F.greatest(x1, x2)
+    hair = size * 1e-9  # cells an edge only brushes are taken too
+    column = lambda x: F.floor(x / size - at)
+    row = lambda y: F.floor(y / size - up)
+    cut = edges.withColumn("_ix", F.explode(F.sequence(column(left - hair), column(right + hair))))
+    slope = F.when(x1 != x2, (y2 - y1) / (x2 - x1))
+    from_x = F.least(F.greatest(left, (F.col("_ix") + at) * size), right)
+    to_x = F.greatest(F.least(right, (F.col("_ix") + 1 + at) * size), left)
+    ya, yb = (F.coalesce(y1 + slope * (x - x1), y) for x, y in ((from_x, y1), (to_x, y2)))
+    cells = cut.withColumn("_iy", F.explode(F.sequence(row(F.least(ya, yb) - hair), row(F.greatest(ya, yb) + hair))))
+    cells = cut_lineage(cells)  # read for the parities and for the points
+    middle = (F.col("_iy") + 0.5 + up) * size
+    meets = F.try_divide((x2 - x1) * (middle - y1), y2 - y1) + x1
+    here = F.coalesce((y1 > middle) != (y2 > middle), F.lit(False)) & (column(meets) == F.col("_ix"))
+    counted = cells.groupBy(ring, "_iy", "_ix").agg(F.count_if(here).alias("_n"))
+    # a row of one ring has at most as many crossed cells as the grid has columns
+    line = Window.partitionBy(ring, "_iy").orderBy("_ix")
+    beyond = F.coalesce(F.sum("_n").over(line.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    parity = counted.withColumns({"_odd": beyond % 2, "_next": F.lead("_ix").over(line)})
+    crossed = cells.join(parity.select(ring, "_iy", "_ix", "_odd"), [ring, "_iy", "_ix"])
+    inner = parity.where("_odd = 1 AND _next > _ix + 1")
+    return crossed, inner.select(ring, "_iy", (F.col("_ix") + 1).alias("_a"), F.col("_next").alias("_b"))
+
+
+_LEVELS = 17  # runs are cut at powers of two up to this one; the extent has at most 2**15 cells and a few
+
+
+def _blocks(runs: DataFrame) -> DataFrame:
+    """Runs ``[_a, _b)`` as aligned blocks of 2**_level cells, at most a few of each level."""
+    at_level = runs.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))))
+    ceil_, floor_ = (lambda c, k: f"shiftright({c} + shiftleft(1L, {k}) - 1, {k})"), (lambda c, k: f"shiftright({c}, {k})")
+    own = at_level.withColumns({
+        "_lo": F.expr(ceil_("_a", "_level")), "_hi": F.expr(floor_("_b", "_level")),
+        "_up_lo": F.expr("2 * " + ceil_("_a", "_level + 1")), "_up_hi": F.expr("2 * " + floor_("_b", "_level + 1")),
+    }).where("_lo < _hi")
+    ends = F.expr("if(_level < %d AND _up_lo < _up_hi, array_distinct(array(_lo, _hi - 1)), sequence(_lo, _hi - 1))" % _LEVELS)
+    blocks = own.withColumn("_block", F.explode(ends))
+    return blocks.where(f"_level = {_LEVELS} OR _up_lo >= _up_hi OR _block < _up_lo OR _block >= _up_hi").drop(
+        "_a", "_b", "_lo", "_hi", "_up_lo", "_up_hi"
+    )
+
+
 def inside_rings(
-    points: DataFrame, ids: Sequence[str], x: str, y: str, edges: DataFrame, ring: str, band: float
+    points: DataFrame, ids: Sequence[str], x: str, y: str, edges: DataFrame, ring: str, size: float | None = None
 ) -> DataFrame:
-    """(point, ring) rows for points inside a ring, by counting crossings of a ray to the right.
-
-    Points and edges meet on horizontal bands of height ``band``; only edges
-    the ray really crosses go on to the count. Points on the same coordinates
-    should be passed once.
+    """(point, ring) rows for points inside a ring, by the even-odd rule.
+
+    The plane is cut into cells of width ``size`` (fitted to the edges if not
+    given). A cell that no edge of a ring passes lies inside or outside as a
+    whole; such cells are runs along a row, cut into blocks at powers of two, and
+    the occupied cells find their block by an equi-join. Only points in crossed
+    cells meet edges, those of their own cell: the crossings to the right
+    inside the cell, those of its right border up to the row's middle, and the
+    known parity there. Points on an outline follow the half-open rule of a ray to
+    the right. The cells start at an odd fraction of ``size``, so that borders
+    keep clear of round coordinates.
+
+    Points on the same coordinates should be passed once.
     """
-    strip = lambda c: F.floor(c / F.lit(band))
-    banded = edges.withColumn(
-        "_band", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2"))))
-    )
+    size = float(size or ring_cell_width(edges))
+    at, up = F.lit(0.2360679774997898), F.lit(0.4142135623730951)
     py, px = F.col(y), F.col(x)
-    spans = (F.col("y1") > py) != (F.col("y2") > py)
-    meets = px < F.try_divide((F.col("x2") - F.col("x1")) * (py - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
-    hits = points.select(*ids, x, y, strip(py).alias("_band")).join(banded, "_band").where(spans).where(meets)
-    return hits.groupBy(*ids, ring).agg(F.count("*").alias("_n")).where("_n % 2 = 1").drop("_n")
+    placed = points.select(*ids, x, y, F.floor(px / size - at).alias("_ix"), F.floor(py / size - up).alias("_iy"))
+    crossed, runs = _ring_cells(edges.select(ring, "x1", "y1", "x2", "y2"), ring, at, up, size)
+    occupied = placed.select("_ix", "_iy").distinct()
+    asked = occupied.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))))
+    asked = asked.withColumn("_block", F.expr("shiftright(_ix, _level)"))
+    whole = asked.join(_blocks(runs), ["_iy", "_level", "_block"]).select("_ix", "_iy", ring)
+    inner = placed.join(whole, ["_ix", "_iy"]).select(*ids, ring)
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    border, middle = (F.col("_ix") + 1 + at) * size, (F.col("_iy") + 0.5 + up) * size
+    meets_x = F.try_divide((x2 - x1) * (py - y1), y2 - y1) + x1
+    meets_y = F.try_divide((y2 - y1) * (border - x1), x2 - x1) + y1
+    ahead = ((y1 > py) != (y2 > py)) & (px < meets_x) & (meets_x <= border)
+    beside = ((x1 > border) != (x2 > border)) & (meets_y > F.least(py, middle)) & (meets_y <= F.greatest(py, middle))
+    yes = lambda c: F.when(c, 1).otherwise(0)
+    near = placed.join(crossed, ["_ix", "_iy"]).groupBy(*ids, ring)
+    odd = near.agg((F.sum(yes(ahead) + yes(beside)) + F.max("_odd")).alias("_n")).where("_n % 2 = 1")
+    return inner.unionByName(odd.select(*ids, ring))
 
 
 def inside_any(
-    points: DataFrame, ids: Sequence[str], x: str, y: str, edges: DataFrame, ring: str, band: float
+    points: DataFrame, ids: Sequence[str], x: str, y: str, edges: DataFrame, ring: str, size: float | None = None
 ) -> DataFrame:
     """Points inside the union of all rings, once each; the merged outline is not needed."""
-    return inside_rings(points, ids, x, y, edges, ring, band).select(*ids).distinct()
+    return inside_rings(points, ids, x, y, edges, ring, size).select(*ids).distinct()
 
 
 def crossed_cells(edges: DataFrame, grid: Grid, keep: Sequence[str] = ()) -> DataFrame:
@@ -128,7 +204,7 @@ def crossed_cells(edges: DataFrame, grid: Grid, keep: Sequence[str] = ()) -> Dat
 
 def region_cells(cells: DataFrame, edges: DataFrame, ring: str, grid: Grid) -> DataFrame:
     """Cells whose centre lies inside a ring or that a ring's outline crosses, per ring."""
-    inner = inside_rings(cells, ["cell_id"], "x", "y", edges, ring, grid.size).select(ring, "cell_id")
+    inner = inside_rings(cells, ["cell_id"], "x", "y", edges, ring).select(ring, "cell_id")
     return inner.union(crossed_cells(edges, grid, [ring]).select(ring, "cell_id")).distinct()
 
 
@@ -152,6 +228,37 @@ def lattice_pairs(cells: DataFrame, radius: int, cell: str = "cell_id", ix: str
     return asks.join(there, ["_x", "_y"]).select("src", "dst", "steps")
 
 
+CROWD = 256  # points of one cell that meet in one block of the radius join
+
+
+def radius_pairs(points: DataFrame, ids: Sequence[str], x: str, y: str, radius: float) -> DataFrame:
+    """Ordered pairs of points at most ``radius`` apart, themselves included: ids as ``src_*`` and ``dst_*``, and ``distance``.
+
+    Points stand in cells as wide as the radius and look into the nine cells
+    around them; the exact distance decides. A cell with more than ``CROWD``
+    points is dealt over several blocks, so a crowded place is many tasks' work.
+    Points without coordinates meet nothing.
+    """
+    ids = list(ids)
+    there = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        F.struct(*ids).alias("_id"), F.col(x).alias("_px"), F.col(y).alias("_py"),
+        F.floor(F.col(x) / radius).alias("_cx"), F.floor(F.col(y) / radius).alias("_cy"),
+    )
+    crowds = there.groupBy("_cx", "_cy").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("_blocks"))
+    dealt = there.join(crowds, ["_cx", "_cy"]).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
+    dealt = dealt.select("_cx", "_cy", "_block", F.col("_id").alias("_to"), F.col("_px").alias("_tx"), F.col("_py").alias("_ty"))
+    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    asks = there.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step)).select(
+        "_id", "_px", "_py", (F.col("_cx") + F.col("_i")).alias("_cx"), (F.col("_cy") + F.col("_j")).alias("_cy")
+    )
+    asks = asks.join(crowds, ["_cx", "_cy"]).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    far = distance(F.col("_px"), F.col("_py"), F.col("_tx"), F.col("_ty"))
+    pairs = asks.join(dealt, ["_cx", "_cy", "_block"]).withColumn("distance", far).where(F.col("distance") <= radius)
+    return pairs.select(
+        *[F.col(f"_id.{c}").alias(f"src_{c}") for c in ids], *[F.col(f"_to.{c}").alias(f"dst_{c}") for c in ids], "distance"
+    )
+
+
 def terrain(raster: DataFrame, size: float, ix: str = "ix", iy: str = "iy", elev: str = "elev",
             sun_height: float = 45.0, sun_direction: float = 300.0) -> DataFrame:
     """Slope, aspect (radians) and hillshade 0-255 from a regular elevation raster.

@@ -27,6 +27,7 @@ from tallyfield.operators.spatial import (
     inside_any,
     inside_rings,
     lattice_pairs,
+    radius_pairs,
     region_cells,
     ring_edges,
     ring_shape,
@@ -115,7 +116,7 @@ GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
 def point_in_polygon(t: Tables) -> DataFrame:
     """Sites inside the ring of each stratum."""
     edges = ring_edges(_corner_rings(t, "stratum"), "ring", "k", "x", "y")
-    return inside_rings(t.v_sites, ["site"], "x", "y", edges, "ring", 100000.0)
+    return inside_rings(t.v_sites, ["site"], "x", "y", edges, "ring")
 
 
 @query("point_in_region", f"""
@@ -126,7 +127,7 @@ SELECT DISTINCT site FROM hit""")
 def point_in_region(t: Tables) -> DataFrame:
     """Sites inside the union of the state rings."""
     edges = ring_edges(_corner_rings(t, "state"), "ring", "k", "x", "y")
-    return inside_any(t.v_sites, ["site"], "x", "y", edges, "ring", 100000.0)
+    return inside_any(t.v_sites, ["site"], "x", "y", edges, "ring")
 
 
 @query("ring_area_filter", f"""
@@ -216,6 +217,15 @@ def pairwise_distance(t: Tables) -> DataFrame:
     return pairs.select("src", "dst", rounded(F.col("steps") * LATTICE.size, 8).alias("distance"))
 
 
+@query("points_within_radius", """
+SELECT a.pt AS src, b.pt AS dst, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 8) + 0.0 AS distance
+FROM v_points a JOIN v_points b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.02""")
+def points_within_radius(t: Tables) -> DataFrame:
+    """Distances between all points at most 0.02 apart, on their own coordinates."""
+    pairs = radius_pairs(t.v_points, ["pt"], "x", "y", 0.02)
+    return pairs.select(F.col("src_pt").alias("src"), F.col("dst_pt").alias("dst"), rounded(F.col("distance"), 8).alias("distance"))
+
+
 @query("knn_k1", f"WITH {_NEAREST_SQL} SELECT src, dst, round(0.02 * sqrt(d2), 8) + 0.0 AS distance FROM near")
 def knn_k1(t: Tables) -> DataFrame:
     """The nearest occupied cell of every occupied cell."""
@@ -262,10 +272,28 @@ def select_knots(t: Tables) -> DataFrame:
     return grid_knots(t.v_points, "pt", KNOT_CELLS).select("knot_cell", "pt", "x", "y")
 
 
-@query("select_knots_kmeans")
+_ROUNDS = 5
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Rounds of nearest centre and mean, as one common table each; the last one holds the clusters."""
+    parts = ["places AS MATERIALIZED (SELECT x, y, min(pt) AS pt FROM v_points GROUP BY 1, 2)",
+             "c0 AS MATERIALIZED (SELECT knot_cell, x, y FROM knots)"]
+    for r in range(rounds + 1):
+        parts.append(f"""h{r} AS MATERIALIZED (SELECT p.pt, p.x, p.y, first(c.knot_cell ORDER BY sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)), c.knot_cell) AS knot_cell
+  FROM places p CROSS JOIN c{r} c GROUP BY 1, 2, 3)""")
+        parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.knot_cell, coalesce(m.x, c.x) AS x, coalesce(m.y, c.y) AS y FROM c{r} c
+  LEFT JOIN (SELECT knot_cell, round(avg(x), 9) AS x, round(avg(y), 9) AS y FROM h{r} GROUP BY 1) m USING (knot_cell))""")
+    return ", ".join(parts[:-1])
+
+
+@query("select_knots_kmeans", f"""
+WITH {_KNOTS_SQL}, {_lloyd_sql(_ROUNDS)}
+SELECT knot_cell, pt, x, y FROM h{_ROUNDS} QUALIFY row_number() OVER (PARTITION BY knot_cell ORDER BY pt) = 1""")
 def select_knots_kmeans(t: Tables) -> DataFrame:
-    """The first point of each k-means cluster."""
-    return kmeans_knots(t.v_points, "pt", 50, seed=123).select("knot_cell", "pt", "x", "y")
+    """The first point of each k-means cluster, started from the grid knots."""
+    starts = grid_knots(t.v_points, "pt", KNOT_CELLS)
+    return kmeans_knots(t.v_points, "pt", starts, "knot_cell", _ROUNDS).select("knot_cell", "pt", "x", "y")
 
 
 @query("site_knot_distance", f"""

@@ -12,7 +12,7 @@ import __spark_entry__ as entry_points
 from tallyfield.queries import ORACLES, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NO_SQL = {"select_knots_kmeans"}
+NO_SQL: set[str] = set()
 
 
 @pytest.fixture(scope="module")

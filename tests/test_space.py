@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.functions.geo import Albers, Grid, require_same_crs
-from tallyfield.operators.knots import grid_knots, interpolate, knot_array, site_knot_distances
+from tallyfield.operators.knots import BLOCK, grid_knots, interpolate, kmeans_knots, nearest_knots, site_knot_distances
 from tallyfield.operators.neighbours import car_log_density, island_count, nearest_cells, neighbour_lists, symmetric_edges
 from tallyfield.operators.spatial import (
     complete_grid,
@@ -18,6 +18,7 @@ from tallyfield.operators.spatial import (
     grid_cells,
     inside_rings,
     lattice_pairs,
+    radius_pairs,
     region_cells,
     ring_edges,
     ring_shape,
@@ -211,10 +212,75 @@ def test_interpolation(spark):
     assert site_knot_distances(sites, "pt", knots, "pt").count() == 61 * len(held)
 
 
-def test_too_many_knots_is_an_error(spark):
-    many = spark.range(3000).selectExpr("id AS pt", "1.0 AS x", "2.0 AS y")
-    with pytest.raises(Exception, match="more than"):
-        spark.range(1).select(F.size(knot_array(many, ["pt", "x", "y"]))).collect()
+def test_knots_of_several_blocks(spark):
+    rng = random.Random(9)
+    held = [(k, rng.uniform(0, 1), rng.uniform(0, 1), rng.uniform(-1, 1)) for k in range(4 * BLOCK)] + [(9999, 0.5, 0.5, 2.0)]
+    knots = spark.createDataFrame(held, "pt long, x double, y double, w double")
+    sites = [(i, rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(12)] + [(98, 0.5, 0.5), (99, 4e3, -4e3)]
+    df = spark.createDataFrame(sites, "site int, x double, y double")
+    smooth = {r.site: r for r in interpolate(df.withColumnRenamed("site", "pt"), "pt", knots, "pt", "w", 0.05).withColumnRenamed("pt", "site").collect()}
+    near = {r.site: r for r in nearest_knots(df, ["site"], knots, "pt").collect()}
+    for i, x, y in sites:
+        d = [math.hypot(x - kx, y - ky) for _, kx, ky, _ in held]
+        least = min(d)
+        w = [math.exp((least - v) / 0.05) for v in d]
+        assert smooth[i].s == pytest.approx(sum(a * k[3] for a, k in zip(w, held)) / sum(w), abs=1e-9)
+        assert smooth[i].nearest_knot == pytest.approx(least) and near[i].knot == held[d.index(least)][0]
+    far = site_knot_distances(df, "site", knots, "pt")
+    assert far.count() == len(sites) * len(held) and far.dropDuplicates(["site", "knot"]).count() == len(sites) * len(held)
+
+
+def test_kmeans_rounds(spark):
+    rng = random.Random(4)
+    points = [(i, rng.gauss(c, 0.3), rng.gauss(-c, 0.3)) for i, c in enumerate([0, 5, 9] * 40)] + [(500, 0.0, None)]
+    starts = [(0, 1.0, 1.0), (1, 6.0, -6.0), (2, 7.0, -7.0), (3, 900.0, 900.0)]
+    frame = spark.createDataFrame(points, "pt int, x double, y double")
+    centres = spark.createDataFrame(starts, "c int, x double, y double")
+    got = {r.c: r.pt for r in kmeans_knots(frame, "pt", centres, "c", 4).collect()}
+    here, at = {c: (x, y) for c, x, y in starts}, {}
+    for step in range(5):
+        at = {i: min((math.hypot(x - here[c][0], y - here[c][1]), c) for c in here)[1] for i, x, y in points if y is not None}
+        for c in set(at.values()) if step < 4 else ():
+            own = [p for p in points if at.get(p[0]) == c]
+            here[c] = (round(sum(p[1] for p in own) / len(own), 9), round(sum(p[2] for p in own) / len(own), 9))
+    assert got == {c: min(i for i in at if at[i] == c) for c in set(at.values())}
+
+
+@pytest.mark.parametrize("size", [None, 0.05, 40.0])
+def test_points_in_a_ring_of_many_edges(spark, size):
+    n = 100_000 if size is None else 400
+    wave = [(math.cos(2 * math.pi * k / n), math.sin(2 * math.pi * k / n), 1 + 0.4 * math.sin(18 * math.pi * k / n) + 0.01 * (k % 2)) for k in range(n)]
+    ring = [(a * r, b * r) for a, b, r in wave]
+    rng = random.Random(6)
+    points = [(i, rng.uniform(-1.6, 1.6), rng.uniform(-1.6, 1.6)) for i in range(60 if size is None else 500)]
+    df = spark.createDataFrame(points, "id int, x double, y double")
+    edges = ring_edges(_ring(spark, ring), "ring", "k", "x", "y")
+    got = [r.id for r in inside_rings(df, ["id"], "x", "y", edges, "ring", size).collect()]
+    assert sorted(got) == [i for i, x, y in points if _inside(x, y, ring)]
+
+
+def test_points_on_vertices_and_edges_of_rings(spark):
+    rng = random.Random(12)
+    ring = [(float(rng.randrange(8)), float(rng.randrange(8))) for _ in range(14)]  # crosses itself, runs along the lattice
+    points = [(8 * i + j, i / 1.0, j / 1.0) for i in range(8) for j in range(8)]
+    edges = ring_edges(_ring(spark, ring), "ring", "k", "x", "y").unionByName(
+        ring_edges(_ring(spark, [(0.0, 0.0), (7.0, 0.0), (7.0, 7.0), (0.0, 7.0)], "box"), "ring", "k", "x", "y"))
+    df = spark.createDataFrame(points, "id int, x double, y double")
+    for size in (None, 0.3, 1.0):
+        got = {(r.ring, r.id) for r in inside_rings(df, ["id"], "x", "y", edges, "ring", size).collect()}
+        want = {("r", i) for i, x, y in points if _inside(x, y, ring)}
+        assert got == want | {("box", i) for i, x, y in points if 0 <= x < 7 and 0 <= y < 7}
+
+
+def test_radius_join_is_exact(spark):
+    rng = random.Random(3)
+    points = [(i, rng.gauss(0, 0.02), rng.gauss(0, 0.02)) for i in range(600)] + [(1000 + i, rng.uniform(-3, 3), rng.uniform(-3, 3)) for i in range(300)]
+    points += [(2000, 1.0, 1.0), (2001, 1.0, 1.25), (2002, None, 1.0)]
+    df = spark.createDataFrame(points, "pt int, x double, y double")
+    got = radius_pairs(df, ["pt"], "x", "y", 0.25).collect()
+    real = [p for p in points if p[1] is not None]
+    want = {(a, b) for a, ax, ay in real for b, bx, by in real if math.hypot(ax - bx, ay - by) <= 0.25}
+    assert len(got) == len(want) and {(r.src_pt, r.dst_pt) for r in got} == want
 
 
 def test_crs_must_agree():
