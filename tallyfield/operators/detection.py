@@ -99,6 +99,9 @@ def logistic_detection(intercept: float, slopes: Sequence[tuple[float, Column]],
 
 
 def gather(df: DataFrame, effects: DataFrame, key: str, effect: str, name: str) -> DataFrame:
-    """Look a group effect up by key; a row without one is an error in the data, so 0 is not assumed."""
-    table = effects.select(F.col(key), F.col(effect).alias(name))
-    return df.join(table, key, "left")
+    """Look a group effect up by key; a row whose key has no effect is an error that names the key."""
+    table = effects.select(F.col(key), F.col(effect).alias(name), F.lit(True).alias("_held"))
+    absent = F.raise_error(F.concat(F.lit(f"no {effect} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    joined = df.join(table, key, "left")
+    kept = F.when(F.col("_held"), F.col(name)).otherwise(absent.cast(effects.schema[effect].dataType))
+    return joined.withColumn(name, kept).drop("_held")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.functions import density
 from tallyfield.functions.text import index_of
 from tallyfield.operators.ranks import exact_quantiles
 
@@ -35,7 +36,8 @@ def potential_scale(draws: DataFrame, parameter: str, chain: str, value: str) ->
 
     ``rhat`` is the plain ratio of pooled to within-chain variance; ``psrf``
     adds the sampling variance of the grand mean and the correction for the
-    degrees of freedom of the pooled variance. Chains are reduced to their
+    degrees of freedom of the pooled variance; ``upper`` is its upper 97.5 % limit, from the
+    F distribution of the between-chain share. Chains are reduced to their
     moments first, so the second aggregate sees one row per chain.
     """
     chains = draws.groupBy(parameter, chain).agg(
@@ -55,10 +57,12 @@ def potential_scale(draws: DataFrame, parameter: str, chain: str, value: str) ->
         (n - 1) * (n - 1) * F.col("_vv") / k + grow * grow * 2 * b * b / (k - 1) + 2 * (n - 1) * grow * cov
     ) / (n * n)
     freedom = 2 * pooled * pooled / spread
+    quantile = density.f_quantile(0.975, (k - 1).cast("double"), 2 * w * w * k / F.col("_vv"))
     return sums.select(
         parameter, "n_chains", "within", b.alias("between"),
         F.sqrt((w * (n - 1) / n + F.col("_b")) / w).alias("rhat"),
         F.sqrt((freedom + 3) / (freedom + 1) * pooled / w).alias("psrf"),
+        F.sqrt((freedom + 3) / (freedom + 1) * ((n - 1) / n + quantile * grow * b / (n * w))).alias("upper"),
     )
 
 

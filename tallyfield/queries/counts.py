@@ -11,6 +11,7 @@ from tallyfield.operators.aggregates import (
     frequency_profile,
     histogram,
     joint_start_abundance,
+    kernel_density,
     largest_count,
     profile_of_counts,
     richness,
@@ -286,6 +287,24 @@ def histograms(t: Tables) -> DataFrame:
     return distances.unionByName(draws)
 
 
+@query("marginal_density", """
+WITH s AS (SELECT parameter, count(*) AS n, stddev_samp(value) AS sd, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, min(value) AS low, max(value) AS high
+  FROM v_draws WHERE value IS NOT NULL GROUP BY 1),
+b AS (SELECT *, 0.9 * least(sd, iqr / 1.34) * pow(n, -0.2) AS bw FROM s),
+f AS (SELECT *, low - 3 * bw AS origin, (high + 3 * bw - (low - 3 * bw)) / 511 AS step FROM b),
+p AS (SELECT parameter, (value - origin) / step AS place FROM v_draws JOIN f USING (parameter) WHERE value IS NOT NULL),
+m AS (SELECT parameter, k, sum(m) AS m FROM (
+  SELECT parameter, CAST(floor(place) AS BIGINT) AS k, 1 - (place - floor(place)) AS m FROM p
+  UNION ALL SELECT parameter, CAST(floor(place) AS BIGINT) + 1, place - floor(place) FROM p) GROUP BY 1, 2)
+SELECT f.parameter, CAST(g.i AS INTEGER) AS i, round(any_value(origin + g.i * step), 8) + 0.0 AS at,
+  round(sum(CASE WHEN abs(m.k - g.i) * step / bw <= 8 THEN m.m * exp(-0.5 * pow((m.k - g.i) * step / bw, 2)) ELSE 0 END) / any_value(n * bw) / sqrt(2 * pi()), 10) + 0.0 AS density
+FROM f JOIN m USING (parameter) CROSS JOIN range(512) g(i) GROUP BY f.parameter, g.i""")
+def marginal_density(t: Tables) -> DataFrame:
+    """Kernel density of every sampled parameter on 512 places."""
+    out = kernel_density(t.v_draws, "value", ["parameter"])
+    return out.select("parameter", "i", rounded(F.col("at"), 8).alias("at"), rounded(F.col("density"), 10).alias("density"))
+
+
 @query("top_species", """
 SELECT species, observer, count(*) AS n FROM v_observations GROUP BY 1, 2 ORDER BY n DESC, species, observer LIMIT 10""")
 def top_species(t: Tables) -> DataFrame:

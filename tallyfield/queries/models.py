@@ -322,7 +322,10 @@ s AS (SELECT parameter, count(*) AS k, avg(n) AS n, avg(v) AS w, var_samp(m) AS
 d AS (SELECT *, w * (n - 1) / n + (1 + 1.0 / k) * b AS pooled,
   (pow(n - 1, 2) * var_w + pow(1 + 1.0 / k, 2) * 2 * pow(b * n, 2) / (k - 1) + 2 * (n - 1) * (1 + 1.0 / k) * n / k * c) / (n * n) AS var_p FROM s)
 SELECT parameter, k AS n_chains, round(w, 6) + 0.0 AS within, round(b * n, 6) + 0.0 AS between, round(sqrt((w * (n - 1) / n + b) / w), 8) + 0.0 AS rhat,
-  round(sqrt((2 * pooled * pooled / var_p + 3) / (2 * pooled * pooled / var_p + 1) * pooled / w), 8) + 0.0 AS psrf FROM d""")
+  round(sqrt((2 * pooled * pooled / var_p + 3) / (2 * pooled * pooled / var_p + 1) * pooled / w), 8) + 0.0 AS psrf,
+  -- three chains: two degrees of freedom above, where the F quantile has a closed form
+  round(sqrt((2 * pooled * pooled / var_p + 3) / (2 * pooled * pooled / var_p + 1) * ((n - 1) / n
+    + w * w / var_w * (pow(0.025, -var_w / (w * w)) - 1) * (1 + 1.0 / k) * b / w)), 6) + 0.0 AS upper FROM d""")
 def gelman_rhat(t: Tables) -> DataFrame:
     out = potential_scale(t.v_draws, "parameter", "chain", "value")
-    return out.withColumns({"within": rounded(F.col("within")), "between": rounded(F.col("between")), "rhat": rounded(F.col("rhat"), 8), "psrf": rounded(F.col("psrf"), 8)})
+    return out.withColumns({"within": rounded(F.col("within")), "between": rounded(F.col("between")), "rhat": rounded(F.col("rhat"), 8), "psrf": rounded(F.col("psrf"), 8), "upper": rounded(F.col("upper"), 6)})

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions import density
 from tallyfield.operators.abundance import abundance_path, density_growth, dispersal_kernel, disperse
-from tallyfield.operators.detection import detection_table, distance_total, multinomial_blocks, removal_total
+from tallyfield.operators.aggregates import kernel_density
+from tallyfield.operators.detection import detection_table, distance_total, gather, multinomial_blocks, removal_total
 from tallyfield.operators.posterior import kept_draws, potential_scale, summarise
 
 
@@ -137,3 +138,40 @@ def test_posterior(spark):
     assert r.psrf == pytest.approx(math.sqrt((df + 3) / (df + 1) * big_v / within))
     by_chain = summarise(draws, ["p", "chain"], "v")
     assert by_chain.count() == 6
+
+
+def test_f_quantiles_of_the_tables(spark):
+    # upper 2.5 % points as printed tables have them
+    table = [(1, 1, 647.789), (1, 10, 6.9367), (2, 10, 5.4564), (3, 7, 5.8898), (5, 20, 3.2891), (10, 30, 2.5112), (4, 120, 2.8943), (2, 4000.0, 3.6922)]
+    df = spark.createDataFrame([(float(a), float(b), v) for a, b, v in table], "a double, b double, v double")
+    got = df.select("v", density.f_quantile(0.975, F.col("a"), F.col("b")).alias("f"), density.beta_share(F.lit(0.3), F.col("a"), F.col("b")).alias("i")).collect()
+    for r in got:
+        assert r.f == pytest.approx(r.v, rel=3e-5)
+    logs = spark.createDataFrame([(x,) for x in (0.1, 0.5, 1.0, 2.5, 30.0, 1e5)], "x double").select("x", density.log_gamma(F.col("x")).alias("g"))
+    for r in logs.collect():
+        assert r.g == pytest.approx(math.lgamma(r.x), rel=1e-12, abs=1e-12)
+
+
+def test_kernel_density(spark):
+    rng = random.Random(5)
+    groups = {"a": [rng.gauss(3, 2) for _ in range(400)], "b": [1.0, 1.0, 1.0, 9.0], "c": [4.0]}
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("a", None), ("none", None)]
+    got = kernel_density(spark.createDataFrame(rows, "g string, v double"), "v", ["g"], points=256).collect()
+    assert len(got) == 3 * 256
+    for g, values in groups.items():
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.i)
+        bw = own[0].bandwidth
+        step = own[1].at - own[0].at
+        assert own[0].at == pytest.approx(min(values) - 3 * bw) and own[-1].at == pytest.approx(max(values) + 3 * bw)
+        assert sum(r.density for r in own) * step == pytest.approx(1, abs=0.01)
+        for r in own[::25]:  # the shared masses stay close to the kernels of the values themselves
+            exact = sum(math.exp(-0.5 * ((r.at - v) / bw) ** 2) for v in values) / (len(values) * bw * math.sqrt(2 * math.pi))
+            assert r.density == pytest.approx(exact, abs=2e-3 / bw)
+
+
+def test_gather_names_the_missing_key(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, k string")
+    effects = spark.createDataFrame([("a", 0.5)], "k string, e double")
+    assert gather(rows.where("k = 'a'"), effects, "k", "e", "eff").first().eff == 0.5
+    with pytest.raises(Exception, match="no e for k b"):
+        gather(rows, effects, "k", "e", "eff").collect()
