@@ -8,7 +8,8 @@ per partition) then turn local positions into positions in the group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,11 +143,51 @@ def id_by_value(df: DataFrame, col: str, name: str) -> DataFrame:
     return df.join(numbered(values, [col], name=name), col, "left")
 
 
-def id_by_first_seen(df: DataFrame, col: str, order: Sequence[str], name: str) -> DataFrame:
-    """Ids 1..k in order of first appearance under ``order``."""
-    seen = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.min(order_key(order)).alias("_first"))
-    ids = numbered(seen, ["_first", col], name=name).drop("_first")
-    return df.join(ids, col, "left")
+def id_by_first_seen(df: DataFrame, col: str, order: Sequence[str], name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Ids 1..k in order of first appearance under ``order``, counted anew in each group of ``keys``."""
+    keys = list(keys)
+    seen = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.min(order_key(order)).alias("_first"))
+    ids = numbered(seen, ["_first", col], keys, name=name).drop("_first")
+    return df.join(ids, [*keys, col], "left")
+
+
+def factor_ids(feeds: Mapping[str, DataFrame], factors: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """``(feed, factor, number, text, id)``: ids 1..k of the sorted values of every factor of every feed, in one pass.
+
+    ``factors`` names each feed's columns (factor -> column). Feeds that
+    share a factor's name number it apart. Numeric values sort as numbers, others as text.
+    """
+    parts = []
+    for feed, df in feeds.items():
+        types = dict(df.dtypes)
+        values = [
+            F.struct(F.lit(f).alias("factor"), *_value(c, types[c])) for f, c in factors.get(feed, {}).items()
+        ]
+        if values:
+            parts.append(df.select(F.lit(feed).alias("feed"), F.inline(F.array(*values))))
+    every = reduce(DataFrame.unionByName, parts).where("number IS NOT NULL OR text IS NOT NULL").distinct()
+    return numbered(every, ["number", "text"], ["feed", "factor"], name="id")
+
+
+_NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double", "decimal"}
+
+
+def _value(column: str, kind: str) -> tuple[Column, Column]:
+    numeric = kind.split("(")[0] in _NUMBERS
+    number = F.col(column).cast("decimal(38,9)") if numeric else F.lit(None).cast("decimal(38,9)")
+    text = F.lit(None).cast("string") if numeric else F.col(column).cast("string")
+    return number.alias("number"), text.alias("text")
+
+
+def with_factor_ids(df: DataFrame, feed: str, ids: DataFrame, factors: Mapping[str, str]) -> DataFrame:
+    """``df`` with the id of each of its factors; a missing value keeps a missing id."""
+    types = dict(df.dtypes)
+    for factor, column in factors.items():
+        number, text = _value(column, types[column])
+        field, key = ("number", number) if types[column].split("(")[0] in _NUMBERS else ("text", text)
+        held = ids.where((F.col("feed") == feed) & (F.col("factor") == factor)).select(F.col(field).alias("_v"), F.col("id").alias(factor))
+        df = df.withColumn("_v", key).join(held, "_v", "left").drop("_v")
+    return df
 
 
 def top_rows(df: DataFrame, by: str, tie: Sequence[str], k: int) -> DataFrame:

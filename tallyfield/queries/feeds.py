@@ -21,7 +21,7 @@ from tallyfield.plans.checklist_points import MINUTES, PROTOCOLS, STUDY_BOX, spe
 from tallyfield.queries.registry import Tables, query
 from tallyfield.schemas import field_names
 from tallyfield.session import scratch_path
-from tallyfield.sources.readers import lookup, read_csv, read_table, read_tsv, stack_csv
+from tallyfield.sources.readers import lookup, read_csv, read_table, read_tsv, stack_csv, stack_folder
 from tallyfield.sources.writers import write_by_key, write_csv, write_tsv
 from tallyfield.streaming.pending import pending_keys, without, written_keys
 
@@ -72,6 +72,18 @@ def src_multi_file_union(t: Tables) -> DataFrame:
     return stack_csv(t.spark, layouts, {"o_custkey": "double"})
 
 
+@query("src_folder_layouts", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_custkey AS DOUBLE) END AS o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS o_orderpriority FROM orders""")
+def src_folder_layouts(t: Tables) -> DataFrame:
+    """One folder of text files under three headers, found by listing it."""
+    path = scratch_path(t.spark, "states")
+    headers = [["o_orderkey", "o_custkey", "o_totalprice"], ["o_custkey", "o_orderkey"], ["o_orderkey", "o_orderpriority"]]
+    for k, names in enumerate(headers):
+        t.orders.where(F.col("o_orderkey") % 3 == k).select(*names).write.mode("append").option("header", True).csv(path)
+    return stack_folder(t.spark, path, {"o_orderkey": "bigint", "o_custkey": "double", "o_totalprice": "double"})
+
+
 @query("sink_partitioned", """
 SELECT o_orderkey, o_custkey, o_totalprice, lower(substr(o_orderpriority, 3, 4)) AS alpha FROM orders""")
 def sink_partitioned(t: Tables) -> DataFrame:

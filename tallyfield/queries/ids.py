@@ -12,7 +12,8 @@ from tallyfield.operators.ranks import first_per_key, flag_first, id_by_first_se
 from tallyfield.operators.spatial import grid_cells, to_cells
 from tallyfield.plans.distance_blocks import cell_blocks, clean_survey, visit_blocks
 from tallyfield.plans.integrated import harmonise
-from tallyfield.plans.route_counts import on_grid, route_points, widen_stops
+from tallyfield.plans.integrated import harmonise_records
+from tallyfield.plans.route_counts import of_codes, on_grid, route_points, widen_stops
 from tallyfield.queries.counts import COARSE, _GROUPS_SQL, cell_sql
 from tallyfield.queries.registry import Tables, query
 from tallyfield.session import cut_lineage
@@ -101,6 +102,85 @@ def route_counts_on_grid(t: Tables) -> DataFrame:
     return as_double(gridded, _MISSING_IN_EMPTY_CELLS)
 
 
+@query("route_species_on_grid", f"""
+WITH v AS (SELECT l_linenumber AS aou, l_suppkey AS route, year(l_shipdate) AS yr, l_partkey % 20 AS obs_n, l_orderkey % 50 + 1 AS stop, CAST(sum(l_quantity) AS BIGINT) AS cnt
+  FROM lineitem GROUP BY 1, 2, 3, 4, 5),
+w AS (SELECT alpha, route, CAST(yr AS INTEGER) AS yr, obs_n, {_GROUPS_SQL}, CAST(sum(cnt) AS BIGINT) AS total_count
+  FROM v JOIN v_taxa t ON TRY_CAST(t.aou AS BIGINT) = v.aou GROUP BY 1, 2, 3, 4),
+p AS (SELECT w.*, {cell_sql(COARSE)} AS cell_id FROM w JOIN v_sites s ON s.site = w.route),
+q AS (SELECT *, cell_id || '-' || route AS route_id FROM p),
+k AS (SELECT alpha, obs_n, row_number() OVER (PARTITION BY alpha ORDER BY route_id, yr, obs_n) AS k FROM q),
+f AS (SELECT alpha, obs_n, row_number() OVER (PARTITION BY alpha ORDER BY min(k)) AS obs_id FROM k GROUP BY 1, 2),
+n AS (SELECT q.*, f.obs_id, CAST(CASE WHEN yr = min(yr) OVER (PARTITION BY q.alpha, route_id, q.obs_n) THEN 1 ELSE 0 END AS INTEGER) AS new
+  FROM q JOIN f ON f.obs_n = q.obs_n AND f.alpha = q.alpha),
+g AS (SELECT alpha FROM n GROUP BY 1 HAVING sum(CASE WHEN total_count > 0 THEN 1 ELSE 0 END) >= 30),
+c AS (SELECT cell_id, alpha FROM (SELECT unnest(generate_series(0, 175)) AS cell_id), g)
+SELECT c.alpha, c.cell_id, {_MAYBE}, route_id, coalesce(total_count > 0, false) AS is_observed,
+  row_number() OVER (PARTITION BY c.alpha, c.cell_id ORDER BY route_id NULLS LAST, n.yr, n.obs_n) AS time_step,
+  count(*) OVER (PARTITION BY c.alpha, c.cell_id) AS nyears_site
+FROM c LEFT JOIN n ON n.cell_id = c.cell_id AND n.alpha = c.alpha""")
+def route_species_on_grid(t: Tables) -> DataFrame:
+    """Stop counts of the taxa whose text code is the count's number, each species on its own grid with its own flags, ids and steps."""
+    counted = t.lineitem.groupBy(
+        F.col("l_linenumber").alias("aou"), F.col("l_suppkey").alias("route"), F.year("l_shipdate").alias("yr"),
+        (F.col("l_partkey") % 20).alias("obs_n"), (F.col("l_orderkey") % 50 + 1).alias("stop"),
+    ).agg(F.sum("l_quantity").cast("bigint").alias("cnt"))
+    taxa = t.v_taxa.select("alpha", F.col("aou").alias("text_code"))
+    stops = of_codes(counted, taxa, "aou", "text_code", ["alpha"])
+    wide = widen_stops(stops, ["alpha", "route", "yr", "obs_n"], "stop", "cnt")
+    routes = t.v_sites.select(F.col("site").alias("route"), "x", "y")
+    points = route_points(wide, routes, COARSE, by=["alpha"])
+    return as_double(on_grid(points, grid_cells(t.spark, COARSE), by=["alpha"], at_least=30), _MISSING_IN_EMPTY_CELLS)
+
+
+_KEPT_SQL = """feeds AS (SELECT transect AS site, yr FROM v_distance UNION ALL SELECT route, yr FROM v_stops UNION ALL SELECT site, yr FROM v_site_year),
+info AS (SELECT site, row_number() OVER (ORDER BY site) AS site_no FROM (SELECT DISTINCT site FROM feeds WHERE site IN (SELECT site FROM v_sites))),
+y AS (SELECT min(yr) AS first FROM feeds WHERE site IN (SELECT site FROM info))"""
+_FACTORS = {
+    "points": {"point_no": "point", "period_no": "time_period"}, "routes": {"route_no": "site", "observer_no": "obs_n"},
+    "checklists": {"locality_no": "obs_id", "species_no": "species"},
+}
+
+
+def _records(t: Tables) -> dict[str, DataFrame]:
+    feeds = {
+        "points": t.v_distance.withColumnRenamed("transect", "site"),
+        "routes": t.v_stops.withColumnRenamed("route", "site"), "checklists": t.v_site_year,
+    }
+    return harmonise_records(t.v_sites, feeds, "site", "yr", _FACTORS)
+
+
+@query("harmonised_points", f"""
+WITH {_KEPT_SQL}
+SELECT site_no, CAST(d.yr - first + 1 AS BIGINT) AS year_no, point, dense_rank() OVER (ORDER BY point) AS point_no,
+  dense_rank() OVER (ORDER BY time_period) AS period_no, distance, cnt
+FROM v_distance d JOIN info ON info.site = d.transect, y""")
+def harmonised_points(t: Tables) -> DataFrame:
+    """Distance records on the sites and years of all feeds, a row each."""
+    return _records(t)["points"].select("site_no", "year_no", "point", "point_no", "period_no", "distance", "cnt")
+
+
+@query("harmonised_routes", f"""
+WITH {_KEPT_SQL}
+SELECT site_no, CAST(s.yr - first + 1 AS BIGINT) AS year_no, dense_rank() OVER (ORDER BY route) AS route_no,
+  dense_rank() OVER (ORDER BY obs_n) AS observer_no, stop, cnt
+FROM v_stops s JOIN info ON info.site = s.route, y""")
+def harmonised_routes(t: Tables) -> DataFrame:
+    """Stop records with route and observer ids beside site and year."""
+    return _records(t)["routes"].select("site_no", "year_no", "route_no", "observer_no", "stop", "cnt")
+
+
+@query("harmonised_checklists", f"""
+WITH {_KEPT_SQL}
+SELECT site_no, CAST(c.yr - first + 1 AS BIGINT) AS year_no, dense_rank() OVER (ORDER BY obs_id) AS locality_no,
+  dense_rank() OVER (ORDER BY species) AS species_no, CAST(cnt AS DOUBLE) AS cnt
+FROM v_site_year c JOIN info ON info.site = c.site, y""")
+def harmonised_checklists(t: Tables) -> DataFrame:
+    """Checklist records with locality and species ids; counts may be missing."""
+    rows = _records(t)["checklists"]
+    return rows.select("site_no", "year_no", "locality_no", "species_no", F.col("cnt").cast("double").alias("cnt"))
+
+
 _YEARS = (1996, 2000)
 _BLOCK = ", ".join(
     f"CAST(sum(CASE WHEN time_period = {p} AND least(floor(distance / 50), 4) = {b} THEN cnt ELSE 0 END) AS BIGINT) AS count_{b * 50}_{b * 50 + 50}_{p}"

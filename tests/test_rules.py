@@ -34,6 +34,7 @@ from tallyfield.operators.joins import (
 from tallyfield.operators.pivots import distance_period_block, fold_stops, wide_counts
 from tallyfield.operators.ranks import (
     exact_quantiles,
+    factor_ids,
     first_per_key,
     flag_first,
     group_size,
@@ -42,7 +43,11 @@ from tallyfield.operators.ranks import (
     numbered,
     one_at_random,
     running_weight,
+    with_factor_ids,
 )
+from tallyfield.functions.geo import Grid
+from tallyfield.operators.spatial import grid_cells
+from tallyfield.plans.route_counts import of_codes, on_grid, route_points, widen_stops
 from tallyfield.plans.distance_blocks import cell_blocks, clean_survey
 
 
@@ -269,3 +274,32 @@ def test_cell_blocks_keep_species_apart(spark):
     located = spark.createDataFrame([(1, 0)], "transect int, cell_id int")
     out = cell_blocks(clean, located, spark.createDataFrame([(0,), (1,)], "cell_id int"))
     assert rows(out, "alpha", "cell_id", "count_0_50_1") == [("a", 0, 90), ("a", 1, 0), ("b", 0, 150), ("b", 1, 0)]
+
+
+def test_factors_of_all_feeds_at_once(spark):
+    a = spark.createDataFrame([(10, "y"), (2, "x"), (2, None), (None, "y")], "n int, t string")
+    b = spark.createDataFrame([(7.5,), (7.5,), (-1.0,)], "n double")
+    factors = {"a": {"n_no": "n", "t_no": "t"}, "b": {"n_no": "n"}}
+    ids = factor_ids({"a": a, "b": b}, factors)
+    got = with_factor_ids(a, "a", ids, factors["a"]).collect()
+    assert sorted(((r.n, r.t, r.n_no, r.t_no) for r in got), key=str) == sorted([(10, "y", 2, 2), (2, "x", 1, 1), (2, None, 1, None), (None, "y", None, 2)], key=str)
+    assert sorted((r.n, r.n_no) for r in with_factor_ids(b, "b", ids, factors["b"]).collect()) == [(-1.0, 1), (7.5, 2), (7.5, 2)]
+
+
+def test_species_have_their_own_steps_and_observers(spark):
+    stops = [(a, r, y, o, s, 1) for a in (1, 2) for r, y, o in ((1, 2000, 9), (1, 2001, 8), (2, 2000, 8)) for s in (1, 6) if not (a == 2 and y == 2000 and r == 1)]
+    taxa = spark.createDataFrame([("0001", "AAAA"), ("2", "BBBB"), ("x3", "CCCC")], "aou text, alpha string".replace("text", "string"))
+    counted = spark.createDataFrame([*stops, (5, 1, 2000, 9, 1, 1)], "code int, route int, yr int, obs_n int, stop int, cnt int")
+    named = of_codes(counted, taxa, "code", "aou", ["alpha"])
+    assert {r.alpha for r in named.collect()} == {"AAAA", "BBBB"}
+    grid = Grid(0.0, 0.0, 1.0, 3, 1)
+    routes = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.6, 0.5)], "route int, x double, y double")
+    points = route_points(widen_stops(named, ["alpha", "route", "yr", "obs_n"], "stop", "cnt"), routes, grid, by=["alpha"])
+    full = on_grid(points, grid_cells(spark, grid), by=["alpha"], at_least=2).collect()
+    steps = {(r.alpha, r.route, r.yr): (r.time_step, r.new, r.obs_id, r.nyears_site) for r in full if r.route is not None}
+    assert steps == {
+        ("AAAA", 1, 2000): (1, 1, 1, 3), ("AAAA", 1, 2001): (2, 1, 2, 3), ("AAAA", 2, 2000): (3, 1, 2, 3),
+        ("BBBB", 1, 2001): (1, 1, 1, 2), ("BBBB", 2, 2000): (2, 1, 1, 2),
+    }
+    assert sorted((r.alpha, r.cell_id) for r in full if r.route is None) == [(a, c) for a in ("AAAA", "BBBB") for c in (1, 2)]
+    assert on_grid(points, grid_cells(spark, grid), by=["alpha"], at_least=3).where("alpha = 'BBBB'").isEmpty()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tallyfield.sources.readers import load_bundle, lookup, read_csv, read_table, read_tsv, stack_csv
+from tallyfield.sources.readers import load_bundle, lookup, read_csv, read_table, read_tsv, stack_csv, stack_folder, text_layouts
 from tallyfield.sources.writers import write_by_key, write_csv, write_table, write_tsv
 from tallyfield.streaming.pending import pending_keys, without, written_keys
 
@@ -60,3 +60,25 @@ def test_pending_first_run_and_padded_codes(spark, tmp_path):
     assert sorted(r.sp for r in pending_keys(wanted, "sp", [none]).collect()) == ["00123", "9"]
     write_by_key(wanted.where("sp = '00123'").selectExpr("sp", "1 AS n"), f"{tmp_path}/done", "sp")
     assert [r.sp for r in pending_keys(wanted, "sp", [written_keys(spark, f"{tmp_path}/done", "sp")]).collect()] == ["9"]
+
+
+def test_folder_of_layouts(spark, tmp_path):
+    folder = tmp_path / "states"
+    folder.mkdir()
+    (folder / "a.csv").write_text("StateNum,count\n1,2\n")
+    (folder / "b.csv").write_text("StateNum,count\n3,\n")
+    (folder / "c.csv").write_text('count,"the, name",StateNum\n5,"x, y",4.5\n')
+    (folder / "d.csv").write_text("other\nz\n")
+    (folder / "empty.csv").write_text("")
+    (folder / "_note.csv").write_text("no table")
+    (folder / "e.txt").write_text("no table")
+    assert sorted(map(len, text_layouts(spark, str(folder)).values())) == [1, 1, 2]
+    got = stack_folder(spark, str(folder), {"StateNum": "double", "count": "int"})
+    assert sorted(map(tuple, got.select("StateNum", "count", "the, name", "other").collect()), key=str) == [
+        (1.0, 2, None, None), (3.0, None, None, None), (4.5, 5, "x, y", None), (None, None, None, "z"),
+    ]
+    (folder / "f.csv").write_text("count\nmany\n")
+    with pytest.raises(Exception, match="many"):
+        stack_folder(spark, str(folder), {"count": "int"}).collect()
+    with pytest.raises(ValueError, match="no .csv file"):
+        stack_folder(spark, str(tmp_path), {})
