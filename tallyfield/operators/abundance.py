@@ -81,24 +81,62 @@ def disperse(cells: DataFrame, value: str, size: float, kappa: float, radius: in
 
 
 def density_growth(
-    df: DataFrame, site: str, step: str, species: str, value: str, first_value: str, covariate_change: str,
-    slopes: DataFrame,
+    counts: DataFrame, frame: DataFrame, starts: DataFrame, slopes: DataFrame, site: str, step: str, species: str,
+    value: str, change: str, expected: str,
 ) -> DataFrame:
-    """Growth ``exp(b0 + sum_k b_k (N_k - N0_k) / N0_k + b_x dx)`` per site, step and species.
+    """Growth into each step, ``exp(b0 + sum_k b_k (N_k[t-1] - L_k) / L_k + b_x dx[t])``, per site, step and species.
 
+    ``counts`` has at most one row per site, step and species; a species
+    without a row was not there, so its pressure is -1. ``frame`` names the
+    sites and steps wanted with their covariate change, ``starts`` every
+    species' expected abundance ``L`` at the start (positive) per site.
     ``slopes`` has rows (species, term, slope); a term is ``intercept``,
-    ``covariate`` or ``species:`` and a name. Every observed species adds one
-    row per affected species, and one grouped sum makes the dot product.
+    ``covariate`` or ``species:`` and a name. Counts of species without a start
+    belong to no term.
+
+    Starts, counts and covariates of a site and step are dealt out together
+    once; terms, products and sums follow where they are.
     """
-    pressure = df.select(
-        site, step, F.concat(F.lit("species:"), F.col(species)).alias("term"),
-        ((F.col(value) - F.col(first_value)) / F.col(first_value)).alias("_x"),
-    )
-    shared = df.groupBy(site, step).agg(F.max(covariate_change).alias("_c"))
-    both = F.array(
+    name = F.concat(F.lit("species:"), F.col(species)).alias("term")
+    nothing = F.lit(None).cast("double")
+    wanted = frame.select(site, step, F.col(change).cast("double").alias("_c"))
+    fixed = F.inline(F.array(
         F.struct(F.lit("intercept").alias("term"), F.lit(1.0).alias("_x")),
-        F.struct(F.lit("covariate").alias("term"), F.col("_c").cast("double").alias("_x")),
+        F.struct(F.lit("covariate").alias("term"), F.col("_c").alias("_x")),
+    ))
+    parts = (
+        wanted.select(site, step, fixed)
+        .withColumns({"_l": nothing, "_n": nothing})
+        .unionByName(wanted.join(starts, site).select(
+            site, step, name, nothing.alias("_x"), F.col(expected).alias("_l"), nothing.alias("_n")))
+        .unionByName(counts.select(
+            site, (F.col(step) + 1).alias(step), name, nothing.alias("_x"), nothing.alias("_l"),
+            F.col(value).cast("double").alias("_n")))
     )
-    terms = pressure.unionByName(shared.select(site, step, F.inline(both)))
-    summed = terms.join(slopes, "term").groupBy(site, step, species)
+    terms = parts.repartition(site, step).groupBy(site, step, "term").agg(
+        F.max("_x").alias("_x"), F.max("_l").alias("_l"), F.coalesce(F.sum("_n"), F.lit(0.0)).alias("_n")
+    )
+    pressure = F.coalesce(F.col("_x"), (F.col("_n") - F.col("_l")) / F.col("_l"))
+    held = terms.select(site, step, "term", pressure.alias("_x")).where(F.col("_x").isNotNull())
+    summed = held.join(slopes, "term").groupBy(site, step, species)
     return summed.agg(F.exp(F.sum(F.col("slope") * F.col("_x"))).alias("growth"))
+
+
+def arrivals(pairs: DataFrame, leaving: DataFrame, decay: DataFrame, step: str, species: str, value: str) -> DataFrame:
+    """Expected arrivals per site, step and species: ``sum_i value_i exp(-k d_ij) / sum_j exp(-k d_ij)``.
+
+    ``pairs`` are ordered site pairs with their distance, each site with itself
+    included (see ``radius_pairs``); ``decay`` has a rate per species.
+    Leaving animals are divided by their origin's kernel sum first, so the
+    pairs meet them once and one grouped sum, with partial sums, is left.
+    Origins that nothing leaves are dropped; they add nothing.
+    """
+    rates = decay.select(F.array_sort(F.collect_list(F.struct(F.col(species).alias("name"), F.col("rate").alias("rate"))))).scalar()
+    per = pairs.select("src_site", "distance", F.inline(rates)).groupBy("src_site", F.col("name").alias(species))
+    sums = per.agg(F.sum(F.exp(-F.col("rate") * F.col("distance"))).alias("_sum"), F.first("rate").alias("_rate"))
+    share = leaving.where(F.col(value) > 0).withColumnRenamed("site", "src_site").join(sums, ["src_site", species])
+    sent = share.select("src_site", step, species, "_rate", (F.col(value) / F.col("_sum")).alias("_v"))
+    moved = pairs.join(sent, "src_site").groupBy(F.col("dst_site").alias("site"), step, species)
+    return moved.agg(
+        F.sum(F.col("_v") * F.exp(-F.col("_rate") * F.col("distance"))).alias("arrivals"), F.count("*").alias("n_origins")
+    )

@@ -85,8 +85,8 @@ def island_count(nearest: DataFrame, sites: DataFrame) -> Column:
     return (mutual / 2 + sites.agg(F.count("*")).scalar() - nearest.agg(F.count("*")).scalar()).cast("long")
 
 
-def car_log_density(edges: DataFrame, effects: DataFrame, site: str, value: str, tau: float, islands: Column) -> DataFrame:
-    """Intrinsic autoregressive log-density of site effects, effects centred first.
+def car_statistics(edges: DataFrame, effects: DataFrame, site: str, value: str, islands: Column) -> DataFrame:
+    """Energy, pairs and rank of site effects on a graph, effects centred first.
 
     ``edges`` hold both directions, so each pair is counted at ``src < dst``.
     """
@@ -97,8 +97,12 @@ def car_log_density(edges: DataFrame, effects: DataFrame, site: str, value: str,
     gap = F.col("_a") - F.col("_b")
     pairs = edges.where(F.col("src") < F.col("dst")).join(a, "src").join(b, "dst")
     out = pairs.agg(F.sum(gap * gap).alias("energy"), F.count("*").alias("n_pairs"))
-    rank = effects.agg(F.count("*")).scalar() - islands
-    return out.select(
-        "energy", "n_pairs", rank.alias("rank"),
-        (rank / 2 * (math.log(tau) - math.log(2 * math.pi)) - F.col("energy") * (tau / 2)).alias("log_density"),
+    return out.withColumn("rank", effects.agg(F.count("*")).scalar() - islands)
+
+
+def car_log_density(edges: DataFrame, effects: DataFrame, site: str, value: str, tau: float, islands: Column) -> DataFrame:
+    """Intrinsic autoregressive log-density of site effects."""
+    scale = math.log(tau) - math.log(2 * math.pi)
+    return car_statistics(edges, effects, site, value, islands).withColumn(
+        "log_density", F.col("rank") / 2 * scale - F.col("energy") * (tau / 2)
     )

@@ -72,6 +72,12 @@ def indexed_parameters(summary: DataFrame, parameter: str, prefix: str) -> DataF
     return rows.withColumns({"site": index_of(parameter, 1), "year": index_of(parameter, 2)})
 
 
+def derived_totals(draws: DataFrame, parameter: str, prefix: str, value: str, by: Sequence[str]) -> DataFrame:
+    """``prefix[site, year]`` summed over sites, per draw (``by``) and year: the draws of a total."""
+    indexed = indexed_parameters(draws, parameter, prefix)
+    return indexed.groupBy(*by, "year").agg(F.sum(value).alias("total"))
+
+
 def to_grid(summary: DataFrame, cells: DataFrame, site: str = "site") -> DataFrame:
     """Summary rows with the cell they belong to and the log1p mean maps use."""
     return summary.join(cells, site, "left").withColumn("log_mean", F.log1p("mean"))

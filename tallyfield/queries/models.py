@@ -11,6 +11,7 @@ from tallyfield.functions.geo import Grid
 from tallyfield.functions.text import indexed_name
 from tallyfield.operators.abundance import (
     abundance_path,
+    arrivals,
     density_growth,
     disperse,
     log_linear,
@@ -26,9 +27,9 @@ from tallyfield.operators.detection import (
 )
 from tallyfield.operators.joins import natural_join, with_every
 from tallyfield.operators.pivots import usable_distances
-from tallyfield.operators.posterior import indexed_parameters, kept_draws, potential_scale, summarise, to_grid
+from tallyfield.operators.posterior import derived_totals, indexed_parameters, kept_draws, potential_scale, summarise, to_grid
 from tallyfield.operators.ranks import flag_first
-from tallyfield.operators.spatial import to_cells
+from tallyfield.operators.spatial import radius_pairs, to_cells
 from tallyfield.queries.counts import COARSE, cell_sql
 from tallyfield.queries.registry import Tables, query
 from tallyfield.session import cut_lineage
@@ -243,24 +244,62 @@ _SLOPES = [
 _SLOPES_SQL = ", ".join(f"('{a}', '{b}', {c!r}::DOUBLE)" for a, b, c in _SLOPES)
 
 
-@query("density_dependent_growth", f"""
-WITH w(species, term, slope) AS (VALUES {_SLOPES_SQL}),
-n AS (SELECT site, CAST(yr AS INTEGER) AS yr, species, coalesce(sum(cnt), 0) + 1 AS n FROM v_site_year GROUP BY 1, 2, 3),
-f AS (SELECT site, species, first(n ORDER BY yr) AS n0 FROM n GROUP BY 1, 2), y AS (SELECT site, min(yr) AS y0 FROM n GROUP BY 1),
-terms AS (SELECT n.site, yr, 'species:' || n.species AS term, CAST(n - n0 AS DOUBLE) / n0 AS x FROM n JOIN f ON f.site = n.site AND f.species = n.species
-  UNION ALL SELECT DISTINCT site, yr, 'intercept', 1.0::DOUBLE FROM n
-  UNION ALL SELECT DISTINCT n.site, yr, 'covariate', CAST(yr - y0 AS DOUBLE) FROM n JOIN y ON y.site = n.site)
-SELECT site, yr, w.species, round(exp(sum(slope * x)), 8) + 0.0 AS growth FROM terms JOIN w ON w.term = terms.term GROUP BY 1, 2, 3""")
-def density_dependent_growth(t: Tables) -> DataFrame:
-    """Growth of every species from the density of all of them and the years passed."""
-    sums = t.v_site_year.groupBy("site", "yr", "species").agg((F.coalesce(F.sum("cnt"), F.lit(0)) + 1).cast("double").alias("n"))
-    n = cut_lineage(sums)
-    firsts = n.groupBy("site", "species").agg(F.min_by("n", "yr").alias("n0"), F.min("yr").alias("y0"))
-    begin = firsts.groupBy("site").agg(F.min("y0").alias("y0"))
-    rows = n.join(firsts.drop("y0"), ["site", "species"]).join(begin, "site").withColumn("passed", F.col("yr") - F.col("y0"))
+# start abundance on the log scale and decay of movement (per km) of each species
+_STARTS = [(s, 0.2 * i - 0.5, 0.05 + 0.01 * i) for i, s in enumerate(_SPECIES)]
+_STARTS_SQL = ", ".join(f"('{a}', {b!r}::DOUBLE, {c!r}::DOUBLE)" for a, b, c in _STARTS)
+
+_GROWTH_SQL = f"""{COVARIATES_SQL}, w(species, term, slope) AS (VALUES {_SLOPES_SQL}), b(species, base, rate) AS (VALUES {_STARTS_SQL}),
+begin AS (SELECT site, min(yr) AS y0, arg_min(gra, yr) AS g0 FROM cov GROUP BY 1),
+frame AS (SELECT c.site, c.yr, gra - g0 AS dx, g0 FROM cov c JOIN begin i ON i.site = c.site WHERE c.yr > y0),
+n AS (SELECT site, yr, species, sum(coalesce(cnt, 0)) AS n FROM v_site_year GROUP BY 1, 2, 3),
+terms AS (SELECT f.site, f.yr, 'species:' || b.species AS term, (coalesce(n.n, 0) - exp(base + 0.2 * g0)) / exp(base + 0.2 * g0) AS x
+    FROM frame f CROSS JOIN b LEFT JOIN n ON n.site = f.site AND n.yr = f.yr - 1 AND n.species = b.species
+  UNION ALL SELECT site, yr, 'intercept', 1.0::DOUBLE FROM frame UNION ALL SELECT site, yr, 'covariate', dx FROM frame),
+growing AS (SELECT site, yr, w.species, exp(sum(slope * x)) AS growth FROM terms JOIN w ON w.term = terms.term GROUP BY 1, 2, 3)"""
+
+
+def _counted_species(t: Tables) -> DataFrame:
+    return t.v_site_year.groupBy("site", "yr", "species").agg(F.sum(F.coalesce("cnt", F.lit(0))).alias("n"))
+
+
+def _growing(t: Tables, counts: DataFrame) -> DataFrame:
+    frame = cut_lineage(covariates(t).select("site", "yr", "gra"))
+    begin = frame.groupBy("site").agg(F.min("yr").alias("y0"), F.min_by("gra", "yr").alias("g0"))
+    every = lookup(t.spark, _STARTS, "species string, base double, rate double")
+    bases = F.inline(every.select(F.collect_list(F.struct("species", "base"))).scalar())
+    starts = begin.select("site", "g0", bases).select("site", "species", F.exp(F.col("base") + 0.2 * F.col("g0")).alias("expected"))
+    wanted = frame.join(begin, "site").where(F.col("yr") > F.col("y0")).withColumn("dx", F.col("gra") - F.col("g0"))
     slopes = lookup(t.spark, _SLOPES, "species string, term string, slope double")
-    out = density_growth(rows, "site", "yr", "species", "n", "n0", "passed", slopes)
-    return out.withColumn("growth", rounded(F.col("growth"), 8))
+    return density_growth(counts, wanted, starts, slopes, "site", "yr", "species", "n", "dx", "expected")
+
+
+@query("density_dependent_growth", f"WITH {_GROWTH_SQL} SELECT site, yr, species, round(growth, 8) + 0.0 AS growth FROM growing")
+def density_dependent_growth(t: Tables) -> DataFrame:
+    """Growth of every species into each year from all species' densities a year before, absent ones too, and the habitat's change."""
+    return _growing(t, _counted_species(t)).withColumn("growth", rounded(F.col("growth"), 8))
+
+
+@query("dispersal_growth", f"""
+WITH {_GROWTH_SQL},
+pairs AS (SELECT a.site AS src, c.site AS dst, sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y)) AS d FROM v_sites a JOIN v_sites c
+  ON c.x BETWEEN a.x - 50000 AND a.x + 50000 AND c.y BETWEEN a.y - 50000 AND a.y + 50000
+  WHERE (a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) <= 2500000000),
+sums AS (SELECT src, species, sum(exp(-rate * d / 1000)) AS s FROM pairs CROSS JOIN b GROUP BY 1, 2),
+sent AS (SELECT g.site, g.yr, g.species, n.n * growth / s AS v, rate FROM growing g JOIN n ON n.site = g.site AND n.yr = g.yr - 1 AND n.species = g.species
+  JOIN sums ON sums.src = g.site AND sums.species = g.species JOIN b ON b.species = g.species WHERE n.n > 0)
+SELECT dst AS site, yr, species, round(sum(v * exp(-rate * d / 1000)), 7) + 0.0 AS arrivals, count(*) AS n_origins
+FROM sent JOIN pairs ON pairs.src = sent.site GROUP BY 1, 2, 3""")
+def dispersal_growth(t: Tables) -> DataFrame:
+    """One step of the metapopulation: last year's animals grow with their site's rate and move up to 50 km, per species."""
+    counts = cut_lineage(_counted_species(t))
+    before = counts.withColumn("yr", F.col("yr") + 1)
+    grown = _growing(t, counts).join(before, ["site", "yr", "species"])
+    leaving = grown.select("site", "yr", "species", (F.col("n") * F.col("growth")).alias("leaving"))
+    pairs = radius_pairs(t.v_sites.select("site", "x", "y"), ["site"], "x", "y", 50_000.0)
+    near = cut_lineage(pairs.select("src_site", "dst_site", (F.col("distance") / 1000).alias("distance")))
+    decay = lookup(t.spark, _STARTS, "species string, base double, rate double").select("species", "rate")
+    out = arrivals(near, leaving, decay, "yr", "species", "leaving")
+    return out.withColumn("arrivals", rounded(F.col("arrivals"), 7))
 
 
 _SUMMARY_SQL = """summary AS (SELECT 'N[' || site || ', ' || yr || ']' AS parameter, avg(cnt) AS mean FROM v_site_year GROUP BY site, yr
@@ -309,6 +348,34 @@ def posterior_summary(t: Tables) -> DataFrame:
     return out.withColumns({c: rounded(F.col(c), d) for c, d in digits.items()})
 
 
+@query("posterior_summary_chains", f"""
+WITH {_KEPT_SQL}
+SELECT parameter, chain, count(*) AS n_draws, round(avg(value), 7) + 0.0 AS mean, round(stddev_samp(value), 7) + 0.0 AS sd, round(median(value), 6) + 0.0 AS median,
+  round(quantile_cont(value, 0.025), 6) + 0.0 AS low, round(quantile_cont(value, 0.975), 6) + 0.0 AS high FROM kept GROUP BY 1, 2""")
+def posterior_summary_chains(t: Tables) -> DataFrame:
+    """The summary of every chain by itself."""
+    out = summarise(_kept(t), ["parameter", "chain"], "value")
+    digits = {"mean": 7, "sd": 7, "median": 6, "low": 6, "high": 6}
+    return out.withColumns({c: rounded(F.col(c), d) for c, d in digits.items()})
+
+
+@query("total_abundance_draws", """
+WITH s AS (SELECT site, CAST(yr AS BIGINT) AS yr, coalesce(sum(cnt), 0) AS n FROM v_site_year GROUP BY 1, 2),
+d AS (SELECT yr, chain, iter, sum(n + (site * 31 + yr * 7 + iter * 17 + chain * 11) % 5) AS total
+  FROM s, (SELECT unnest([0, 1]) AS chain), (SELECT unnest(generate_series(1, 10)) AS iter) GROUP BY 1, 2, 3)
+SELECT yr AS year, count(*) AS n_draws, round(avg(total), 6) + 0.0 AS mean, round(stddev_samp(total), 6) + 0.0 AS sd, round(median(total), 6) + 0.0 AS median,
+  round(quantile_cont(total, 0.025), 6) + 0.0 AS low, round(quantile_cont(total, 0.975), 6) + 0.0 AS high FROM d GROUP BY 1""")
+def total_abundance_draws(t: Tables) -> DataFrame:
+    """Totals over all sites within each draw of ``N[site, year]``, then their summary per year."""
+    sites = t.v_site_year.groupBy("site", "yr").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"))
+    draws = sites.withColumn("chain", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    jitter = (F.col("site") * 31 + F.col("yr") * 7 + F.col("iter") * 17 + F.col("chain") * 11) % 5
+    named = draws.select("chain", "iter", indexed_name("N", F.col("site"), F.col("yr")).alias("parameter"), (F.col("n") + jitter).alias("value"))
+    totals = derived_totals(named, "parameter", "N", "value", ["chain", "iter"])
+    out = summarise(totals, ["year"], "total")
+    return out.withColumns({c: rounded(F.col(c)) for c in ("mean", "sd", "median", "low", "high")})
+
+
 @query("trace_table", f"WITH {_KEPT_SQL} SELECT parameter, chain, iter, value FROM kept")
 def trace_table(t: Tables) -> DataFrame:
     """Kept draws in the order a trace shows them."""

@@ -178,7 +178,7 @@ g AS (SELECT c.ix, c.iy, c.elev, count(*) AS k,
   FROM r c JOIN r b ON b.ix BETWEEN c.ix - 1 AND c.ix + 1 AND b.iy BETWEEN c.iy - 1 AND c.iy + 1 GROUP BY 1, 2, 3),
 s AS (SELECT *, CASE WHEN k = 9 THEN atan(sqrt(gx * gx + gy * gy)) END AS slope,
   CASE WHEN k = 9 THEN CASE WHEN atan2(-gx, -gy) < 0 THEN atan2(-gx, -gy) + 2 * pi() ELSE atan2(-gx, -gy) END END AS aspect FROM g)
-SELECT ix, iy, elev, round(slope, 5) + 0.0 AS slope, round(aspect, 5) + 0.0 AS aspect,
+SELECT ix, iy, ix * 100.0::DOUBLE + 50 AS x, iy * 100.0::DOUBLE + 50 AS y, elev, round(slope, 5) + 0.0 AS slope, round(aspect, 5) + 0.0 AS aspect,
   round(CASE WHEN slope IS NOT NULL THEN greatest(cos(slope) * cos(radians(45)) + sin(slope) * sin(radians(45)) * cos(radians(300) - aspect), 0) * 255 END, 4) + 0.0 AS hillshade
 FROM s""")
 def terrain_hillshade(t: Tables) -> DataFrame:
@@ -187,7 +187,9 @@ def terrain_hillshade(t: Tables) -> DataFrame:
         (F.col("l_partkey") % 101).alias("ix"), (F.col("l_orderkey") % 103).alias("iy")
     ).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.count("*") / 10000).alias("elev"))
     digits = {"slope": 5, "aspect": 5, "hillshade": 4}
-    return terrain(raster, 100.0).withColumns({c: rounded(F.col(c), d) for c, d in digits.items()})
+    shaped = terrain(raster, 100.0).withColumns({c: rounded(F.col(c), d) for c, d in digits.items()})
+    at = {"x": F.col("ix") * 100.0 + 50, "y": F.col("iy") * 100.0 + 50}  # centres of the cells
+    return shaped.withColumns(at)
 
 
 def lattice_cells(t: Tables) -> DataFrame:
@@ -201,7 +203,7 @@ def lattice_cells(t: Tables) -> DataFrame:
 _CELLS_SQL = f"""cells AS (SELECT CAST(floor((x - (-1.0)) / 0.02) AS BIGINT) AS ix, CAST(floor((y - (-1.0)) / 0.02) AS BIGINT) AS iy,
   CAST(floor((y - (-1.0)) / 0.02) * 100 + floor((x - (-1.0)) / 0.02) AS BIGINT) AS cell_id, count(*) AS n, CAST(sum(label) AS DOUBLE) / count(*) AS label
   FROM v_points GROUP BY 1, 2, 3)"""
-_NEAREST_SQL = f"""{_CELLS_SQL}, pairs AS (SELECT a.cell_id AS src, b.cell_id AS dst, (a.ix - b.ix) * (a.ix - b.ix) + (a.iy - b.iy) * (a.iy - b.iy) AS d2
+NEAREST_SQL = f"""{_CELLS_SQL}, pairs AS (SELECT a.cell_id AS src, b.cell_id AS dst, (a.ix - b.ix) * (a.ix - b.ix) + (a.iy - b.iy) * (a.iy - b.iy) AS d2
   FROM cells a JOIN cells b ON a.cell_id <> b.cell_id),
 near AS (SELECT src, dst, d2 FROM pairs QUALIFY row_number() OVER (PARTITION BY src ORDER BY d2, dst) = 1),
 edges AS (SELECT src, dst FROM near UNION SELECT dst, src FROM near)"""
@@ -226,7 +228,7 @@ def points_within_radius(t: Tables) -> DataFrame:
     return pairs.select(F.col("src_pt").alias("src"), F.col("dst_pt").alias("dst"), rounded(F.col("distance"), 8).alias("distance"))
 
 
-@query("knn_k1", f"WITH {_NEAREST_SQL} SELECT src, dst, round(0.02 * sqrt(d2), 8) + 0.0 AS distance FROM near")
+@query("knn_k1", f"WITH {NEAREST_SQL} SELECT src, dst, round(0.02 * sqrt(d2), 8) + 0.0 AS distance FROM near")
 def knn_k1(t: Tables) -> DataFrame:
     """The nearest occupied cell of every occupied cell."""
     near = nearest_cells(lattice_cells(t), "cell_id", "ix", "iy")
@@ -234,7 +236,7 @@ def knn_k1(t: Tables) -> DataFrame:
 
 
 @query("neighbour_graph", f"""
-WITH {_NEAREST_SQL}
+WITH {NEAREST_SQL}
 SELECT c.cell_id, coalesce(string_agg(e.dst, ',' ORDER BY e.dst), '') AS adj, CAST(count(e.dst) AS INTEGER) AS num, CAST(count(e.dst) AS DOUBLE) AS weight
 FROM cells c LEFT JOIN edges e ON e.src = c.cell_id GROUP BY 1""")
 def neighbour_graph(t: Tables) -> DataFrame:
@@ -246,7 +248,7 @@ def neighbour_graph(t: Tables) -> DataFrame:
 
 
 @query("car_energy", f"""
-WITH {_NEAREST_SQL}, m AS (SELECT avg(label / 10) AS mean, count(*) AS n FROM cells),
+WITH {NEAREST_SQL}, m AS (SELECT avg(label / 10) AS mean, count(*) AS n FROM cells),
 p AS (SELECT sum((a.label / 10 - b.label / 10) * (a.label / 10 - b.label / 10)) AS energy, count(*) AS n_pairs
   FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cells b ON b.cell_id = e.dst WHERE e.src < e.dst),
 i AS (SELECT n - (SELECT count(*) // 2 FROM near x JOIN near y ON y.src = x.dst AND y.dst = x.src) - (n - (SELECT count(*) FROM near)) AS rank FROM m)

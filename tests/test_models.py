@@ -9,10 +9,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.functions import density
-from tallyfield.operators.abundance import abundance_path, density_growth, dispersal_kernel, disperse
+from tallyfield.operators.abundance import abundance_path, arrivals, density_growth, dispersal_kernel, disperse
 from tallyfield.operators.aggregates import kernel_density
 from tallyfield.operators.detection import detection_table, distance_total, gather, multinomial_blocks, removal_total
-from tallyfield.operators.posterior import kept_draws, potential_scale, summarise
+from tallyfield.operators.likelihood import (
+    binomial_term,
+    block_statistics,
+    effect_statistics,
+    effect_term,
+    multinomial_term,
+    one_row,
+    staged_total,
+    visit_statistics,
+)
+from tallyfield.operators.posterior import derived_totals, kept_draws, potential_scale, summarise
+from tallyfield.operators.spatial import radius_pairs
 
 
 def _one(spark, *cols):
@@ -99,12 +110,63 @@ def test_dispersal(spark):
     assert out.where("cell_id = 1").first().arrivals == pytest.approx(want)
 
 
-def test_density_growth(spark):
-    df = spark.createDataFrame([(1, 1, "a", 10.0, 5.0, 2), (1, 1, "b", 3.0, 6.0, 2)], "s int, t int, sp string, n double, n0 double, dx int")
+def test_density_growth_of_absent_species_and_the_year_before(spark):
+    counts = spark.createDataFrame([(1, 1, "a", 10), (1, 2, "a", 99), (1, 2, "b", 7), (1, 1, "stranger", 5)], "s int, t int, sp string, n int")
+    frame = spark.createDataFrame([(1, 2, 2.0)], "s int, t int, dx double")
+    starts = spark.createDataFrame([(1, "a", 5.0), (1, "b", 6.0)], "s int, sp string, l double")
     slopes = spark.createDataFrame(
         [("a", "intercept", 0.1), ("a", "species:a", -0.5), ("a", "species:b", 0.2), ("a", "covariate", 0.3)], "sp string, term string, slope double")
-    got = density_growth(df, "s", "t", "sp", "n", "n0", "dx", slopes).first()
-    assert got.growth == pytest.approx(math.exp(0.1 - 0.5 * 1.0 + 0.2 * -0.5 + 0.3 * 2))
+    got = density_growth(counts, frame, starts, slopes, "s", "t", "sp", "n", "dx", "l").collect()
+    assert [(r.t, r.sp) for r in got] == [(2, "a")]
+    # b was absent a year before: its pressure is -1
+    assert got[0].growth == pytest.approx(math.exp(0.1 - 0.5 * 1.0 + 0.2 * -1.0 + 0.3 * 2))
+
+
+def test_arrivals_keep_what_leaves(spark):
+    spots = {1: (0.0, 0.0), 2: (3.0, 4.0), 3: (6.0, 0.0), 4: (90.0, 0.0)}
+    points = spark.createDataFrame([(k, *v) for k, v in spots.items()], "site int, x double, y double")
+    pairs = radius_pairs(points, ["site"], "x", "y", 5.5)
+    leaving = spark.createDataFrame([(1, 7, "a", 4.0), (2, 7, "a", 1.0), (4, 7, "a", 2.0), (3, 7, "a", 0.0)], "site int, t int, sp string, v double")
+    decay = spark.createDataFrame([("a", 0.3)], "sp string, rate double")
+    got = {r.site: r.arrivals for r in arrivals(pairs, leaving, decay, "t", "sp", "v").collect()}
+    e = math.exp(-0.3 * 5)
+    assert got[4] == pytest.approx(2.0) and sum(got.values()) == pytest.approx(7.0)
+    assert got[1] == pytest.approx(4 / (1 + e) + e / (1 + 2 * e)) and got[3] == pytest.approx(e / (1 + 2 * e))
+
+
+def test_terms_from_statistics_are_sums_of_rows(spark):
+    rng = random.Random(3)
+    cells = [(v, d, r, rng.randint(1, 5)) for v in range(20) for d in (1, 2) for r in (1, 2, 3) if rng.random() < 0.7]
+    totals = {}
+    for v, _, _, y in cells:
+        totals[v] = totals.get(v, 0) + y
+    frame = spark.createDataFrame(cells, "v int, d int, r int, y int")
+    sizes = spark.createDataFrame([(v, n, n + 9) for v, n in totals.items()], "v int, total int, size int")
+    sigma, theta, cutoff = 60.0, 0.4, 100.0
+    ring = [2 * sigma**2 * (math.exp(-a * a / (2 * sigma**2)) - math.exp(-b * b / (2 * sigma**2))) / cutoff**2 for a, b in ((0, 50), (50, 100))]
+    phi = [(1 - theta) ** k * theta for k in range(3)]
+    p = sum(ring) * sum(phi)
+    fact = lambda n: math.lgamma(n + 1)
+    binomial = sum(fact(n + 9) - fact(n) - fact(9) + n * math.log(p) + 9 * math.log(1 - p) for n in totals.values())
+    blocks = sum(map(fact, totals.values())) + sum(y * math.log(ring[d - 1] * phi[r - 1] / p) - fact(y) for _, d, r, y in cells)
+    draw = spark.createDataFrame([(1, sigma, theta)], "k int, sigma double, theta double")
+    s, t = F.col("sigma"), F.col("theta")
+    got = staged_total(draw, ["k"], {
+        "visits": binomial_term(one_row(visit_statistics(sizes, "total", "size")), F.lit(p)),
+        "blocks": multinomial_term(one_row(block_statistics(frame, ["v"], "y", 2, 3)), s, t, cutoff, 2, 3),
+        "effects": effect_term(one_row(effect_statistics(frame, "y")), F.lit(2.0)),
+    }).first()
+    normal = sum(-0.5 * math.log(2 * math.pi) - math.log(2) - y * y / 8 for *_, y in cells)
+    assert got.visits == pytest.approx(binomial) and got.blocks == pytest.approx(blocks) and got.effects == pytest.approx(normal)
+    assert got.total == pytest.approx(binomial + blocks + normal)
+
+
+def test_totals_are_summed_within_draws(spark):
+    draws = spark.createDataFrame(
+        [(0, 1, "N[1, 5]", 2.0), (0, 1, "N[2, 5]", 3.0), (0, 2, "N[1, 5]", 7.0), (1, 1, "N[1, 6]", 1.0), (0, 1, "sigma", 9.0)],
+        "chain int, iter int, parameter string, value double")
+    got = {(r.chain, r.iter, r.year): r.total for r in derived_totals(draws, "parameter", "N", "value", ["chain", "iter"]).collect()}
+    assert got == {(0, 1, 5): 5.0, (0, 2, 5): 7.0, (1, 1, 6): 1.0}
 
 
 def test_posterior(spark):

@@ -197,6 +197,25 @@ def test_terrain_on_a_plane(spark):
     assert terrain(north, 10.0).where("slope is not null").first().aspect == pytest.approx(math.pi)
 
 
+def test_terrain_tiles_agree_with_whole_raster(spark, monkeypatch):
+    rng = random.Random(5)
+    heights = {(i, j): rng.random() * 30 for i in range(-7, 12) for j in range(-5, 9) if rng.random() < 0.93}
+    frame = spark.createDataFrame([(i, j, z) for (i, j), z in heights.items()] + [(3, 20, None)], "ix int, iy int, elev double")
+    kernel = [(-1, 1), (0, 2), (1, 1)]
+    for tile in (4, 64):
+        monkeypatch.setattr(spatial, "TILE", tile)
+        got = {(r.ix, r.iy): r for r in terrain(frame, 10.0).collect()}
+        assert set(got) == set(heights)
+        for (i, j), r in got.items():
+            near = [heights.get((i + a, j + b)) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+            if None in near:
+                assert r.slope is None and r.hillshade is None
+                continue
+            gx = sum(w * (heights[i - 1, j + k] - heights[i + 1, j + k]) for k, w in kernel) / 80
+            gy = sum(w * (heights[i + k, j - 1] - heights[i + k, j + 1]) for k, w in kernel) / 80
+            assert r.slope == pytest.approx(math.atan(math.hypot(gx, gy)))
+
+
 def test_interpolation(spark):
     rng = random.Random(8)
     sites = spark.createDataFrame([(i, rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(60)] + [(99, 1e6, 1e6)], "pt int, x double, y double")
