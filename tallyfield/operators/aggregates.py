@@ -169,8 +169,13 @@ def start_occupancy(starts: DataFrame, site: str, n_start: str, empty: float = 1
 
 def screen_groups(
     df: DataFrame, group: str, date: str, species: str, min_species: int, min_rows: int, latest_start: Column
-) -> tuple[DataFrame, DataFrame]:
-    """Per-group start date, species and row counts, with those failing the screen."""
+) -> DataFrame:
+    """Per-group start date, species and row counts, and whether the group is ``failing`` the screen.
+
+    Every row of a group shares its verdict, so the summary of the kept rows is
+    that of the kept groups and the rows are read once. A group without any
+    date has no late start.
+    """
     sites = df.groupBy(group).agg(
         F.min(date).alias("start_date"),
         F.count_distinct(species).alias("num_species"),
@@ -179,4 +184,4 @@ def screen_groups(
     failing = (
         (F.col("num_species") < min_species) | (F.col("num_obs") < min_rows) | (F.col("start_date") > latest_start)
     )
-    return sites, sites.where(failing)
+    return sites.withColumn("failing", F.coalesce(failing, F.lit(False)))

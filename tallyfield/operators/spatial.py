@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallyfield.functions.geo import Grid, distance
@@ -276,7 +276,7 @@ def terrain(raster: DataFrame, size: float, ix: str = "ix", iy: str = "iy", elev
     def reach(of: Column) -> Column:
         # the tiles a row or column number stands in: its own, and a neighbour's halo at an edge
         own, place = F.floor(of / TILE), F.pmod(of, F.lit(TILE))
-        return (F.when(place == 0, F.array(own - 1, own)).when(place == TILE - 1, F.array(own, own + 1)).otherwise(F.array(own)))
+        return F.when(place == 0, F.array(own - 1, own)).when(place == TILE - 1, F.array(own, own + 1)).otherwise(F.array(own))
 
     sent = (
         raster.where(F.col(elev).isNotNull()).select(ix, iy, elev)
@@ -291,14 +291,14 @@ def terrain(raster: DataFrame, size: float, ix: str = "ix", iy: str = "iy", elev
         return F.when(F.lag(at, step).over(window) == F.col(at) - step, F.lag(value, step).over(window))
 
     along = sent.withColumns({"_w": beside(rows, ix, elev, 1), "_e": beside(rows, ix, elev, -1)})
-    along = along.withColumns({"_d": F.col("_w") - F.col("_e"), "_s": F.col("_w") + 2 * F.col(elev) + F.col("_e")})
+    along = along.withColumns({"_d": F.col("_e") - F.col("_w"), "_s": F.col("_w") + 2 * F.col(elev) + F.col("_e")})
     sides = {f"{v}{n}": beside(cols, iy, v, k) for v in ("_d", "_s") for n, k in (("_below", 1), ("_above", -1))}
     both = along.withColumns(sides).where((F.col("_tx") == F.floor(F.col(ix) / TILE)) & (F.col("_ty") == F.floor(F.col(iy) / TILE)))
     sums = both.select(
         ix, iy, elev,
         ((F.col("_d_below") + 2 * F.col("_d") + F.col("_d_above")) / (8 * size)).alias("_gx"),
-        ((F.col("_s_below") - F.col("_s_above")) / (8 * size)).alias("_gy"),
-        # the smoothed middle row is in neither gradient's sum alone, so it is asked for here
+        ((F.col("_s_above") - F.col("_s_below")) / (8 * size)).alias("_gy"),
+        # all nine heights: the middle row's smoothed height is in neither gradient, but needs its three
         (F.col("_s").isNotNull() & F.col("_s_below").isNotNull() & F.col("_s_above").isNotNull()).alias("_full"),
     )
     pi = F.pi()

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.geo import Albers
 from tallyfield.operators.aggregates import sufficient_keys
-from tallyfield.operators.checklists import comparable, counted
-from tallyfield.operators.joins import keep_known, natural_join
+from tallyfield.operators.checklists import collapse_groups, comparable, counted, zero_fill
+from tallyfield.operators.joins import keep_common, keep_known, natural_join
+from tallyfield.operators.ranks import first_per_key
 from tallyfield.session import cut_lineage
 
 # fixed values: study box in degrees (west, south, east, north), minutes, protocols
@@ -41,7 +42,36 @@ def species_points(
     positive = cut_lineage(counted(rows, "count_text", "count"))
     enough = sufficient_keys(positive, "species", "count", at_least)
     kept = keep_known(positive, enough, ["species"], nulls_match=False)
+    return _located(kept, projection)
+
+
+def _located(rows: DataFrame, projection: Albers | None) -> DataFrame:
     x, y = (projection or Albers()).project(F.col("lon"), F.col("lat"))
-    return kept.withColumns({
+    return rows.withColumns({
         "x": x, "y": y, "year": F.year("obs_date"), "month": F.month("obs_date"), "day": F.dayofmonth("obs_date"),
     })
+
+
+def zero_filled_points(
+    checklists: DataFrame, observations: DataFrame, at_least: int = 30, projection: Albers | None = None
+) -> DataFrame:
+    """The whole feed: first row per event, both feeds cut to common events, one checklist per group, zeros, gate, points.
+
+    A group's checklist is its copy with the smallest event, and a species'
+    count on it that of the group's smallest event that saw the species.
+    Species seen without a count on a checklist have no row there; absences
+    are rows with count 0. Rows of one event are ordered by all their columns.
+    """
+    usable = usable_checklists(checklists)
+    single = first_per_key(usable, ["event_id"], [c for c in usable.columns if c != "event_id"])
+    seen, lists = keep_common(observations.select("event_id", "species", "count_text"), single, ["event_id"])
+    lists, seen = cut_lineage(lists), cut_lineage(seen)
+    shared = collapse_groups(lists, "event_id", "group_id", [], "checklist_id")
+    placed = natural_join(seen, lists.select("event_id", "group_id"), "inner", ["event_id"], nulls_match=False)
+    once = collapse_groups(placed, "event_id", "group_id", ["species"], "checklist_id")
+    counts = once.select("checklist_id", "species", F.col("count_text").try_cast("int").alias("count"))
+    filled = zero_fill(shared, counts, seen, "checklist_id", "species", "count")
+    # read for the gate and for the result
+    known = cut_lineage(filled.where(F.col("count").isNotNull()))
+    kept = keep_known(known, sufficient_keys(known, "species", "count", at_least), ["species"], nulls_match=False)
+    return _located(kept, projection)

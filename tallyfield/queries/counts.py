@@ -21,7 +21,7 @@ from tallyfield.operators.aggregates import (
     start_occupancy,
     totals,
 )
-from tallyfield.operators.joins import drop_known, natural_join, with_every
+from tallyfield.operators.joins import natural_join, with_every
 from tallyfield.operators.pivots import fold_stops, wide_counts
 from tallyfield.operators.ranks import top_rows
 from tallyfield.operators.spatial import complete_grid, grid_cells, to_cells
@@ -58,16 +58,14 @@ s AS (SELECT transect, CAST(min(l_shipdate) AS DATE) AS start_date, count(DISTIN
 SELECT transect, CAST(start_date AS VARCHAR) AS start_date, num_species, num_obs FROM s
 WHERE NOT (num_species < 2 OR num_obs < 30 OR start_date > DATE '1995-03-31')""")
 def screen_sites(t: Tables) -> DataFrame:
-    """Transects are screened on start, species and rows; the rest is summarised from the kept rows."""
+    """Transects are screened on start, species and rows; the rest keeps its summary."""
     rows = t.lineitem.select(
         F.concat_ws("-", F.col("l_suppkey").cast("string"), (F.col("l_orderkey") % 16).cast("string")).alias("transect"),
         F.to_date("l_shipdate").alias("date"), F.col("l_returnflag").alias("species"),
     )
-    latest = F.to_date(F.lit("1995-03-31"))
-    _, failing = screen_groups(rows, "transect", "date", "species", 2, 30, latest)
-    kept = drop_known(rows, failing, ["transect"], nulls_match=False)
-    sites, _ = screen_groups(kept, "transect", "date", "species", 2, 30, latest)
-    return sites.withColumn("start_date", F.col("start_date").cast("string"))
+    screened = screen_groups(rows, "transect", "date", "species", 2, 30, F.to_date(F.lit("1995-03-31")))
+    kept = screened.where(~F.col("failing")).drop("failing")
+    return kept.withColumn("start_date", F.col("start_date").cast("string"))
 
 
 _SITE_CELLS = f"(SELECT site, {cell_sql(COARSE)} AS cell_id, stratum, state FROM v_sites)"

@@ -17,12 +17,12 @@ from tallyfield.operators.checklists import (
 )
 from tallyfield.operators.joins import keep_common, keep_known, natural_join
 from tallyfield.operators.pivots import bin_name, distance_period_block, usable_distances
-from tallyfield.plans.checklist_points import MINUTES, PROTOCOLS, STUDY_BOX, species_points, usable_checklists
+from tallyfield.plans.checklist_points import MINUTES, PROTOCOLS, STUDY_BOX, species_points, usable_checklists, zero_filled_points
 from tallyfield.queries.registry import Tables, query
 from tallyfield.schemas import field_names
-from tallyfield.session import scratch_path
-from tallyfield.sources.readers import lookup, read_csv, read_table, read_tsv, stack_csv, stack_folder
-from tallyfield.sources.writers import write_by_key, write_csv, write_tsv
+from tallyfield.session import cut_lineage, scratch_path
+from tallyfield.sources.readers import load_bundle, lookup, read_csv, read_table, read_tsv, stack_csv, stack_folder
+from tallyfield.sources.writers import write_by_key, write_csv, write_table, write_tsv
 from tallyfield.streaming.pending import pending_keys, without, written_keys
 
 _ORDERS = (
@@ -49,8 +49,10 @@ SELECT o.event_id, o.species, o.count_text, c.protocol, CAST(c.duration AS INTEG
 FROM v_observations o JOIN v_checklists c ON o.event_id = c.event_id WHERE c.complete""")
 def src_tsv_roundtrip(t: Tables) -> DataFrame:
     observations, checklists = scratch_path(t.spark, "observations"), scratch_path(t.spark, "checklists")
-    write_tsv(t.v_observations.select("event_id", "species", "count_text", "obs_date"), observations)
-    write_tsv(t.v_checklists.where("complete").select("event_id", "protocol", "duration"), checklists)
+    complete = t.v_checklists.where("complete").select("event_id", "protocol", "duration")
+    seen = t.v_observations.select("event_id", "species", "count_text", "obs_date")
+    write_tsv(keep_known(seen, complete, ["event_id"], nulls_match=False), observations)
+    write_tsv(complete, checklists)
     left = read_tsv(t.spark, observations, "event_id bigint, species string, count_text string, obs_date date")
     right = read_tsv(t.spark, checklists, "event_id bigint, protocol string, duration int")
     joined = natural_join(left, right, "inner", ["event_id"], nulls_match=False)
@@ -398,3 +400,44 @@ def points_by_species(t: Tables) -> DataFrame:
         "event_id", "species", "observer", "count", "duration", "year", "month", "day",
         rounded(F.col("x"), 3).alias("x"), rounded(F.col("y"), 3).alias("y"),
     )
+
+
+@query("zero_filled_points", f"""
+WITH u AS (SELECT * FROM v_checklists WHERE {_USABLE_SQL}),
+o AS (SELECT * FROM v_observations WHERE event_id IN (SELECT event_id FROM u)),
+l AS (SELECT *, coalesce(group_id, 'S' || event_id) AS checklist_id FROM u WHERE event_id IN (SELECT event_id FROM o)),
+shared AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY checklist_id ORDER BY event_id) = 1),
+once AS (SELECT l.checklist_id, o.species, {_COUNT} AS c FROM o JOIN l ON l.event_id = o.event_id
+  QUALIFY row_number() OVER (PARTITION BY l.checklist_id, o.species ORDER BY o.event_id) = 1),
+z AS (SELECT s.*, sp.species, once.checklist_id IS NOT NULL AS observed, CASE WHEN once.checklist_id IS NULL THEN 0 ELSE once.c END AS count
+  FROM shared s CROSS JOIN (SELECT DISTINCT species FROM o) sp LEFT JOIN once ON once.checklist_id = s.checklist_id AND once.species = sp.species),
+g AS (SELECT species FROM z GROUP BY species HAVING sum(CASE WHEN count > 0 THEN 1 ELSE 0 END) >= 30)
+SELECT checklist_id, event_id, species, observer, protocol, observed, CAST(count AS INTEGER) AS count, CAST(duration AS INTEGER) AS duration,
+  CAST(year(obs_date) AS INTEGER) AS year, CAST(month(obs_date) AS INTEGER) AS month, CAST(day(obs_date) AS INTEGER) AS day,
+  round({_X}, 3) + 0.0 AS x, round({_Y}, 3) + 0.0 AS y
+FROM z WHERE count IS NOT NULL AND species IN (SELECT species FROM g)""")
+def whole_checklist_feed(t: Tables) -> DataFrame:
+    """Events to zero-filled, gated, located rows per group checklist and species."""
+    rows = zero_filled_points(t.v_checklists, t.v_observations)
+    return rows.select(
+        "checklist_id", "event_id", "species", "observer", "protocol", "observed", F.col("count").cast("int").alias("count"),
+        "duration", "year", "month", "day", rounded(F.col("x"), 3).alias("x"), rounded(F.col("y"), 3).alias("y"),
+    )
+
+
+@query("src_bundle_roundtrip", """
+SELECT s.route, CAST(s.yr AS INTEGER) AS yr, s.obs_n, s_nationkey AS state, s.n_stops, s.total
+FROM (SELECT route, yr, obs_n, count(*) AS n_stops, CAST(sum(cnt) AS BIGINT) AS total FROM v_stops GROUP BY 1, 2, 3) s JOIN supplier ON s_suppkey = s.route""")
+def src_bundle_roundtrip(t: Tables) -> DataFrame:
+    """A survey saved as a bundle of tables and opened again by name: stops, runs and routes put together."""
+    folder = scratch_path(t.spark, "bundle")
+    stops = cut_lineage(t.v_stops)
+    runs = stops.groupBy("route", "yr", "obs_n").agg(F.count("*").alias("n_stops"))
+    saved = {"stops": stops, "runs": runs, "routes": t.supplier.select(F.col("s_suppkey").alias("route"), F.col("s_nationkey").alias("state"))}
+    for name, table in saved.items():
+        write_table(table, f"{folder}/{name}.parquet")
+    bundle = load_bundle(t.spark, folder, list(saved))
+    totals = bundle["stops"].groupBy("route", "yr", "obs_n").agg(F.sum("cnt").alias("total"))
+    return bundle["runs"].join(totals, ["route", "yr", "obs_n"]).join(bundle["routes"], "route").select(
+        "route", "yr", "obs_n", "state", "n_stops", "total"
+    )

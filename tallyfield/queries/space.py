@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.columns import rounded
-from tallyfield.functions.geo import Albers, Grid, in_box
+from tallyfield.functions.geo import Albers, Grid, in_box, require_same_crs
 from tallyfield.operators.knots import (
     exponential_covariance,
     grid_knots,
@@ -53,6 +53,18 @@ def project_points(t: Tables) -> DataFrame:
     return t.v_checklists.select("event_id", "lon", "lat", rounded(x, 3).alias("x"), rounded(y, 3).alias("y"))
 
 
+@query("common_crs_points", f"""
+WITH p AS (SELECT 'checklist' AS feed, event_id AS id, {_X} AS x, {_Y} AS y FROM v_checklists UNION ALL SELECT 'site', site, x, y FROM v_sites)
+SELECT feed, id, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM p""")
+def common_crs_points(t: Tables) -> DataFrame:
+    """Checklists and survey sites as one point table, put together only where both use one coordinate system."""
+    of_lists, of_sites = Albers(), Albers()
+    x, y = require_same_crs(of_lists, of_sites).project(F.col("lon"), F.col("lat"))
+    lists = t.v_checklists.select(F.lit("checklist").alias("feed"), F.col("event_id").alias("id"), x.alias("x"), y.alias("y"))
+    sites = t.v_sites.select(F.lit("site").alias("feed"), F.col("site").alias("id"), "x", "y")
+    return lists.unionByName(sites).withColumns({c: rounded(F.col(c), 3) for c in ("x", "y")})
+
+
 # fixed values: the study rectangle in projected metres, cut to its inner part
 _BOX = (-2350000.0, 330000.0, -1240000.0, 2500000.0)
 

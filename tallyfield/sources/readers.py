@@ -22,13 +22,16 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str) -> Dat
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated text without quoting; the columns of ``schema`` are taken by header name, in any file order."""
+    """Tab-separated text without quoting; the columns of ``schema`` are taken by header name, in any file order.
+
+    An empty field is missing; text that is no value of its column's type is an error.
+    """
     reader = spark.read.option("header", True).option("enforceSchema", False).option("sep", "\t").option("quote", "")
     whole = reader.csv(path)
     wanted = StructType.fromDDL(schema).fields
     if absent := [f.name for f in wanted if f.name not in whole.columns]:
         raise ValueError(f"no column {', '.join(absent)} in {path}")
-    return whole.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
+    return whole.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def stack_csv(

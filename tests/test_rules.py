@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
 from pyspark.sql import Window
@@ -49,6 +50,7 @@ from tallyfield.functions.geo import Grid
 from tallyfield.operators.spatial import grid_cells
 from tallyfield.plans.route_counts import of_codes, on_grid, route_points, widen_stops
 from tallyfield.plans.distance_blocks import cell_blocks, clean_survey
+from tallyfield.plans.checklist_points import zero_filled_points
 
 
 def rows(df, *cols):
@@ -303,3 +305,20 @@ def test_species_have_their_own_steps_and_observers(spark):
     }
     assert sorted((r.alpha, r.cell_id) for r in full if r.route is None) == [(a, c) for a in ("AAAA", "BBBB") for c in (1, 2)]
     assert on_grid(points, grid_cells(spark, grid), by=["alpha"], at_least=3).where("alpha = 'BBBB'").isEmpty()
+
+
+def test_whole_checklist_feed(spark):
+    lists = [  # event, group, observer, date, duration, complete, protocol
+        (1, "G1", 7, 20, True), (2, "G1", 8, 30, True), (2, "G1", 8, 30, True),  # event 2 stands there twice
+        (3, None, 9, 10, True), (4, None, 9, 10, False), (5, None, 9, 10, True),  # 4 is not complete, 5 saw nothing
+    ]
+    checklists = spark.createDataFrame(
+        [(e, g, o, "Stationary", datetime.date(2001, 5, e), d, c, -100.0, 40.0) for e, g, o, d, c in lists],
+        "event_id int, group_id string, observer int, protocol string, obs_date date, duration int, complete boolean, lon double, lat double")
+    observations = spark.createDataFrame(
+        [(1, "wren", "2"), (2, "wren", "9"), (2, "lark", "4"), (3, "lark", "X"), (4, "wren", "5"), (3, "tern", "0")],
+        "event_id int, species string, count_text string")
+    out = zero_filled_points(checklists, observations, at_least=1)
+    got = sorted((r.checklist_id, r.event_id, r.species, r["count"], r.observed, r.day) for r in out.collect())
+    # one checklist for the group, lark there from event 2; no row for a lark without a count; tern was never positive
+    assert got == [("G1", 1, "lark", 4, True, 1), ("G1", 1, "wren", 2, True, 1), ("S3", 3, "wren", 0, False, 3)]

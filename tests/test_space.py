@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.functions.geo import Albers, Grid, require_same_crs
+from tallyfield.operators import spatial
 from tallyfield.operators.knots import BLOCK, grid_knots, interpolate, kmeans_knots, nearest_knots, site_knot_distances
 from tallyfield.operators.neighbours import car_log_density, island_count, nearest_cells, neighbour_lists, symmetric_edges
 from tallyfield.operators.spatial import (
@@ -214,6 +215,7 @@ def test_terrain_tiles_agree_with_whole_raster(spark, monkeypatch):
             gx = sum(w * (heights[i - 1, j + k] - heights[i + 1, j + k]) for k, w in kernel) / 80
             gy = sum(w * (heights[i + k, j - 1] - heights[i + k, j + 1]) for k, w in kernel) / 80
             assert r.slope == pytest.approx(math.atan(math.hypot(gx, gy)))
+            assert math.cos(r.aspect - math.atan2(gx, gy)) == pytest.approx(1)
 
 
 def test_interpolation(spark):
