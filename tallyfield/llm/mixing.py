@@ -14,8 +14,9 @@ over shards, and quotients are ranked by range. Only the water level is
 computed in the driver, from sums.
 
 Null texts have no words and are taken 0 times. A null source is a source of
-its own, the last one. Repeated rows are separate documents. An empty table
-gives an empty mix. Equal quotients go to the smaller source or shard number.
+its own, the last one. Repeated rows are separate documents; rows that share
+an id, or have none, are drawn by their text too, so only rows equal in both
+stand in one shard. An empty table gives an empty mix. Equal quotients go to the smaller source or shard number.
 """
 
 from __future__ import annotations
@@ -111,8 +112,12 @@ def mix(
 ) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` of every document; with ``whole_rows`` also ``row``, all its columns."""
     kept = [F.struct("*").alias("row")] if whole_rows else []
-    sized = docs.select(col(doc_id).alias("doc_id"), col(source).alias("source"), n_words(col(text)).alias("size"), *kept)
-    narrow = cut_lineage(sized.select("doc_id", "source", "size"))
+    # rows that share an id, or have none, are told apart by a hash of their text
+    sized = docs.select(
+        col(doc_id).alias("doc_id"), col(source).alias("source"), n_words(col(text)).alias("size"),
+        F.xxhash64(F.lit(seed), col(text), col(doc_id), col(doc_id).isNull()).alias("draw"), *kept,
+    )
+    narrow = cut_lineage(sized.select("doc_id", "source", "size", "draw"))
     sources = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     blocks = narrow.agg(F.ceil(F.coalesce(F.sum("size"), F.lit(0)) / block).cast("bigint")).scalar()
     sources = apportion(sources.withColumn("seats", blocks), [], "number", "target", "seats", "quota")
@@ -123,8 +128,7 @@ def mix(
 
     def placed(rows: DataFrame) -> DataFrame:
         with_source = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
-        draw = F.xxhash64(F.lit(seed), "doc_id", F.col("doc_id").isNull())
-        return with_source.withColumn("draw", draw).withColumn("shard", F.expr("pmod(shiftright(draw, 8), n_shards)"))
+        return with_source.withColumn("shard", F.expr("pmod(shiftright(draw, 8), n_shards)"))
 
     shards = placed(narrow.where("size > 0")).groupBy("source_number", "shard").agg(
         F.sum("size").alias("shard_size"), F.first("quota").alias("seats")

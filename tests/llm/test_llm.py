@@ -152,9 +152,9 @@ def test_mix_meets_targets(spark):
     by = {}
     for r in rows:
         assert 0 <= r.taken <= 3 * r.size
-        have = by.setdefault(r.target, [0, 0])
-        have[0] += r.taken
-        have[1] = max(have[1], 1)
+        by[r.source_size, r.target] = by.get((r.source_size, r.target), 0) + r.taken
+    for (_, target), taken in by.items():
+        assert abs(taken - target) <= 0.02 * target + 128
     total = sum(r.size for r in rows)
     assert abs(sum(r.taken for r in rows) - total) <= 0.01 * total
 
@@ -171,6 +171,18 @@ def test_mix_caps_and_reshares(spark):
         assert abs(r.taken - r.target) <= 128
 
 
+def test_mix_tells_rows_of_one_id_apart(spark):
+    rows = [(None if k % 2 else 7, f"w{k} " + "w " * (k % 60 + 1), "ab"[k % 3 == 0]) for k in range(1_500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("place", F.monotonically_increasing_id())
+    kept = take_mix(docs, block=8, shard=500).collect()
+    again = take_mix(docs.repartition(5, "place"), block=8, shard=500).collect()
+    assert sorted((r.place, r.taken) for r in kept) == sorted((r.place, r.taken) for r in again)
+    taken = {}
+    for r in kept:
+        taken[r.target] = taken.get(r.target, 0) + r.taken
+    assert len(taken) == 2 and all(abs(words - target) <= 16 for target, words in taken.items())
+
+
 def test_licenses_against_scan(spark):
     whole = texts(spark)
     for row in Q.QUERIES["op10_license_scans"](spark, FOLDER).collect():
