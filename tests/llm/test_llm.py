@@ -6,10 +6,13 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
 
+from tallyfield.llm import ngram_join
 from tallyfield.llm import queries as Q
 from tallyfield.llm.chat import render_conversations
 from tallyfield.llm.decontaminate import benchmark_spans, remove_passages
@@ -364,20 +367,50 @@ def test_suffix_dedup_without_ids(spark):
     assert sorted(got, key=str) in [sorted([(1, a), (None, ""), (None, texts[3]), (None, x), (None, y)], key=str) for _, x, y in either]
 
 
-def test_jaccard_against_sets(spark):
-    docs = {k: " ".join(f"w{(k // 5) * 1000 + (j if (j * 7 + k) % 23 else j + 500 + k)}" for j in range(60)) for k in range(40)}
-    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    sets = {k: {tuple(t.split()[j : j + 4]) for j in range(57)} for k, t in docs.items()}
-    root = {k: k for k in docs}
+def _components(sets, percent):
+    root = {k: k for k in sets}
     changed = True
     while changed:
         changed = False
-        for a in docs:
-            for b in docs:
-                if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b]) and root[a] != root[b]:
+        for a in sets:
+            for b in sets:
+                if root[a] != root[b] and any(100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
                     changed = True
-    assert {r.doc_id: r.component_id for r in jaccard_components(frame, percent=60).collect()} == root
+    return root
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_against_sets(spark, monkeypatch, small):
+    if small:  # every column is hot, every block and range holds a few rows
+        for name, value in {"HOT_LEVEL": -1, "BLOCK_ROWS": 2, "PART_BITS": 3, "PARTNERS": 1}.items():
+            monkeypatch.setattr(ngram_join, name, value)
+    docs = {k: " ".join(f"w{(k // 5) * 1000 + (j if (j * 7 + k) % 23 else j + 500 + k)}" for j in range(60)) for k in range(40)}
+    # a chain whose neighbours link and whose ends do not, and sizes on both sides of a power of two
+    docs |= {100 + k: " ".join(f"c{j}" for j in range(6 * k, 6 * k + 64 + k)) for k in range(25)}
+    frame = spark.createDataFrame([*docs.items(), (3, docs[3]), (3, docs[17])], "doc_id bigint, text string")
+    sets = {k: [{tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)}] for k, t in docs.items()}
+    sets[3] += sets[17]  # the rows of one id are one document
+    for percent in (60, 85):
+        found = ngram_join.jaccard_components(frame, percent=percent).collect()
+        assert {r.doc_id: r.component_id for r in found} == _components(sets, percent)
+
+
+def test_leaders_over_batches():
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(c), int(s), int(d)) for c, s, d in zip(rng.integers(0, 60, 300), rng.integers(0, 3, 300), rng.integers(0, 90, 300))})
+    table = pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("column", "span", "doc"), zip(*rows))})
+    for name in ("size", "b1", "b2"):
+        table = table.append_column(name, table.column("doc"))
+    schema = pa.schema([(n, pa.int64()) for n in ("column", "doc", "size", "b1", "b2", "lead", "lead_size", "l1", "l2")])
+    held = Counter(c for c, _, _ in rows)
+    top = {}
+    for c, s, d in rows:
+        top.setdefault((c, s), d)
+    want = [(c, d, top[c, s]) for c, s, d in rows if held[c] > 1]
+    for step in (1, 2, 7, 1000):
+        out = list(ngram_join._leader(schema, 85)(iter(table.to_batches(step))))
+        assert [(r["column"], r["doc"], r["lead"]) for b in out for r in b.to_pylist()] == want
 
 
 def test_passages_are_cut(spark, awkward, items):
