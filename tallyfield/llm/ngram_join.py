@@ -52,6 +52,7 @@ HOT_LEVEL = 11
 BLOCK_ROWS = 1024
 #: rows of 2^12 n-grams and more are cut into ranges of columns
 PART_BITS = 12
+PARITY_BITS = 10
 PARTNERS = 256
 #: ids sent to every task at most; beyond it the texts are shuffled to the ids
 BROADCAST_IDS = 1 << 20
@@ -125,8 +126,13 @@ def _profiler(levels, schema: pa.Schema, width: int, percent: int):
                 if len(filled):
                     made[filled] = np.bitwise_xor.reduceat(flips, at[filled])
                 sums.append(made)
+            # and one of more bits, for the pairs that the short ones leave
+            at_bit = (owner << PARITY_BITS) + ((hashes >> np.uint64(7)) & np.uint64((1 << PARITY_BITS) - 1)).astype(np.int64)
+            odd = np.bincount(at_bit, minlength=len(sizes) << PARITY_BITS) & 1
+            parity = np.packbits(odd.astype(np.uint8).reshape(len(sizes), -1), axis=1)
             yield batches_of(schema, [
                 part.column("doc_id"), pa.array(sizes), *[pa.array(s.view(np.int64)) for s in sums],
+                pa.array([flips.tobytes() for flips in parity], pa.binary()),
                 list_array(np.repeat(np.arange(len(sizes)), reach), len(sizes), pa.array(column[taken].view(np.int64))),
             ])
 
@@ -257,25 +263,25 @@ def _counter(schema: pa.Schema):
 
 def links_of(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs (a, b, na, nb)`` whose sets reach the threshold, overlaps counted over all columns."""
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    found = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = map_arrow(
-        found, lambda fields: _sets(fields, width, percent, PART_BITS),
-        "doc bigint, version bigint, size bigint, bits bigint, part bigint, grams array<bigint>",
-    )
-    sets = cut_lineage(sets.dropDuplicates(["doc", "version", "bits", "part"]))  # repeated rows count once
     bits = F.expr(f"cast(greatest(0, length(bin(greatest(na, nb))) - {PART_BITS}) AS bigint)")
     degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
     asked = pairs.join(degree, "a").select(
         "a", "b", bits.alias("bits"), F.expr(f"pmod(xxhash64(b), n div {PARTNERS} + 1)").alias("salt")
-    ).distinct()
-    rest = ["bits", "part", "salt", "version", "size", "grams"]
-    partners = asked.join(sets.withColumnRenamed("doc", "b"), ["b", "bits"]).select("a", "b", *rest)
-    centres = asked.select("a", "bits", "salt").distinct().join(sets.withColumnRenamed("doc", "a"), ["a", "bits"])
-    centres = centres.select("a", F.lit(None).cast("bigint").alias("b"), *rest)
+    )
+    own = asked.select(F.col("a").alias("doc"), "a", F.lit(None).cast("bigint").alias("b"), "bits", "salt")
+    asked = cut_lineage(own.union(asked.select(F.col("b").alias("doc"), "a", "b", "bits", "salt")).distinct())
+    ids = cut_lineage(asked.select(F.col("doc").alias("doc_id")).distinct())
+    few = asked.count() <= BROADCAST_IDS
+    found = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    sets = map_arrow(
+        found.select("doc_id", "text"), lambda fields: _sets(fields, width, percent, PART_BITS),
+        "doc bigint, version bigint, size bigint, bits bigint, part bigint, grams array<bigint>",
+    )
+    if found.count() > ids.count():  # rows that share an id
+        sets = cut_lineage(sets.dropDuplicates(["doc", "version", "bits", "part"]))
+    blocks = sets.join(F.broadcast(asked) if few else asked, ["doc", "bits"]).drop("doc")
     place = ["a", "bits", "part", "salt"]
-    blocks = centres.union(partners).repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("b"))
+    blocks = blocks.repartition(*place).sortWithinPartitions(*place, F.asc_nulls_first("b"))
     met = map_arrow(blocks, lambda fields: _counter(fields), "a bigint, va bigint, na bigint, b bigint, vb bigint, nb bigint, shared bigint")
     whole = met.groupBy("a", "va", "na", "b", "vb", "nb").agg(F.sum("shared").alias("shared"))
     return cut_lineage(whole.where((100 + percent) * F.col("shared") >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct())
@@ -323,6 +329,25 @@ def _multiplier(schema: pa.Schema, percent: int):
     return run
 
 
+def _differing(schema: pa.Schema):
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        x, y = (np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for name in ("x", "y"))
+        flips = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        yield batches_of(schema, [*(batch.column(name) for name in ("a", "b", "na", "nb")), pa.array(flips)])
+
+    return per_batch(work)
+
+
+def not_ruled_out(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``pairs (a, b, na, nb)`` whose long parities differ in no more bits than linked rows may in n-grams."""
+    left = classes.select(F.col("doc").alias("a"), F.col("size").alias("na"), F.col("parity").alias("x"))
+    right = classes.select(F.col("doc").alias("b"), F.col("size").alias("nb"), F.col("parity").alias("y"))
+    both = pairs.join(left, ["a", "na"]).join(right, ["b", "nb"]).select("a", "b", "na", "nb", "x", "y")
+    told = map_arrow(both, _differing, "a bigint, b bigint, na bigint, nb bigint, flips bigint")
+    told = told.where(f"flips <= {100 - percent} * (na + nb) div {100 + percent}").select("a", "b", "na", "nb")
+    return cut_lineage(told.distinct())
+
+
 def product_blocks(entries: DataFrame) -> DataFrame:
     """``entries (column, doc, size, b1, b2, label)`` dealt to the places ``(column, lo, hi)`` of the product.
 
@@ -354,12 +379,13 @@ def jaccard_components(
     levels = spark.sparkContext.broadcast(frequency_levels(docs, width))
     profiles = cut_lineage(map_arrow(
         docs, lambda fields: _profiler(levels, fields, width, percent),
-        "doc_id bigint, size bigint, s1 bigint, s2 bigint, b1 bigint, b2 bigint, prefix array<bigint>",
+        "doc_id bigint, size bigint, s1 bigint, s2 bigint, b1 bigint, b2 bigint, parity binary, prefix array<bigint>",
     ))
     same = ["size", "s1", "s2"]
     real = profiles.where("size > 0 AND doc_id IS NOT NULL")
     classes = cut_lineage(real.groupBy(*same).agg(
-        F.min("doc_id").alias("doc"), F.any_value("b1").alias("b1"), F.any_value("b2").alias("b2"), F.any_value("prefix").alias("prefix")
+        F.min("doc_id").alias("doc"), F.any_value("b1").alias("b1"), F.any_value("b2").alias("b2"),
+        F.any_value("parity").alias("parity"), F.any_value("prefix").alias("prefix")
     ))
 
     entries = columns_with_leaders(classes, percent)
@@ -369,7 +395,7 @@ def jaccard_components(
         & F.expr(f"bit_count(b1 ^ l1) + bit_count(b2 ^ l2) <= {100 - percent} * (size + lead_size) div {100 + percent}")
     )
     first = first.select(F.col("lead").alias("a"), F.col("doc").alias("b"), F.col("lead_size").alias("na"), F.col("size").alias("nb"))
-    near = links_of(docs, cut_lineage(first.distinct()), width, percent)
+    near = links_of(docs, not_ruled_out(first.distinct(), classes, percent), width, percent)
     labels = components(near)
 
     named = entries.select("column", "doc", "size", "b1", "b2").join(labels, F.col("doc") == F.col("node"), "left")
@@ -379,7 +405,7 @@ def jaccard_components(
     # all but the last ceil(t * larger) - 1 columns of a row were multiplied; the rest cannot add more than that
     least = F.expr(f"ceil({percent} * (na + nb) / {100 + percent}) - ceil({percent} * greatest(na, nb) / 100) + 1")
     met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    far = links_of(docs, cut_lineage(met.select("a", "b", "na", "nb")), width, percent)
+    far = links_of(docs, not_ruled_out(met.select("a", "b", "na", "nb"), classes, percent), width, percent)
     reached = components(near.union(far))
 
     named = profiles.select("doc_id", *same).join(classes.select(*same, "doc"), same, "left")
