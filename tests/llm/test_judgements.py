@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 import string
 
+import numpy as np
+
+from tallyfield.llm import quality
 from tallyfield.llm.licenses import find_licenses
-from tallyfield.llm.quality import judged
+from tallyfield.llm.quality import MARGIN, QUANTILE, judged
 from tallyfield.llm.secrets import find_secrets
 
 
@@ -22,6 +25,21 @@ def test_verdicts_can_be_filtered(spark):
     assert {r.row.doc_id for r in narrow.where("kept").collect()} == {3} and narrow.select("row.*").columns == ["doc_id"]
 
 
+def test_every_good_label_counts(spark, monkeypatch):
+    n = 21_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 12), k -> concat('w', pmod(hash(id, k), 400 + id % 900)))) AS text")
+    good = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    # where all documents are trusted both counts are the same
+    same = judged(docs, good, carry=["doc_id"]).select("score", "threshold").distinct().collect()
+    assert [tuple(r) for r in same] == [(0.0, -MARGIN)]
+    other = spark.range(n, n + 3000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 12), k -> concat('w', pmod(hash(id, k), 300)))) AS text")
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)  # ids too many to be sent
+    found = judged(docs.union(other), good, carry=["doc_id"]).select("doc_id", "score", "threshold", "base_failed", "kept").toPandas()
+    least = np.quantile(found.score[found.doc_id < n], QUANTILE) - MARGIN
+    assert len(found) == n + 3000 and np.allclose(found.threshold, least, rtol=0, atol=1e-12)
+    assert (found.kept == (~found.base_failed & (found.score >= found.threshold))).all()
+
+
 def test_naming_words_stand_as_in_the_template(spark):
     cases = {
         "der Text den man mit einer Hand schreibt, licensed under the Apache License, Version 2.0": {"Apache-2.0"},
