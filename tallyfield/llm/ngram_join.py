@@ -19,7 +19,7 @@ only where a product can reach the threshold:
    block is sent once to some hundred partners, and partial counts are summed.
 
 Pairs whose sizes or parity bits rule the threshold out are discarded before
-they are counted. No link between different texts is lost: a skipped pair is
+they are counted; long parities grow with the row, so long rows are told apart as well. No link between different texts is lost: a skipped pair is
 either below a bound or inside one component already. Nothing is sampled or
 capped, and hot columns come last in the order, so they are met only by rows
 made of little else.
@@ -52,6 +52,7 @@ HOT_LEVEL = 11
 BLOCK_ROWS = 1024
 #: rows of 2^12 n-grams and more are cut into ranges of columns
 PART_BITS = 12
+#: a long parity has a bit per n-gram at least, and two to this power at least
 PARITY_BITS = 10
 PARTNERS = 256
 #: ids sent to every task at most; beyond it the texts are shuffled to the ids
@@ -126,13 +127,15 @@ def _profiler(levels, schema: pa.Schema, width: int, percent: int):
                 if len(filled):
                     made[filled] = np.bitwise_xor.reduceat(flips, at[filled])
                 sums.append(made)
-            # and one of more bits, for the pairs that the short ones leave
-            at_bit = (owner << PARITY_BITS) + ((hashes >> np.uint64(7)) & np.uint64((1 << PARITY_BITS) - 1)).astype(np.int64)
-            odd = np.bincount(at_bit, minlength=len(sizes) << PARITY_BITS) & 1
-            parity = np.packbits(odd.astype(np.uint8).reshape(len(sizes), -1), axis=1)
+            # and one of as many bits as n-grams or more, for the pairs that the short ones leave
+            width_of = np.int64(1) << np.maximum(np.frexp(np.maximum(sizes - 1, 0).astype(float))[1], PARITY_BITS).astype(np.int64)
+            begin = np.append(0, np.cumsum(width_of))
+            at_bit = begin[owner] + ((hashes >> np.uint64(7)).astype(np.int64) & (width_of[owner] - 1))
+            parity = np.packbits((np.bincount(at_bit, minlength=begin[-1]) & 1).astype(np.uint8)).tobytes()
+            begin //= 8
             yield batches_of(schema, [
                 part.column("doc_id"), pa.array(sizes), *[pa.array(s.view(np.int64)) for s in sums],
-                pa.array([flips.tobytes() for flips in parity], pa.binary()),
+                pa.array([parity[low:high] for low, high in zip(begin, begin[1:])], pa.binary()),
                 list_array(np.repeat(np.arange(len(sizes)), reach), len(sizes), pa.array(column[taken].view(np.int64))),
             ])
 
@@ -330,10 +333,15 @@ def _multiplier(schema: pa.Schema, percent: int):
 
 
 def _differing(schema: pa.Schema):
+    def folded(parity: bytes, size: int) -> np.ndarray:
+        # bits are places modulo a power of two, so halves laid over each other are the shorter parity
+        return np.bitwise_xor.reduce(np.frombuffer(parity, np.uint64).reshape(-1, size // 8), axis=0)
+
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x, y = (np.frombuffer(b"".join(batch.column(name).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for name in ("x", "y"))
-        flips = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-        yield batches_of(schema, [*(batch.column(name) for name in ("a", "b", "na", "nb")), pa.array(flips)])
+        both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())
+        sizes = ((x, y, min(len(x), len(y))) for x, y in both)
+        flips = [int(np.bitwise_count(folded(x, n) ^ folded(y, n)).sum(dtype=np.int64)) for x, y, n in sizes]
+        yield batches_of(schema, [*(batch.column(name) for name in ("a", "b", "na", "nb")), pa.array(flips, pa.int64())])
 
     return per_batch(work)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -396,6 +397,23 @@ def test_jaccard_against_sets(spark, monkeypatch, small):
         assert {r.doc_id: r.component_id for r in found} == _components(sets, percent)
 
 
+def test_parities_tell_long_rows_apart(spark):
+    text = lambda low, high, gone=0: " ".join(f"w{k}" for k in range(low, high) if not gone or k % gone)
+    docs = {
+        1: text(0, 4090), 2: text(0, 4110), 3: text(2000, 6090), 4: text(0, 4090, 90),  # 1, 2: a set on both sides of 2^12
+        5: text(10_000, 30_000), 6: text(10_000, 30_000, 400), 7: text(20_000, 40_000), 8: text(50_000, 50_009), 9: text(50_000, 50_010), 10: "",
+    }
+    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    levels = SimpleNamespace(value=np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8))
+    schema = "doc bigint, size bigint, s1 bigint, s2 bigint, b1 bigint, b2 bigint, parity binary, prefix array<bigint>"
+    rows = ngram_join.map_arrow(frame, lambda fields: ngram_join._profiler(levels, fields, 4, 85), schema)
+    pairs = rows.selectExpr("doc AS a", "size AS na").crossJoin(rows.selectExpr("doc AS b", "size AS nb"))
+    pairs = pairs.where("a < b AND least(na, nb) > 0 AND 100 * least(na, nb) >= 85 * greatest(na, nb)")
+    left = {(r.a, r.b) for r in ngram_join.not_ruled_out(pairs, rows, 85).collect()}
+    # the links and nothing of the long rows that share half their n-grams
+    assert left == {(1, 2), (1, 4), (2, 4), (5, 6), (8, 9)}
+
+
 def test_leaders_over_batches():
     rng = np.random.default_rng(5)
     rows = sorted({(int(c), int(s), int(d)) for c, s, d in zip(rng.integers(0, 60, 300), rng.integers(0, 3, 300), rng.integers(0, 90, 300))})
