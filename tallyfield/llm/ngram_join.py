@@ -45,7 +45,8 @@ from tallyfield.session import cut_lineage
 
 WIDTH = 4
 PERCENT = 85
-CHUNK_BYTES = 4 << 20
+#: text worked on at once; what a worker needs for it stays with the worker while it waits
+CHUNK_BYTES = 1 << 19
 SKETCH_BITS = 20
 #: columns of more n-grams than two to this power, by the sketch, meet their leaders in a join
 HOT_LEVEL = 11
@@ -83,7 +84,7 @@ def _sketcher(schema: pa.Schema, width: int):
         for batch in batches:
             for part in slices(batch, "text", CHUNK_BYTES) if batch.num_rows else ():
                 hashes, _ = shingles(part, width)
-                counts += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         # only what stands out from the even spread of rare n-grams
         at = np.flatnonzero(counts > 4 + 4 * counts.mean())
         yield batches_of(schema, [pa.array(at), pa.array(counts[at])])

@@ -42,10 +42,13 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and ``base**-i`` modulo 2**64 for i up to ``n``; kept for the next call."""
+    """``base**i`` and ``base**-i`` modulo 2**64 for i up to ``n``; kept for the next call.
+
+    Waiting workers hold them, so below ``PIECE`` they are no longer than the next power of two.
+    """
     have = _POWERS.get(base)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, PIECE + 1)
+        size = min(1 << int(n).bit_length(), max(n, PIECE)) + 1
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = _POWERS[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)

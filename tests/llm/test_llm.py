@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm import ngram_join
 from tallyfield.llm import queries as Q
+from tallyfield.llm import words
 from tallyfield.llm.chat import render_conversations
 from tallyfield.llm.decontaminate import benchmark_spans, remove_passages
 from tallyfield.llm.licenses import find_licenses
@@ -414,6 +416,34 @@ def test_parities_tell_long_rows_apart(spark):
     assert left == {(1, 2), (1, 4), (2, 4), (5, 6), (8, 9)}
 
 
+def test_workers_hold_little_between_tasks(monkeypatch):
+    monkeypatch.setattr(words, "_POWERS", {})
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in row) for row in rng.integers(0, 1_000_000, (1200, 900))]  # 9 MB
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    levels = SimpleNamespace(value=np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8))
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "size", "s1", "s2", "b1", "b2")] + [("parity", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    tracemalloc.start()
+    try:
+        sizes = [n for out in ngram_join._profiler(levels, schema, 5, 80)(iter([batch])) for n in out.column("size").to_pylist()]
+        sketch = [r for out in ngram_join._sketcher(pa.schema([("bucket", pa.int64()), ("n", pa.int64())]), 5)(iter([batch])) for r in out.to_pylist()]
+        _, peak = tracemalloc.get_traced_memory()
+        held = sum(x.nbytes for both in words._POWERS.values() for x in both)
+    finally:
+        tracemalloc.stop()
+    counts = Counter((ngram_join.shingles(batch, 5)[0] >> np.uint64(64 - ngram_join.SKETCH_BITS)).tolist())
+    least = 4 + 4 * sum(counts.values()) / (1 << ngram_join.SKETCH_BITS)
+    assert set(sizes) == {896} and {r["bucket"]: r["n"] for r in sketch} == {k: n for k, n in counts.items() if n > least}
+    assert peak < 48 << 20 and held < 24 << 20
+
+
+def test_powers_grow():
+    up, down = words.powers(5, 12345)
+    long_up, long_down = words.powers(words.PIECE + 9, 12345)
+    assert len(up) < 10 and len(long_up) == words.PIECE + 10 and (long_up[: len(up)] == up).all()
+    assert (long_up * long_down == 1).all() and (long_up[1:] == long_up[:-1] * np.uint64(12345)).all()
+
+
 def test_leaders_over_batches():
     rng = np.random.default_rng(5)
     rows = sorted({(int(c), int(s), int(d)) for c, s, d in zip(rng.integers(0, 60, 300), rng.integers(0, 3, 300), rng.integers(0, 90, 300))})
