@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.operators.joins import with_every
-from tallyfield.operators.spatial import lattice_pairs
+from tallyfield.operators.spatial import PLACE, lattice_pairs
 
 
 def log_linear(b: Sequence[float], first: Column, second: Column) -> Column:
@@ -122,21 +122,46 @@ def density_growth(
     return summed.agg(F.exp(F.sum(F.col("slope") * F.col("_x"))).alias("growth"))
 
 
-def arrivals(pairs: DataFrame, leaving: DataFrame, decay: DataFrame, step: str, species: str, value: str) -> DataFrame:
+LANES = 8  # species whose kernel sums one row of a pair adds to
+
+
+def arrivals(
+    pairs: DataFrame, leaving: DataFrame, decay: DataFrame, step: str, species: str, value: str,
+    meet: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Expected arrivals per site, step and species: ``sum_i value_i exp(-k d_ij) / sum_j exp(-k d_ij)``.
 
     ``pairs`` are ordered site pairs with their distance, each site with itself
     included (see ``radius_pairs``); ``decay`` has a rate per species.
-    Leaving animals are divided by their origin's kernel sum first, so the
-    pairs meet them once and one grouped sum, with partial sums, is left.
-    Origins that nothing leaves are dropped; they add nothing.
+    Leaving animals are divided by their origin's kernel sum first and packed
+    into one row per origin, so the pairs meet them once and one grouped sum,
+    with partial sums, is left. Origins that nothing leaves are dropped; they
+    add nothing.
+
+    ``meet`` gives for a table of origins (``src_site``, ``sent``) the pairs that
+    start there, as ``site``, ``distance`` and ``sent``. By default the pairs are
+    sent to their origins; ``radius_pairs`` with these origins as ``others`` sends
+    the origins instead, and no pair. Pairs that know their ``PLACE`` are
+    summed where they are.
     """
-    rates = decay.select(F.array_sort(F.collect_list(F.struct(F.col(species).alias("name"), F.col("rate").alias("rate"))))).scalar()
-    per = pairs.select("src_site", "distance", F.inline(rates)).groupBy("src_site", F.col("name").alias(species))
-    sums = per.agg(F.sum(F.exp(-F.col("rate") * F.col("distance"))).alias("_sum"), F.first("rate").alias("_rate"))
-    share = leaving.where(F.col(value) > 0).withColumnRenamed("site", "src_site").join(sums, ["src_site", species])
-    sent = share.select("src_site", step, species, "_rate", (F.col(value) / F.col("_sum")).alias("_v"))
-    moved = pairs.join(sent, "src_site").groupBy(F.col("dst_site").alias("site"), step, species)
-    return moved.agg(
-        F.sum(F.col("_v") * F.exp(-F.col("_rate") * F.col("distance"))).alias("arrivals"), F.count("*").alias("n_origins")
-    )
+    named = F.array_sort(F.collect_list(F.struct(F.col(species).alias("name"), F.col("rate").alias("rate"))))
+    rates = decay.select(named).scalar()
+    names = decay.select(F.transform(named, lambda r: r["name"])).scalar()
+    place = [c for c in PLACE if c in pairs.columns]
+    # rates side by side, so a pair is one row for LANES species
+    lanes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(named) - 1, F.lit(0)), F.lit(LANES)), lambda k: F.struct(
+        k.alias("_k"), *[F.get(named, k + i)["rate"].alias(f"_r{i}") for i in range(LANES)]))
+    per = pairs.select(*place, "src_site", "distance", F.inline(decay.select(lanes).scalar())).groupBy(*place, "src_site", "_k")
+    per = per.agg(*[F.sum(F.exp(-F.col(f"_r{i}") * F.col("distance"))).alias(f"_s{i}") for i in range(LANES)])
+    side = F.struct("_k", F.array(*[f"_s{i}" for i in range(LANES)]).alias("_s"))
+    sums = per.groupBy(*place, "src_site").agg(F.flatten(F.sort_array(F.collect_list(side))["_s"]).alias("_sums"))
+    coded = leaving.where(F.col(value) > 0).withColumn("_k", F.array_position(names, F.col(species)).cast("int") - 1)
+    packed = coded.where("_k >= 0").groupBy(F.col("site").alias("src_site")).agg(F.collect_list(F.struct(
+        F.col(step).alias("_t"), "_k", F.get(rates, F.col("_k"))["rate"].alias("_rate"), F.col(value).alias("_v"))).alias("_leaving"))
+    share = lambda r: r.withField("_v", r["_v"] / F.get("_sums", r["_k"]))
+    sent = packed.join(sums.drop(*place), "src_site").select("src_site", F.transform("_leaving", share).alias("sent"))
+    met = pairs.join(sent, "src_site").select(F.col("dst_site").alias("site"), "distance", "sent") if meet is None else meet(sent)
+    place = [c for c in PLACE if c in met.columns]
+    moved = met.select(*place, "site", "distance", F.inline("sent")).groupBy(*place, "site", "_t", "_k")
+    out = moved.agg(F.sum(F.col("_v") * F.exp(-F.col("_rate") * F.col("distance"))).alias("arrivals"), F.count("*").alias("n_origins"))
+    return out.select("site", F.col("_t").alias(step), F.get(names, F.col("_k")).alias(species), "arrivals", "n_origins")

@@ -228,35 +228,57 @@ def lattice_pairs(cells: DataFrame, radius: int, cell: str = "cell_id", ix: str
     return asks.join(there, ["_x", "_y"]).select("src", "dst", "steps")
 
 
-CROWD = 256  # points of one cell that meet in one block of the radius join
+CROWD = 2048  # points of one tile in one block of the radius join, and of those that come to meet them in one array
+PLACE = ["tile_x", "tile_y", "block"]  # where a pair's first point was dealt to
 
 
-def radius_pairs(points: DataFrame, ids: Sequence[str], x: str, y: str, radius: float) -> DataFrame:
+def radius_pairs(
+    points: DataFrame, ids: Sequence[str], x: str, y: str, radius: float, others: DataFrame | None = None, placed: bool = False
+) -> DataFrame:
     """Ordered pairs of points at most ``radius`` apart, themselves included: ids as ``src_*`` and ``dst_*``, and ``distance``.
 
-    Points stand in cells as wide as the radius and look into the nine cells
-    around them; the exact distance decides. A cell with more than ``CROWD``
+    Points stand in cells as wide as the radius and in tiles of two by two
+    cells. A point is sent to the tiles that its cell and the eight around it
+    are part of, four in all, and the points of a tile are held against all that
+    came, packed in arrays; the exact distance decides. So pairs are made where
+    they are used and only points are sent. A tile with more than ``CROWD``
     points is dealt over several blocks, so a crowded place is many tasks' work.
     Points without coordinates meet nothing.
+
+    ``others`` are the points to meet (``dst``), the points themselves by default;
+    their further columns come along. ``placed`` adds the columns ``PLACE``: who
+    groups pairs by them and the ``src`` ids needs no shuffle. They are left out
+    if points of the same ids stand in several tiles.
     """
-    ids = list(ids)
-    there = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.struct(*ids).alias("_id"), F.col(x).alias("_px"), F.col(y).alias("_py"),
-        F.floor(F.col(x) / radius).alias("_cx"), F.floor(F.col(y) / radius).alias("_cy"),
-    )
-    crowds = there.groupBy("_cx", "_cy").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("_blocks"))
-    dealt = there.join(crowds, ["_cx", "_cy"]).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
-    dealt = dealt.select("_cx", "_cy", "_block", F.col("_id").alias("_to"), F.col("_px").alias("_tx"), F.col("_py").alias("_ty"))
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    asks = there.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step)).select(
-        "_id", "_px", "_py", (F.col("_cx") + F.col("_i")).alias("_cx"), (F.col("_cy") + F.col("_j")).alias("_cy")
+    ids, tile = list(ids), PLACE[:2]
+    mine = [f"src_{c}" for c in ids]
+    cell = lambda of: F.floor(F.col(of) / radius)
+    halo = lambda of: F.explode(F.array(F.floor((cell(of) - 1) / 2), F.floor((cell(of) + 1) / 2)))
+    known = F.col(x).isNotNull() & F.col(y).isNotNull()
+    here = points.where(known).select(
+        *[F.col(c).alias(f"src_{c}") for c in ids], F.col(x).alias("_hx"), F.col(y).alias("_hy"),
+        F.floor(cell(x) / 2).alias("tile_x"), F.floor(cell(y) / 2).alias("tile_y"),
     )
-    asks = asks.join(crowds, ["_cx", "_cy"]).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    far = distance(F.col("_px"), F.col("_py"), F.col("_tx"), F.col("_ty"))
-    pairs = asks.join(dealt, ["_cx", "_cy", "_block"]).withColumn("distance", far).where(F.col("distance") <= radius)
-    return pairs.select(
-        *[F.col(f"_id.{c}").alias(f"src_{c}") for c in ids], *[F.col(f"_to.{c}").alias(f"dst_{c}") for c in ids], "distance"
+    more = [c for c in others.columns if c not in (*ids, x, y)] if others is not None else []
+    come = (points if others is None else others).where(known)
+    come = come.withColumn("tile_x", halo(x)).withColumn("tile_y", halo(y)).select(
+        *[F.col(c).alias(f"dst_{c}") for c in ids], *more, F.col(x).alias("_px"), F.col(y).alias("_py"), *tile
     )
+    crowds = here.groupBy(*tile).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("_blocks")).where("_blocks > 1")
+    crowds, blocks = cut_lineage(crowds), F.coalesce("_blocks", F.lit(1))
+    # few bytes are many pairs, so parts keep their number whatever their size
+    parts = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    come = come.join(crowds, tile, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
+    here = here.join(crowds, tile, "left").withColumn("block", F.pmod(F.xxhash64(*mine), blocks).cast("int")).drop("_blocks")
+    row = F.shiftright(F.monotonically_increasing_id(), CROWD.bit_length() - 1).alias("_array")
+    held = come.repartition(parts, *PLACE).sortWithinPartitions(*PLACE).select("*", row)
+    arrays = held.groupBy(*PLACE, "_array").agg(F.collect_list(F.struct(*[c for c in come.columns if c not in PLACE])).alias("_come"))
+    met = here.repartition(parts, *PLACE).join(arrays, PLACE).select(*mine, "_hx", "_hy", *PLACE, F.inline("_come"))
+    far = distance(F.col("_hx"), F.col("_hy"), F.col("_px"), F.col("_py"))
+    pairs = met.withColumn("distance", far).where(F.col("distance") <= radius)
+    stands = here.groupBy(*mine).agg(F.count_distinct(F.struct(*PLACE)).alias("_n"))
+    place = PLACE if placed and stands.where("_n > 1").isEmpty() else []
+    return pairs.select(*mine, *[f"dst_{c}" for c in ids], "distance", *more, *place)
 
 
 TILE = 64  # cells along the side of a raster tile

@@ -292,13 +292,21 @@ FROM sent JOIN pairs ON pairs.src = sent.site GROUP BY 1, 2, 3""")
 def dispersal_growth(t: Tables) -> DataFrame:
     """One step of the metapopulation: last year's animals grow with their site's rate and move up to 50 km, per species."""
     counts = cut_lineage(_counted_species(t))
-    before = counts.withColumn("yr", F.col("yr") + 1)
-    grown = _growing(t, counts).join(before, ["site", "yr", "species"])
-    leaving = grown.select("site", "yr", "species", (F.col("n") * F.col("growth")).alias("leaving"))
-    pairs = radius_pairs(t.v_sites.select("site", "x", "y"), ["site"], "x", "y", 50_000.0)
-    near = cut_lineage(pairs.select("src_site", "dst_site", (F.col("distance") / 1000).alias("distance")))
+    # a site's counts of the year before are one row, so that growth stays where it was summed
+    before = counts.where("species IS NOT NULL").groupBy("site", (F.col("yr") + 1).alias("yr")).agg(F.map_from_entries(F.collect_list(F.struct("species", "n"))).alias("n"))
+    grown = _growing(t, counts).join(before, ["site", "yr"])
+    leaving = grown.select("site", "yr", "species", (F.try_element_at("n", F.col("species")) * F.col("growth")).alias("leaving"))
+    sites = t.v_sites.select("site", "x", "y")
+    pairs = radius_pairs(sites, ["site"], "x", "y", 50_000.0, placed=True)
+    near = pairs.withColumn("distance", F.col("distance") / 1000)
+
+    def meet(origins: DataFrame) -> DataFrame:
+        others = sites.join(origins.withColumnRenamed("src_site", "site"), "site")
+        reached = radius_pairs(sites, ["site"], "x", "y", 50_000.0, others, placed=True)
+        return reached.drop("dst_site").withColumnRenamed("src_site", "site").withColumn("distance", F.col("distance") / 1000)
+
     decay = lookup(t.spark, _STARTS, "species string, base double, rate double").select("species", "rate")
-    out = arrivals(near, leaving, decay, "yr", "species", "leaving")
+    out = arrivals(near, leaving, decay, "yr", "species", "leaving", meet)
     return out.withColumn("arrivals", rounded(F.col("arrivals"), 7))
 
 

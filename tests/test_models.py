@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+import glob
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from tallyfield.operators.likelihood import (
 )
 from tallyfield.operators.posterior import derived_totals, kept_draws, potential_scale, summarise
 from tallyfield.operators.spatial import radius_pairs
+from tallyfield.queries import ORACLES, QUERIES
+from tallyfield.session import shared_folder
 
 
 def _one(spark, *cols):
@@ -134,6 +139,46 @@ def test_arrivals_keep_what_leaves(spark):
     assert got[1] == pytest.approx(4 / (1 + e) + e / (1 + 2 * e)) and got[3] == pytest.approx(e / (1 + 2 * e))
 
 
+def test_arrivals_met_by_points_are_those_of_pairs(spark):
+    rng = random.Random(5)
+    points = spark.createDataFrame([(k, rng.uniform(0, 40), rng.uniform(0, 40)) for k in range(150)], "site int, x double, y double")
+    names = [f"s{i:02d}" for i in range(11)]  # more than one row of LANES
+    decay = spark.createDataFrame([(s, 0.02 * i) for i, s in enumerate(names)], "sp string, rate double")
+    rows = [(k, t, s, rng.uniform(-1, 3)) for k in range(150) for t in (1, 2) for s in rng.sample(names, 3)] + [(3, 1, "stranger", 2.0), (4, 1, None, 2.0)]
+    leaving = spark.createDataFrame(rows, "site int, t int, sp string, v double")
+    near = radius_pairs(points, ["site"], "x", "y", 9.0, placed=True)
+    meet = lambda o: radius_pairs(
+        points, ["site"], "x", "y", 9.0, points.join(o.withColumnRenamed("src_site", "site"), "site"), placed=True
+    ).drop("dst_site").withColumnRenamed("src_site", "site")
+    by_pairs, by_points = arrivals(near, leaving, decay, "t", "sp", "v"), arrivals(near, leaving, decay, "t", "sp", "v", meet)
+    want = {(r.site, r.t, r.sp): (r.arrivals, r.n_origins) for r in by_pairs.collect()}
+    got = {(r.site, r.t, r.sp): (r.arrivals, r.n_origins) for r in by_points.collect()}
+    assert want == {k: (pytest.approx(a), n) for k, (a, n) in got.items()}
+    left = sum(v for *_, s, v in rows if v > 0 and s in names)
+    assert sum(a for a, _ in got.values()) == pytest.approx(left)
+
+
+def test_dispersal_of_crowded_sites_writes_no_pairs(spark, tmp_path):
+    # the sites of one corner of 80 by 80 km, and what they count
+    keys = [k for k in range(600_000) if k * 7919 % 2110 < 80 and k * 104729 % 3170 < 80]
+    customer = spark.createDataFrame([(k, "A", 1) for k in keys], "c_custkey long, c_mktsegment string, c_nationkey int")
+    day = datetime.datetime(1995, 5, 5)
+    rng = random.Random(7)
+    orders = [(9 * i + y + 1, k, day.replace(year=1995 + y), rng.choice(["1-URGENT", "5-LOW"])) for i, k in enumerate(keys) for y in range(3)]
+    customer.write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    before = set(glob.glob(f"{shared_folder(spark)}/scratch-*/*"))
+    got = {(r.site, r.yr, r.species): (r.arrivals, r.n_origins) for r in QUERIES["dispersal_growth"](spark, str(tmp_path)).collect()}
+    tables = set(glob.glob(f"{shared_folder(spark)}/scratch-*/*")) - before
+    assert sum(spark.read.parquet(t).count() for t in tables) <= 10 * len(orders) < len(keys) ** 2 / 10
+    con = duckdb.connect()
+    for name in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = {r[:3]: (pytest.approx(r[3], abs=2e-7), r[4]) for r in con.execute(
+        f"SELECT site, yr, species, arrivals, n_origins FROM ({ORACLES['dispersal_growth']})").fetchall()}
+    assert len(want) > len(keys) and got == want
+
+
 def test_terms_from_statistics_are_sums_of_rows(spark):
     rng = random.Random(3)
     cells = [(v, d, r, rng.randint(1, 5)) for v in range(20) for d in (1, 2) for r in (1, 2, 3) if rng.random() < 0.7]

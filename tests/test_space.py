@@ -304,6 +304,25 @@ def test_radius_join_is_exact(spark):
     assert len(got) == len(want) and {(r.src_pt, r.dst_pt) for r in got} == want
 
 
+def test_radius_join_of_others_in_crowded_tiles(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "CROWD", 16)
+    rng = random.Random(4)
+    spots = [(i, rng.gauss(0, 0.3), rng.gauss(0, 0.3)) for i in range(300)] + [(900, 5.0, 5.0), (901, None, 1.0)]
+    points = spark.createDataFrame(spots, "pt int, x double, y double")
+    visitors = [(i, rng.gauss(0, 0.3), rng.gauss(0, 0.3), [f"v{i}"]) for i in range(200)]
+    others = spark.createDataFrame(visitors, "pt int, x double, y double, tag array<string>")
+    out = radius_pairs(points, ["pt"], "x", "y", 0.25, others, placed=True)
+    want = {(a, b) for a, ax, ay in spots if ax is not None for b, bx, by, _ in visitors if math.hypot(ax - bx, ay - by) <= 0.25}
+    got = out.collect()
+    assert len(got) == len(want) and {(r.src_pt, r.dst_pt) for r in got} == want
+    assert all(r.tag == [f"v{r.dst_pt}"] for r in got) and max(r.block for r in got) > 1
+    # a point stands in one place, and its pairs are summed there without a shuffle more
+    assert out.select("src_pt", *spatial.PLACE).distinct().count() == len({a for a, _ in want})
+    # ids that stand in two tiles cannot be grouped by them
+    twice = points.union(spark.createDataFrame([(0, 9.0, 9.0)], points.schema))
+    assert not set(spatial.PLACE) & set(radius_pairs(twice, ["pt"], "x", "y", 0.25, placed=True).columns)
+
+
 def test_crs_must_agree():
     assert require_same_crs(Albers(), Albers()) == Albers()
     with pytest.raises(ValueError, match="differ"):
