@@ -94,26 +94,28 @@ def density_growth(
     ``covariate`` or ``species:`` and a name. Counts of species without a start
     belong to no term.
 
-    Starts, counts and covariates of a site and step are dealt out together
-    once; terms, products and sums follow where they are.
+    Steps, starts and counts of a site are packed into one row each and meet by
+    site, so that starts are sent once and not for every step; terms, products
+    and sums follow where they are.
     """
     name = F.concat(F.lit("species:"), F.col(species)).alias("term")
+    packed = lambda df, out, *cols: df.groupBy(site).agg(F.collect_list(F.struct(*cols)).alias(out))
+    wanted = packed(frame, "_steps", F.col(step).alias("_t"), F.col(change).cast("double").alias("_c"))
+    begun = packed(starts, "_starts", name, F.col(expected).cast("double").alias("_l"))
+    # a count speaks of the step after its own
+    held = packed(counts, "_counts", (F.col(step) + 1).cast(frame.schema[step].dataType).alias("_t"), name, F.col(value).cast("double").alias("_n"))
     nothing = F.lit(None).cast("double")
-    wanted = frame.select(site, step, F.col(change).cast("double").alias("_c"))
-    fixed = F.inline(F.array(
-        F.struct(F.lit("intercept").alias("term"), F.lit(1.0).alias("_x")),
-        F.struct(F.lit("covariate").alias("term"), F.col("_c").alias("_x")),
-    ))
-    parts = (
-        wanted.select(site, step, fixed)
-        .withColumns({"_l": nothing, "_n": nothing})
-        .unionByName(wanted.join(starts, site).select(
-            site, step, name, nothing.alias("_x"), F.col(expected).alias("_l"), nothing.alias("_n")))
-        .unionByName(counts.select(
-            site, (F.col(step) + 1).alias(step), name, nothing.alias("_x"), nothing.alias("_l"),
-            F.col(value).cast("double").alias("_n")))
+    row = lambda t, term, x=nothing, l=nothing, n=nothing: F.struct(  # noqa: E731, E741
+        t.alias("_t"), term.alias("term"), x.alias("_x"), l.alias("_l"), n.alias("_n"))
+    rows = F.concat(
+        F.transform("_steps", lambda s: row(s["_t"], F.lit("intercept"), F.lit(1.0))),
+        F.transform("_steps", lambda s: row(s["_t"], F.lit("covariate"), s["_c"])),
+        F.flatten(F.transform("_steps", lambda s: F.transform(
+            F.coalesce("_starts", F.array()), lambda b: row(s["_t"], b["term"], l=b["_l"])))),
+        F.transform(F.coalesce("_counts", F.array()), lambda c: row(c["_t"], c["term"], n=c["_n"])),
     )
-    terms = parts.repartition(site, step).groupBy(site, step, "term").agg(
+    parts = wanted.join(begun, site, "left").join(held, site, "left").select(site, F.inline(rows))
+    terms = parts.groupBy(site, F.col("_t").alias(step), "term").agg(
         F.max("_x").alias("_x"), F.max("_l").alias("_l"), F.coalesce(F.sum("_n"), F.lit(0.0)).alias("_n")
     )
     pressure = F.coalesce(F.col("_x"), (F.col("_n") - F.col("_l")) / F.col("_l"))

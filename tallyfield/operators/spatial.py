@@ -267,7 +267,7 @@ def radius_pairs(
     crowds = here.groupBy(*tile).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("_blocks")).where("_blocks > 1")
     crowds, blocks = cut_lineage(crowds), F.coalesce("_blocks", F.lit(1))
     # few bytes are many pairs, so parts keep their number whatever their size
-    parts = 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 8 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     come = come.join(crowds, tile, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
     here = here.join(crowds, tile, "left").withColumn("block", F.pmod(F.xxhash64(*mine), blocks).cast("int")).drop("_blocks")
     row = F.shiftright(F.monotonically_increasing_id(), CROWD.bit_length() - 1).alias("_array")

@@ -292,10 +292,11 @@ FROM sent JOIN pairs ON pairs.src = sent.site GROUP BY 1, 2, 3""")
 def dispersal_growth(t: Tables) -> DataFrame:
     """One step of the metapopulation: last year's animals grow with their site's rate and move up to 50 km, per species."""
     counts = cut_lineage(_counted_species(t))
-    # a site's counts of the year before are one row, so that growth stays where it was summed
-    before = counts.where("species IS NOT NULL").groupBy("site", (F.col("yr") + 1).alias("yr")).agg(F.map_from_entries(F.collect_list(F.struct("species", "n"))).alias("n"))
-    grown = _growing(t, counts).join(before, ["site", "yr"])
-    leaving = grown.select("site", "yr", "species", (F.try_element_at("n", F.col("species")) * F.col("growth")).alias("leaving"))
+    # a site's counts are one row, by the year after, so that growth stays where it was summed
+    after = F.struct(F.struct((F.col("yr") + 1).alias("yr"), "species"), "n")
+    before = counts.groupBy("site").agg(F.map_from_entries(F.collect_list(after)).alias("before"))
+    grown = _growing(t, counts).join(before, "site").withColumn("n", F.try_element_at("before", F.struct("yr", "species")))
+    leaving = grown.select("site", "yr", "species", (F.col("n") * F.col("growth")).alias("leaving"))
     sites = t.v_sites.select("site", "x", "y")
     pairs = radius_pairs(sites, ["site"], "x", "y", 50_000.0, placed=True)
     near = pairs.withColumn("distance", F.col("distance") / 1000)
